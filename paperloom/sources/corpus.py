@@ -13,14 +13,17 @@ text is built by scalar expressions in the row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.sources.tables import read_table
 
 NL = "chr(10)"
-TAB = "chr(9)"
-OPEN, CLOSE = "chr(123)", "chr(125)"
+SLOTS = 10
+# Private-use characters that mark the start of each field in a template.
+MARKS = "".join(chr(0xE000 + j) for j in range(21))
 
 
 def _cat(*parts: str) -> str:
@@ -36,6 +39,12 @@ def _two(x: str) -> str:
     return f"lpad({_s(x)}, 2, '0')"
 
 
+def _lit(text: str) -> str:
+    """SQL string literal; line feeds and tabs become function calls."""
+    quoted = "'" + text.replace("'", "''") + "'"
+    return quoted.replace("\n", f"' || {NL} || '").replace("\t", "' || chr(9) || '")
+
+
 def _plain(c: str) -> str:
     """Cents as 1234.50."""
     return _cat(_s(f"CAST(({c} - {c} % 100) / 100 AS BIGINT)"), "'.'", _two(f"{c} % 100"))
@@ -46,18 +55,19 @@ def _grouped(c: str) -> str:
     i = f"CAST(({c} - {c} % 100) / 100 AS BIGINT)"
     k = f"CAST(({i} - {i} % 1000) / 1000 AS BIGINT)"
     m = f"CAST(({i} - {i} % 1000000) / 1000000 AS BIGINT)"
-    low = f"lpad({_s(f'{i} % 1000')}, 3, '0')"
+    low, mid_part = f"lpad({_s(f'{i} % 1000')}, 3, '0')", f"lpad({_s(f'{k} % 1000')}, 3, '0')"
     cents = _cat("'.'", _two(f"{c} % 100"))
-    return (f"CASE WHEN {i} >= 1000000 THEN {_cat(_s(m), repr(','), f'lpad({_s(f'{k} % 1000')}, 3, {repr('0')})', repr(','), low, cents)} "
-            f"WHEN {i} >= 1000 THEN {_cat(_s(k), repr(','), low, cents)} "
+    return (f"CASE WHEN {i} >= 1000000 THEN {_cat(_s(m), _lit(','), mid_part, _lit(','), low, cents)} "
+            f"WHEN {i} >= 1000 THEN {_cat(_s(k), _lit(','), low, cents)} "
             f"ELSE {_cat(_s(i), cents)} END")
 
 
 def _money(c: str) -> str:
     """Cents in the document's own style; style 3 prints a single decimal."""
-    tenth = _cat(_s(f"CAST(({c} - {c} % 100) / 100 AS BIGINT)"), "'.'", _s(f"CAST(({c} % 100 - {c} % 10) / 10 AS BIGINT)"))
-    return (f"CASE d % 6 WHEN 1 THEN {c}_plain WHEN 2 THEN {_cat(repr('$'), f'{c}_grouped')} "
-            f"WHEN 3 THEN {tenth} WHEN 5 THEN {_cat(f'{c}_grouped', repr(' USD'))} ELSE {c}_grouped END")
+    tenth = _cat(_s(f"CAST(({c} - {c} % 100) / 100 AS BIGINT)"), "'.'",
+                 _s(f"CAST(({c} % 100 - {c} % 10) / 10 AS BIGINT)"))
+    return (f"CASE d % 6 WHEN 1 THEN {c}_plain WHEN 2 THEN {_cat(_lit('$'), f'{c}_grouped')} "
+            f"WHEN 3 THEN {tenth} WHEN 5 THEN {_cat(f'{c}_grouped', _lit(' USD'))} ELSE {c}_grouped END")
 
 
 def _us_date(t: str) -> str:
@@ -69,260 +79,261 @@ def _date(t: str) -> str:
     y, m, d = f"year({t})", f"month({t})", f"day({t})"
     iso = _cat(_s(y), "'-'", _two(m), "'-'", _two(d))
     return (f"CASE WHEN d % 37 = 0 THEN {_cat(_s(y), _two(m), _two(d))} "
-            f"WHEN d % 37 = 1 THEN {_cat(iso, repr('T10:00'))} "
+            f"WHEN d % 37 = 1 THEN {_cat(iso, _lit('T10:00'))} "
             f"WHEN d % 4 = 1 THEN {iso} "
-            f"WHEN d % 4 = 2 THEN {_cat(_s(m), repr('-'), _s(d), repr('-'), _two(f'{y} % 100'))} "
-            f"WHEN d % 8 = 3 THEN {_cat(repr('day '), _s(d), repr(' of month '), _s(m))} "
+            f"WHEN d % 4 = 2 THEN {_cat(_s(m), _lit('-'), _s(d), _lit('-'), _two(f'{y} % 100'))} "
+            f"WHEN d % 8 = 3 THEN {_cat(_lit('day '), _s(d), _lit(' of month '), _s(m))} "
             f"ELSE {_us_date(t)} END")
 
 
-def _date_field(label, t):
-    return (label, f"{t}_printed", f"{t}_known")
-
-
-def _money_field(label, c):
-    return (label, f"{c}_printed", f"{c}_plain")
-
-
-def _text_field(label, *parts):
-    expr = _cat(*parts)
-    return (label, expr, expr)
-
+# What each @token@ of a template stands for.
+TOKENS = {
+    "id": "ds", "cust": "cust", "nation": "nation", "seg": "seg", "lines": "count_s",
+    "sub": "sub_c_printed", "tax": "tax_c_printed", "tot": "tot_c_printed",
+    "sub!": "sub_c_plain", "tax!": "tax_c_plain", "tot!": "tot_c_plain",
+    "od": "od_printed", "later": "later_printed", "past": "past_printed",
+    "od!": "od_known", "later!": "later_known", "past!": "past_known",
+    "invoice": "CASE WHEN d % 21 = 0 THEN 'A1' ELSE 'INV-' || ds END",
+    "pay": "CASE WHEN d % 2 = 0 THEN 'Credit Card' ELSE 'Cash' END",
+    "account": "CASE WHEN d % 15 = 5 THEN '12' ELSE '40' || lpad(ds, 8, '0') END",
+    "route": "lpad(ds, 9, '1')",
+    "period": "CAST(month(od) AS STRING) || ' of ' || CAST(year(od) AS STRING)",
+    "service": "CASE d % 3 WHEN 0 THEN 'Electricity' WHEN 1 THEN 'Water' ELSE 'Gas' END",
+    "finding": "CASE d % 3 WHEN 0 THEN 'seasonal allergy' WHEN 1 THEN 'sprained ankle' ELSE 'hypertension' END",
+    "drug": "CASE WHEN d % 2 = 0 THEN 'Ibuprofen 200 mg tablet' ELSE 'none' END",
+    "small": "CAST(d % 4 + 1 AS STRING)",
+    "medium": "CAST(d % 70 AS STRING)",
+    "ruling": "CASE WHEN d % 2 = 0 THEN 'pending' ELSE 'dismissed' END",
+}
+_NEEDS_ITEMS = ("@sub@", "@tax@", "@tot@", "@lines@")
 
-# label, value as printed, value as known (ground truth)
+# label, template of the printed value (known values use the "!" tokens)
 FIELDS = {
-    "invoice": [
-        _text_field("Invoice Number", "CASE WHEN d % 21 = 0 THEN 'A1' ELSE 'INV-' || ds END"),
-        _date_field("Invoice Date", "od"),
-        _date_field("Due Date", "later"),
-        _text_field("Vendor Name", "nation", "' Trading'"),
-        _text_field("Bill To", "cust"),
-        _money_field("Subtotal", "sub_c"),
-        _money_field("Tax Amount", "tax_c"),
-        _money_field("Total Amount", "tot_c"),
-        _text_field("Payment Terms", "'Net 30'"),
-        _text_field("Quantity", "lines_s"),
-    ],
-    "receipt": [
-        _text_field("Store Name", "seg", "' Store'"),
-        _date_field("Transaction Date", "od"),
-        _text_field("Transaction Number", "'T'", "ds"),
-        _money_field("Subtotal", "sub_c"),
-        _money_field("Tax", "tax_c"),
-        _money_field("Total Amount", "tot_c"),
-        _text_field("Payment Method", "CASE WHEN d % 2 = 0 THEN 'Credit Card' ELSE 'Cash' END"),
-        _text_field("Cashier ID", "'C'", "CAST(d % 100 AS STRING)"),
-        _text_field("Change Given", "'0.00'"),
-    ],
-    "contract": [
-        _text_field("Contract Number", "'K-'", "ds"),
-        _date_field("Effective Date", "od"),
-        _date_field("Expiration Date", "later"),
-        _text_field("Party 1", "cust"),
-        _text_field("Party 2", "nation", "' Holdings'"),
-        _money_field("Contract Value", "tot_c"),
-        _text_field("Terms", "'renewed yearly unless ended in writing'"),
-        _date_field("Signature Date", "od"),
-        _text_field("Witness", "'Officer '", "CAST(d % 50 AS STRING)"),
-    ],
-    "bill": [
-        _text_field("Account Number", "'40'", "lpad(ds, 8, '0')"),
-        _text_field("Billing Period", "CAST(month(od) AS STRING)", "' of '", "CAST(year(od) AS STRING)"),
-        _date_field("Due Date", "later"),
-        _money_field("Amount Due", "tot_c"),
-        _money_field("Previous Balance", "tax_c"),
-        _money_field("Current Charges", "sub_c"),
-        _text_field("Service Address", "CAST(d % 900 AS STRING)", "' Main Street, '", "nation"),
-        _text_field("Usage Amount", "lines_s", "'1 kWh'"),
-        _text_field("Service Type", "CASE d % 3 WHEN 0 THEN 'Electricity' WHEN 1 THEN 'Water' ELSE 'Gas' END"),
-    ],
-    "medical": [
-        _text_field("Patient Name", "cust"),
-        _date_field("Date of Birth", "past"),
-        _text_field("Doctor Name", "'Dr. '", "nation"),
-        _date_field("Visit Date", "od"),
-        _text_field("Diagnosis", "CASE d % 3 WHEN 0 THEN 'seasonal allergy' WHEN 1 THEN 'sprained ankle' ELSE 'hypertension' END"),
-        _text_field("Medications", "CASE WHEN d % 2 = 0 THEN 'Ibuprofen 200 mg tablet' ELSE 'none' END"),
-        _text_field("Dosage", "CAST(d % 4 + 1 AS STRING)", "' per day'"),
-        _text_field("Insurance Information", "'Plan '", "seg"),
-        _text_field("Medical Record Number", "'MR'", "ds"),
-        _money_field("Balance", "tot_c"),
-    ],
-    "financial": [
-        _text_field("Account Number", "CASE WHEN d % 15 = 5 THEN '12' ELSE '77' || lpad(ds, 9, '0') END"),
-        _date_field("Statement Date", "od"),
-        _text_field("Account Holder", "cust"),
-        _money_field("Balance", "tot_c"),
-        _text_field("Transactions", "lines_s", "' deposit and withdrawal items'"),
-        _text_field("Interest Rate", "CAST(d % 9 AS STRING)", "'.5%'"),
-        _money_field("Fees", "tax_c"),
-        _text_field("Bank Name", "nation", "' Bank'"),
-        _text_field("Routing Number", "lpad(ds, 9, '1')"),
-    ],
-    "legal": [
-        _text_field("Case Number", "'CV-'", "ds"),
-        _text_field("Court Name", "nation", "' District Court'"),
-        _text_field("Plaintiff", "cust"),
-        _text_field("Defendant", "seg", "' Partners'"),
-        _text_field("Attorney", "'Counsel '", "CAST(d % 70 AS STRING)"),
-        _date_field("Filing Date", "od"),
-        _date_field("Hearing Date", "later"),
-        _text_field("Judgment", "CASE WHEN d % 2 = 0 THEN 'pending' ELSE 'dismissed' END"),
-        _text_field("Legal Citations", "'statute 12, code 44'"),
-    ],
+    "invoice": [("Invoice Number", "@invoice@"), ("Invoice Date", "@od@"), ("Due Date", "@later@"),
+                ("Vendor Name", "@nation@ Trading"), ("Bill To", "@cust@"), ("Subtotal", "@sub@"),
+                ("Tax Amount", "@tax@"), ("Total Amount", "@tot@"), ("Payment Terms", "Net 30"),
+                ("Quantity", "@lines@")],
+    "receipt": [("Store Name", "@seg@ Store"), ("Transaction Date", "@od@"),
+                ("Transaction Number", "T@id@"), ("Subtotal", "@sub@"), ("Tax", "@tax@"),
+                ("Total Amount", "@tot@"), ("Payment Method", "@pay@"), ("Cashier ID", "C@medium@"),
+                ("Change Given", "0.00")],
+    "contract": [("Contract Number", "K-@id@"), ("Effective Date", "@od@"),
+                 ("Expiration Date", "@later@"), ("Party 1", "@cust@"), ("Party 2", "@nation@ Holdings"),
+                 ("Contract Value", "@tot@"), ("Terms", "renewed yearly unless ended in writing"),
+                 ("Signature Date", "@od@"), ("Witness", "Officer @medium@")],
+    "bill": [("Account Number", "@account@"), ("Billing Period", "@period@"), ("Due Date", "@later@"),
+             ("Amount Due", "@tot@"), ("Previous Balance", "@tax@"), ("Current Charges", "@sub@"),
+             ("Service Address", "@medium@ Main Street, @nation@"), ("Usage Amount", "@lines@1 kWh"),
+             ("Service Type", "@service@")],
+    "medical": [("Patient Name", "@cust@"), ("Date of Birth", "@past@"), ("Doctor Name", "Dr. @nation@"),
+                ("Visit Date", "@od@"), ("Diagnosis", "@finding@"), ("Medications", "@drug@"),
+                ("Dosage", "@small@ per day"), ("Insurance Information", "Plan @seg@"),
+                ("Medical Record Number", "MR@id@"), ("Balance", "@tot@")],
+    "financial": [("Account Number", "@account@"), ("Statement Date", "@od@"),
+                  ("Account Holder", "@cust@"), ("Balance", "@tot@"),
+                  ("Transactions", "@lines@ deposit and withdrawal items"),
+                  ("Interest Rate", "@small@.5%"), ("Fees", "@tax@"), ("Bank Name", "@nation@ Bank"),
+                  ("Routing Number", "@route@")],
+    "legal": [("Case Number", "CV-@id@"), ("Court Name", "@nation@ District Court"),
+              ("Plaintiff", "@cust@"), ("Defendant", "@seg@ Partners"), ("Attorney", "Counsel @medium@"),
+              ("Filing Date", "@od@"), ("Hearing Date", "@later@"), ("Judgment", "@ruling@"),
+              ("Legal Citations", "statute 12, code 44")],
 }
 TYPE_NAMES = list(FIELDS)
-SLOTS = 10
 
 _TITLES = {
-    "invoice": ("'INVOICE'", "'Please arrange payment due on receipt'"),
-    "receipt": ("'STORE RECEIPT'", "'Thank you, visit again'"),
-    "contract": ("'SERVICE AGREEMENT'", "'The contractor and the client accept this obligation and liability, executed by signature'"),
-    "bill": ("'UTILITY BILL'", "'Monthly charges for your service'"),
-    "medical": ("CASE WHEN d % 3 = 0 THEN 'PRESCRIPTION' ELSE 'PATIENT VISIT SUMMARY' END",
-                "'Vital signs: blood pressure 120 mmHg, temperature 37 °C at the clinic'"),
-    "financial": ("'ACCOUNT STATEMENT'", "'Transfer fee and interest charge apply to this bank account'"),
-    "legal": ("'NOTICE OF MOTION'", "'Whereas the court has jurisdiction, counsel hereby requests discovery'"),
+    "invoice": ("INVOICE", "Please arrange payment due on receipt"),
+    "receipt": ("STORE RECEIPT", "Thank you, visit again"),
+    "contract": ("SERVICE AGREEMENT", "The contractor and the client accept this obligation and liability, executed by signature"),
+    "bill": ("UTILITY BILL", "Monthly charges for your service"),
+    "medical": ("PATIENT VISIT SUMMARY", "Vital signs: blood pressure 120 mmHg, temperature 37 °C at the clinic"),
+    "financial": ("ACCOUNT STATEMENT", "Transfer fee and interest charge apply to this bank account"),
+    "legal": ("NOTICE OF MOTION", "Whereas the court has jurisdiction, counsel hereby requests discovery"),
 }
 
+_GOODS = ["Description|Quantity|Amount", "Goods|@lines@|@sub!@", "Freight due 01/02/2020|1|0.00",
+          "Total amount|@lines@0|@tot!@"]
+_RATES = ["Code|Rate|Zone", "Z9|@small@%|@nation@"]
 
-def _by_type(render) -> str:
-    whens = " ".join(f"WHEN {i} THEN {render(t)}" for i, t in enumerate(TYPE_NAMES))
-    return f"CASE CAST(d % 7 AS INT) {whens} END"
-
-
-def _slot(j: int, part: int) -> str:
-    """Label (0), printed value (1) or known value (2) of the j-th field of the document's type."""
-    def pick(t):
-        if j >= len(FIELDS[t]):
-            return "CAST(NULL AS STRING)"
-        return f"'{FIELDS[t][j][0]}'" if part == 0 else FIELDS[t][j][part]
-    return _by_type(pick)
-
-
-def _table_block() -> str:
-    """A small delimited table: tabs for some documents, runs of spaces for others."""
-    def row(sep, *cells):
-        return _cat(*[x for c in cells for x in (sep, c)][1:])
-
-    def block(sep):
-        goods = row(sep, "'Goods'", "lines_s", "sub_c_plain")
-        freight = row(sep, "'Freight due 01/02/2020'", "'1'", "'0.00'")
-        total = row(sep, "'Total amount'", "CAST(n_lines + 1 AS STRING)", "tot_c_plain")
-        return (f"concat_ws({NL}, {row(sep, repr('Description'), repr('Quantity'), repr('Amount'))}, "
-                f"{goods}, {freight}, {total})")
-
-    second = row("'   '", "'Code'", "'Rate'", "'Zone'")
-    second_row = row("'   '", "'Z9'", _cat("CAST(d % 17 AS STRING)", "'%'"), "nation")
-    two = f"concat_ws({NL}, {second}, {second_row})"
-    return (f"CASE WHEN d % 5 = 0 THEN {block(TAB)} "
-            f"WHEN d % 5 = 1 THEN concat_ws({NL}, {block(repr('  '))}, 'Rates in force', {two}) "
-            f"WHEN d % 10 = 2 THEN {two} END")
-
-
-def _document() -> str:
-    parts = ["CASE WHEN d % 12 = 7 THEN 'page 1' ELSE title END"]
-    parts += [f"CASE WHEN (d + {j}) % 9 <> 0 THEN l{j} || ': ' || p{j} END" for j in range(SLOTS)]
-    parts.insert(3, "CASE WHEN d % 4 = 1 THEN '' END")
-    parts.insert(5, "CASE WHEN d % 8 = 5 THEN 'Café crème à Genève 12.50$' END")
-    parts.append(_table_block())
-    parts.append("CASE WHEN d % 9 = 4 THEN '  indented note   with   spaces ' END")
-    parts.append("CASE WHEN d % 10 = 3 THEN l1 || ': ' || k1 END")
-    parts.append("CASE WHEN d % 14 = 6 THEN 'COPY' WHEN d % 14 = 8 THEN 'CUSTOMER COPY' END")
-    parts.append("CASE WHEN d % 12 <> 7 THEN footer END")
-    return (f"CASE WHEN d % 97 = 0 THEN '' "
-            f"WHEN d % 83 = 2 THEN {_cat(NL, repr('  '), NL, NL)} "
-            f"WHEN d % 89 = 1 THEN {_cat(repr('NOTE'), NL, repr('see order '), 'ds')} "
-            f"ELSE concat_ws({NL}, {', '.join(parts)}) END")
 
+def _known(template: str) -> str:
+    for t in ("sub", "tax", "tot", "od", "later", "past"):
+        template = template.replace(f"@{t}@", f"@{t}!@")
+    return template
 
-def _truth() -> str:
-    rows = [f"CASE WHEN (d * 3 + {j}) % 20 <> 0 THEN l{j} || '=' || k{j} END" for j in range(SLOTS)]
-    return f"concat_ws({NL}, {', '.join(rows)})"
 
+def _fill(expr: str, templates: list[str]) -> str:
+    """Replace the tokens that occur in any of the templates."""
+    for token, value in TOKENS.items():
+        if any(f"@{token}@" in t for t in templates):
+            expr = f"replace({expr}, '@{token}@', coalesce({value}, ''))"
+    return expr
 
-# ---- hosted-extractor responses ------------------------------------------------
 
-
-def _response(n: int) -> str:
-    fields = []
+def _marked(t: str, items: bool, render) -> str:
+    """Concatenate the rendered fields of a type, a mark before each and one at the end."""
+    out = []
     for j in range(SLOTS):
-        value = f"p{j}" if n == 1 else f"k{j}"
+        piece = ""
+        if j < len(FIELDS[t]):
+            label, printed = FIELDS[t][j]
+            if items or not any(tok in printed for tok in _NEEDS_ITEMS):
+                piece = render(j, label, printed)
+        out.append(MARKS[j] + piece)
+    return "".join(out) + MARKS[SLOTS]
+
+
+def _choose(render) -> tuple[str, list[str]]:
+    """CASE over type and presence of line items; returns the expression and its templates."""
+    with_items = [render(t, True) for t in TYPE_NAMES]
+    without = [render(t, False) for t in TYPE_NAMES]
+    whens = [f"WHEN {i} THEN {_lit(x)}" for i, x in enumerate(with_items + without)]
+    return (f"CASE CAST(d % 7 + CASE WHEN n_lines IS NULL THEN 7 ELSE 0 END AS INT) {' '.join(whens)} END",
+            with_items + without)
+
+
+def _drop(expr: str, j: str) -> str:
+    """Cut the j-th marked field out of a template (nothing when j is beyond the last)."""
+    start, end = f"substring({_lit(MARKS)}, CAST({j} AS INT) + 1, 1)", f"substring({_lit(MARKS)}, CAST({j} AS INT) + 2, 1)"
+    return _cat(f"split_part({expr}, {start}, 1)", f"split_part({expr}, {end}, 2)")
+
+
+def _document(template: str) -> str:
+    extras = {
+        "@title@": "CASE WHEN d % 12 = 7 THEN 'page 1' WHEN d % 21 = 18 THEN 'PRESCRIPTION' ELSE '@head@' END",
+        "@blank@": f"CASE WHEN d % 4 = 1 THEN {NL} ELSE '' END",
+        "@accent@": "CASE WHEN d % 8 = 5 THEN " + _lit("Café crème à Genève 12.50$\n") + " ELSE '' END",
+        "@table@": ("CASE WHEN n_lines IS NULL THEN '' WHEN d % 5 = 0 THEN "
+                    + _lit("\n".join(r.replace("|", "\t") for r in _GOODS) + "\n")
+                    + " WHEN d % 5 = 1 THEN "
+                    + _lit("\n".join([r.replace("|", "  ") for r in _GOODS] + ["Rates in force"]
+                                     + [r.replace("|", "   ") for r in _RATES]) + "\n")
+                    + " WHEN d % 10 = 2 THEN " + _lit("\n".join(r.replace("|", "   ") for r in _RATES) + "\n")
+                    + " ELSE '' END"),
+        "@note@": "CASE WHEN d % 9 = 4 THEN " + _lit("  indented note   with   spaces \n") + " ELSE '' END",
+        "@again@": "CASE WHEN d % 10 = 3 THEN " + _lit("Due Date: @later!@\n") + " ELSE '' END",
+        "@copy@": "CASE WHEN d % 14 = 6 THEN " + _lit("COPY\n") + " WHEN d % 14 = 8 THEN "
+                  + _lit("CUSTOMER COPY\n") + " ELSE '' END",
+    }
+    expr = template
+    for token, value in extras.items():
+        expr = f"replace({expr}, '{token}', {value})"
+    heads = " ".join(f"WHEN {i} THEN {_lit(_TITLES[t][0])}" for i, t in enumerate(TYPE_NAMES))
+    foots = " ".join(f"WHEN {i} THEN {_lit(_TITLES[t][1])}" for i, t in enumerate(TYPE_NAMES))
+    expr = f"replace({expr}, '@head@', CASE CAST(d % 7 AS INT) {heads} END)"
+    expr = f"replace({expr}, '@foot@', CASE WHEN d % 12 = 7 THEN 'end' ELSE CASE CAST(d % 7 AS INT) {foots} END END)"
+    return expr
+
+
+def _text_template() -> tuple[str, list[str]]:
+    def render(t, items):
+        def line(j, label, printed):
+            extra = {1: "@blank@", 3: "@accent@"}.get(j, "")
+            return f"{label}: {printed}\n{extra}"
+        body = _marked(t, items, line)
+        return f"@title@\n{body}@table@@note@@again@@copy@@foot@"
+    expr, templates = _choose(render)
+    extra = _GOODS + _RATES + ["@later!@"]
+    return expr, templates + extra
+
+
+def _response_template(n: int) -> tuple[str, list[str]]:
+    def render(t, items):
+        def entry(j, label, printed):
+            value = printed if n == 1 else _known(printed)
+            value = f' {value} ' if n == 3 and j == 1 else value
+            conf = f"{0.92 - 0.06 * (j % 5) - 0.12 * (n - 1):.2f}"
+            if (n, j) in ((1, 1), (3, 2)):
+                conf = "@conf@"
+            if j == 2 and n < 3:
+                conf = f"@zero@{conf}"
+            name = f'"name":"{label}",'
+            if (n, j) == (2, 3):
+                name = f"@name@{name}@/name@"
+            if (n, j) == (3, 0):
+                name = f'"name":" {label.lower()}  ",'
+            val = f'"value":"{value}"'
+            if n < 3 and j == 4:
+                val = f"@value@{val}@/value@"
+            src = f'@src@,"source":{{"page":1,"bbox":[0,{25 * j},100,{25 * j + 20}]}}@/src@' if n == 1 else ""
+            return f'{{{name}{val},"confidence":{conf}{src}}},'
+        passed = '["totals_match","dates_ordered"]' if n == 2 else '["totals_match"]'
+        failed = "[]" if n == 2 else '["currency_known"]'
+        head = '"doc_type":"@type@",'
+        tail = (f',"overall_confidence":{0.9 - 0.15 * n:.2f},'
+                f'"qa":{{"passed_rules":{passed},"failed_rules":{failed},"notes":""}}')
         if n == 3:
-            value = f"CASE WHEN d % 2 = 0 THEN p{j} ELSE ' ' || k{j} || ' ' END"
-        conf = f"'{0.92 - 0.06 * (j % 5) - 0.12 * (n - 1):.2f}'"
-        if n == 1 and j == 1:
-            conf = f"CASE WHEN d % 23 = 6 THEN '\"0.9\"' WHEN d % 29 = 7 THEN '1.7' WHEN d % 29 = 8 THEN '-0.4' ELSE {conf} END"
-        if j == 2:
-            conf = f"CASE WHEN d % 16 = 1 THEN '0.0' ELSE {conf} END"
-        if n == 3 and j == 2:
-            conf = f"CASE WHEN d % 37 = 9 THEN '\"high\"' ELSE {conf} END"
-        name = _cat("'\"name\":\"'", f"l{j}", "'\",'")
-        if n == 2 and j == 3:
-            name = f"CASE WHEN d % 31 = 8 THEN '' ELSE {name} END"
-        elif n == 3 and j == 0:
-            name = _cat("'\"name\":\" '", f"lower(l{j})", "'  \",'")
-        val = _cat("'\"value\":\"'", value, "'\"'")
-        if n == 1 and j == 4:
-            val = f"CASE WHEN d % 43 = 11 THEN '\"value\":null' ELSE {val} END"
-        if n == 2 and j == 4:
-            val = f"CASE WHEN d % 47 = 12 THEN '\"note\":\"no value\"' ELSE {val} END"
-        parts = [OPEN, name, val, "',\"confidence\":'", conf]
-        if n == 1:
-            box = f"'\"page\":1,\"bbox\":[0,{25 * j},100,{25 * j + 20}]'"
-            parts.append(f"CASE WHEN d % 2 = 0 THEN {_cat(repr(',\"source\":'), OPEN, box, CLOSE)} ELSE '' END")
-        keep = f"(d + {j}) % {9 if n == 1 else 8} <> {0 if n == 1 else n}"
-        fields.append(f"CASE WHEN {keep} THEN {_cat(*parts, CLOSE)} END")
-    doc_type = {1: "t", 2: "CASE WHEN d % 5 = 0 THEN 'unknown' ELSE t END",
-                3: "CASE WHEN d % 15 = 0 THEN 'receipt' ELSE t END"}[n]
-    passed = '["totals_match","dates_ordered"]' if n == 2 else '["totals_match"]'
-    failed = "[]" if n == 2 else '["currency_known"]'
-    qa = _cat("',\"qa\":'", OPEN, f"'\"passed_rules\":{passed},\"failed_rules\":{failed},\"notes\":\"\"'", CLOSE)
-    head = _cat("'\"doc_type\":\"'", doc_type, "'\",'")
-    tail = _cat(f"',\"overall_confidence\":{0.9 - 0.15 * n:.2f}'", qa)
+            head, tail = f"@opt@{head}@/opt@", f"@opt@{tail}@/opt@"
+        return f'{{{head}"fields":[{_marked(t, items, entry)}]{tail}}}'
+    return _choose(render)
+
+
+def _response(n: int) -> list[str]:
+    """Expressions for the response text, to be applied one after the other on column x."""
+    steps = []
+    types = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPE_NAMES))
+    kind = f"CASE CAST(d % 7 AS INT) {types} END"
+    kind = {1: kind, 2: f"CASE WHEN d % 5 = 0 THEN 'unknown' ELSE {kind} END",
+            3: f"CASE WHEN d % 15 = 0 THEN 'receipt' ELSE {kind} END"}[n]
+    body = "x"
+    body = f"replace({body}, '@type@', {kind})"
+    if n == 1:
+        body = f"replace({body}, '@conf@', CASE WHEN d % 23 = 6 THEN '\"0.9\"' WHEN d % 29 = 7 THEN '1.7' WHEN d % 29 = 8 THEN '-0.4' ELSE '0.86' END)"
     if n == 3:
-        head = f"CASE WHEN d % 3 = 0 THEN '' ELSE {head} END"
-        tail = f"CASE WHEN d % 3 = 0 THEN '' ELSE {tail} END"
-    return _cat(OPEN, head, "'\"fields\":['", f"concat_ws(',', {', '.join(fields)})", "']'", tail, CLOSE)
-
-
-def _damaged(n: int) -> str:
-    body = f"body_{n}"
-    cut = f"substring({body}, 1, 60)"
+        body = f"replace({body}, '@conf@', CASE WHEN d % 37 = 9 THEN '\"high\"' ELSE '0.56' END)"
+    if n < 3:
+        body = (f"replace(replace({body}, '@zero@{0.80 - 0.12 * (n - 1):.2f}', CASE WHEN d % 16 = 1 THEN '0.0' "
+                f"ELSE '{0.80 - 0.12 * (n - 1):.2f}' END), '@zero@', '')")
+    steps.append(body)
+
+    def cut(tag, condition, instead=""):
+        keep = f"replace(replace(x, '@{tag}@', ''), '@/{tag}@', '')"
+        gone = _cat(f"split_part(x, '@{tag}@', 1)", _lit(instead), f"split_part(x, '@/{tag}@', 2)")
+        return f"CASE WHEN {condition} AND split_part(x, '@{tag}@', 2) <> '' THEN {gone} ELSE {keep} END"
+
+    if n == 1:
+        steps.append(cut("value", "d % 43 = 11", '"value":null'))
+        steps.append("replace(replace(x, '@src@', ''), '@/src@', '')")
+    if n == 2:
+        steps.append(cut("name", "d % 31 = 8"))
+        steps.append(cut("value", "d % 47 = 12", '"note":"no value"'))
+    if n == 3:
+        steps.append("CASE WHEN d % 3 = 0 THEN "
+                     + _cat("split_part(x, '@opt@', 1)",
+                            "split_part(split_part(x, '@/opt@', 2), '@opt@', 1)", "chr(125)")
+                     + " ELSE replace(replace(x, '@opt@', ''), '@/opt@', '') END")
+    cut60 = "substring(x, 1, 60)"
     extra = {
-        1: f"WHEN d % 14 = 3 THEN {_cat(repr('Here is the result: '), body, repr(' Done.'))} "
-           f"WHEN d % 53 = 13 THEN {_cat(repr('['), body, repr(']'))} ",
-        2: f"WHEN d % 17 = 4 THEN {cut} ",
+        1: f"WHEN d % 14 = 3 THEN {_cat(_lit('Here is the result: '), 'x', _lit(' Done.'))} "
+           f"WHEN d % 53 = 13 THEN {_cat(_lit('['), 'x', _lit(']'))} ",
+        2: f"WHEN d % 17 = 4 THEN {cut60} ",
         3: "WHEN d % 19 = 5 THEN 'I could not read the document.' ",
     }[n]
-    return f"CASE WHEN d % 41 = 10 THEN {cut} {extra}ELSE {body} END"
-
-
-def _tables_body() -> str:
-    """One table answer per document; some have no header, missing keys, ragged or out-of-range rows."""
-    def arr(*cells):
-        return _cat("'['", *[x for c in cells for x in ("','", _cat("'\"'", c, "'\"'"))][1:], "']'")
-
-    headers = ("CASE WHEN d % 4 = 1 THEN '' WHEN d % 4 = 2 THEN ',\"headers\":[\"\",\" \",\"\"]' "
-               "ELSE ',\"headers\":[\"Item\",\"Qty\",\"Amount\"]' END")
-    last = ("CASE WHEN d % 6 = 1 THEN '[\"Total\"]' WHEN d % 6 = 2 THEN '[\"Total 12\",\"2\",\"3\",\"extra\"]' ELSE "
-            + arr("'Total'", "''", "'Total amount $' || tot_s") + " END")
-    rows = _cat("',\"data\":['", arr("'Goods'", "count_s", "sub_s"), "','",
-                arr("'Tax due 03/04/2021'", "'1'", "tax_s"), "','", last, "']'")
-    dims = ("CASE d % 5 WHEN 0 THEN '' WHEN 1 THEN ',\"rows\":3,\"columns\":3' "
-            "WHEN 2 THEN ',\"rows\":0,\"columns\":3' ELSE ',\"rows\":4,\"columns\":3' END")
-    pos = ("CASE WHEN d % 3 = 0 THEN '' ELSE "
-           + _cat("',\"position\":'", OPEN, "'\"x\":'", "CAST(d % 50 AS STRING)", "',\"y\":'",
-                  "CAST(d % 90 AS STRING)", "',\"width\":200,\"height\":80'", CLOSE) + " END")
-    kind = "CASE d % 4 WHEN 0 THEN ',\"type\":\"line_items\"' WHEN 1 THEN ',\"type\":\"summary\"' ELSE '' END"
-    one = _cat(OPEN, "'\"table_id\":1'", kind, pos, dims, headers, rows, CLOSE)
-    second = _cat(OPEN, "'\"table_id\":2,\"type\":\"data\",\"headers\":[\"K\",\"V\"],\"data\":[[\"order\",\"'", "ds", "'\"]]'", CLOSE)
-    return _cat(OPEN, "'\"tables\":['", one, f"CASE WHEN d % 2 = 0 THEN ',' || {second} ELSE '' END", "']'", CLOSE)
-
-
-def _tables_response() -> str:
-    return ("CASE WHEN d % 20 = 19 THEN 'no tables found' WHEN d % 22 = 7 THEN substring(tables_body, 1, 40) "
-            "WHEN d % 6 = 0 THEN '```json ' || tables_body || ' ```' ELSE tables_body END")
+    steps.append(f"CASE WHEN d % 41 = 10 THEN {cut60} {extra}ELSE x END")
+    return steps
+
+
+def _tables_template() -> tuple[str, list[str]]:
+    """One table answer per document; some lack headers or keys, some have ragged or out-of-range rows."""
+    template = ('{"tables":[{"table_id":1@kind@@pos@@dims@@headers@,"data":[["Goods","@lines@","@sub!@"],'
+                '["Tax due 03/04/2021","1","@tax!@"],@last@]}@second@]}')
+    second = ',{"table_id":2,"type":"data","headers":["K","V"],"data":[["order","@id@"]]}'
+    position = ',"position":{"x":@small@,"y":@medium@,"width":200,"height":80}'
+    values = {
+        "kind": "CASE d % 4 WHEN 0 THEN ',\"type\":\"line_items\"' WHEN 1 THEN ',\"type\":\"summary\"' ELSE '' END",
+        "pos": f"CASE WHEN d % 3 = 0 THEN '' ELSE {_lit(position)} END",
+        "dims": "CASE d % 5 WHEN 0 THEN '' WHEN 1 THEN ',\"rows\":3,\"columns\":3' "
+                "WHEN 2 THEN ',\"rows\":0,\"columns\":3' ELSE ',\"rows\":4,\"columns\":3' END",
+        "headers": "CASE WHEN d % 4 = 1 THEN '' WHEN d % 4 = 2 THEN ',\"headers\":[\"\",\" \",\"\"]' "
+                   "ELSE ',\"headers\":[\"Item\",\"Qty\",\"Amount\"]' END",
+        "last": "CASE WHEN d % 6 = 1 THEN '[\"Total\"]' WHEN d % 6 = 2 THEN '[\"Total 12\",\"2\",\"3\",\"extra\"]' "
+                "ELSE '[\"Total\",\"\",\"Total amount $@tot!@\"]' END",
+        "second": f"CASE WHEN d % 2 = 0 THEN {_lit(second)} ELSE '' END",
+    }
+    expr = _lit(template)
+    for token, value in values.items():
+        expr = f"replace({expr}, '@{token}@', {value})"
+    return expr, [template, second, position, "@tot!@"]
 
 
 # ---- the nested SELECT -----------------------------------------------------------
@@ -331,7 +342,7 @@ BASE_SQL = """
 SELECT o_orderkey AS d, CAST(o_orderkey AS STRING) AS ds, o_orderdate AS od,
        o_orderdate + INTERVAL 30 DAY AS later, o_orderdate - INTERVAL 9000 DAY AS past,
        c_name AS cust, n_name AS nation, c_mktsegment AS seg,
-       li.n_lines AS n_lines, CAST(li.n_lines AS STRING) AS lines_s,
+       li.n_lines AS n_lines, coalesce(CAST(li.n_lines AS STRING), '0') AS count_s,
        li.sub_c AS sub_c, li.tax_c AS tax_c,
        CASE WHEN o_orderkey % 11 = 0 THEN CAST(round(o_totalprice * 100) AS BIGINT)
             ELSE li.sub_c + li.tax_c END AS tot_c
@@ -351,55 +362,71 @@ LEFT JOIN (
 """
 
 
+def _columns() -> dict[str, list[str]]:
+    """Per output column the expressions to apply in turn; each sees the previous one as x."""
+    text, text_templates = _text_template()
+    truth_expr, truth_templates = _choose(lambda t, items: _marked(
+        t, items, lambda j, label, printed: f"{label}={_known(printed)}\n"))
+    tables, table_templates = _tables_template()
+    unmark = f"translate(x, {_lit(MARKS)}, '')"
+    out = {
+        "true_type": [f"CASE CAST(d % 7 AS INT) {' '.join(f'WHEN {i} THEN {_lit(t)}' for i, t in enumerate(TYPE_NAMES))} END"],
+        "label": ["CAST(d % 7 AS INT)"],
+        "mime": ["CASE WHEN d % 5 = 0 THEN 'image/png' WHEN d % 5 = 3 THEN 'image/jpeg' "
+                 "WHEN d % 10 = 4 THEN 'text/csv' ELSE 'application/pdf' END"],
+        "size_bytes": ["CAST(CASE WHEN d % 20 = 1 THEN 75000 WHEN d % 20 = 2 THEN 75001 WHEN d % 20 = 3 THEN 2097152 "
+                       "WHEN d % 20 = 4 THEN 2097153 ELSE coalesce(tot_c, d) % 4000000 END AS BIGINT)"],
+        "text": [text, _drop("x", "d % 9"), _document("x"), _fill("x", text_templates), unmark,
+                 f"CASE WHEN d % 97 = 0 THEN '' WHEN d % 83 = 2 THEN {_cat(NL, _lit('  '), NL, NL)} "
+                 f"WHEN d % 89 = 1 THEN {_cat(_lit('NOTE'), NL, _lit('see order '), 'ds')} ELSE x END"],
+        "truth_text": [truth_expr, _drop("x", "(20 - d * 3 % 20) % 20"), _fill("x", truth_templates), unmark],
+        "user_fields": ["CASE d % 6 WHEN 0 THEN ' PO Number , Due Date,' WHEN 1 THEN 'Total Amount,Total Amount, Notes' "
+                        "WHEN 2 THEN ' , ' WHEN 3 THEN 'a,b,c,d,e,f,g,h' ELSE CAST(NULL AS STRING) END"],
+        "tables_json": [tables, _fill("x", table_templates),
+                        "CASE WHEN d % 20 = 19 THEN 'no tables found' WHEN d % 22 = 7 THEN substring(x, 1, 40) "
+                        "WHEN d % 6 = 0 THEN '```json ' || x || ' ```' ELSE x END"],
+        "image_width": ["CAST(CASE WHEN d % 30 = 0 THEN 15 ELSE 100 + d % 300 END AS INT)"],
+        "image_height": ["CAST(CASE WHEN d % 30 = 1 THEN 10 ELSE 45 + d % 400 END AS INT)"],
+    }
+    for n in (1, 2, 3):
+        expr, templates = _response_template(n)
+        gone = f"(9 - d % 9) % 9" if n == 1 else f"(d + {n}) % 8"
+        out[f"response_{n}"] = [expr, _drop("x", gone), _fill("x", templates),
+                                f"replace(translate(x, {_lit(MARKS)}, ''), ',]', ']')"] + _response(n)
+    return out
+
+
 def corpus_sql(columns: list[str], orders="orders", customer="customer",
                nation="nation", lineitem="lineitem") -> str:
     """SELECT rendering the asked-for corpus columns (doc_id always included).
 
-    The nested SELECTs name every formatted value once, so that wide texts
-    refer to short columns instead of repeating the formatting.
+    Nested SELECTs name every intermediate value once, so that each step works
+    on a short column instead of repeating the expression below it.
     """
     base = BASE_SQL
     for name, value in (("orders", orders), ("customer", customer), ("nation", nation), ("lineitem", lineitem)):
         base = base.replace("{" + name + "}", value)
-
-    money = ("sub_c", "tax_c", "tot_c")
-    dates = ("od", "later", "past")
+    money, dates = ("sub_c", "tax_c", "tot_c"), ("od", "later", "past")
     formatted = [f"{_plain(c)} AS {c}_plain, {_grouped(c)} AS {c}_grouped" for c in money]
     formatted += [f"{_date(t)} AS {t}_printed, {_us_date(t)} AS {t}_known" for t in dates]
     printed = [f"{_money(c)} AS {c}_printed" for c in money]
-    slots = [f"{_slot(j, 0)} AS l{j}, {_slot(j, 1)} AS p{j}, {_slot(j, 2)} AS k{j}" for j in range(SLOTS)]
-    named = [f"{_by_type(lambda t: repr(t))} AS t",
-             f"{_by_type(lambda t: _TITLES[t][0])} AS title", f"{_by_type(lambda t: _TITLES[t][1])} AS footer",
-             "coalesce(sub_c_plain, '0.00') AS sub_s", "coalesce(tax_c_plain, '0.00') AS tax_s",
-             "coalesce(tot_c_plain, '0.00') AS tot_s", "coalesce(lines_s, '0') AS count_s"]
-    bodies = []
-    for n in (1, 2, 3):
-        if f"response_{n}" in columns:
-            bodies.append(f"{_response(n)} AS body_{n}")
-    if "tables_json" in columns:
-        bodies.append(f"{_tables_body()} AS tables_body")
-
-    available = {
-        "true_type": "t",
-        "label": "CAST(d % 7 AS INT)",
-        "mime": "CASE WHEN d % 5 = 0 THEN 'image/png' WHEN d % 5 = 3 THEN 'image/jpeg' "
-                "WHEN d % 10 = 4 THEN 'text/csv' ELSE 'application/pdf' END",
-        "size_bytes": "CAST(CASE WHEN d % 20 = 1 THEN 75000 WHEN d % 20 = 2 THEN 75001 WHEN d % 20 = 3 THEN 2097152 "
-                      "WHEN d % 20 = 4 THEN 2097153 ELSE coalesce(tot_c, d) % 4000000 END AS BIGINT)",
-        "text": _document(),
-        "truth_text": _truth(),
-        "user_fields": "CASE d % 6 WHEN 0 THEN ' PO Number , Due Date,' WHEN 1 THEN 'Total Amount,Total Amount, Notes' "
-                       "WHEN 2 THEN ' , ' WHEN 3 THEN 'a,b,c,d,e,f,g,h' ELSE CAST(NULL AS STRING) END",
-        "response_1": _damaged(1), "response_2": _damaged(2), "response_3": _damaged(3),
-        "tables_json": _tables_response(),
-        "image_width": "CAST(CASE WHEN d % 30 = 0 THEN 15 ELSE 100 + d % 300 END AS INT)",
-        "image_height": "CAST(CASE WHEN d % 30 = 1 THEN 10 ELSE 45 + d % 400 END AS INT)",
-    }
-    wanted = ", ".join(["d AS doc_id"] + [f"{available[c]} AS {c}" for c in columns])
-    body_list = "".join(f", {b}" for b in bodies)
-    return (f"SELECT {wanted} FROM (SELECT *{body_list} FROM (SELECT *, {', '.join(slots + named)} FROM ("
-            f"SELECT *, {', '.join(printed)} FROM (SELECT *, {', '.join(formatted)} FROM ({base}) AS b0"
-            f") AS b1) AS b2) AS b3) AS b4")
+    sql = (f"SELECT *, {', '.join(printed)} FROM (SELECT *, {', '.join(formatted)} "
+           f"FROM ({base}) AS b0) AS b1")
+    steps = {c: _columns()[c] for c in columns}
+    depth = max(len(v) for v in steps.values())
+    for level in range(depth):
+        new = []
+        for c, exprs in steps.items():
+            if level < len(exprs):
+                new.append(f"{_rename(exprs[level], c, level)} AS {c}_{level}")
+        sql = f"SELECT *, {', '.join(new)} FROM ({sql}) AS s{level}"
+    wanted = ", ".join(["d AS doc_id"] + [f"{c}_{len(steps[c]) - 1} AS {c}" for c in columns])
+    return f"SELECT {wanted} FROM ({sql}) AS done"
+
+
+def _rename(expr: str, column: str, level: int) -> str:
+    """Bind x, the previous step of the same column."""
+    return re.sub(r"\bx\b(?=[,) ]|$)", f"{column}_{level - 1}", expr) if level else expr
 
 
 def corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
