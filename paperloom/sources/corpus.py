@@ -18,12 +18,15 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.sources.tables import read_table
+from paperloom.sources.tables import read_table, spread
 
 NL = "chr(10)"
 SLOTS = 10
 # Private-use characters that mark the start of each field in a template.
 MARKS = "".join(chr(0xE000 + j) for j in range(21))
+# More of them open and close stretches that damage may cut out.
+TAGS = {name: (chr(0xE020 + 2 * i), chr(0xE021 + 2 * i)) for i, name in enumerate(("value", "name", "opt"))}
+UNMARK = MARKS + "".join(a + b for a, b in TAGS.values())
 
 
 def _cat(*parts: str) -> str:
@@ -162,12 +165,16 @@ def _known(template: str) -> str:
     return template
 
 
-def _fill(expr: str, templates: list[str]) -> str:
-    """Replace the tokens that occur in any of the templates."""
-    for token, value in TOKENS.items():
-        if any(f"@{token}@" in t for t in templates):
-            expr = f"replace({expr}, '@{token}@', coalesce({value}, ''))"
-    return expr
+def _printf(template: str) -> str:
+    """One printf call for a template with @token@ placeholders."""
+    tokens = re.findall(r"@([a-z]+!?)@", template)
+    fmt = re.sub(r"@[a-z]+!?@", "%s", template.replace("%", "%%"))
+    args = "".join(f", {_token_column(t)}" for t in tokens)
+    return f"printf({_lit(fmt)}{args})"
+
+
+def _token_column(token: str) -> str:
+    return "tk_" + token.replace("!", "_known")
 
 
 def _marked(t: str, items: bool, render) -> str:
@@ -183,13 +190,10 @@ def _marked(t: str, items: bool, render) -> str:
     return "".join(out) + MARKS[SLOTS]
 
 
-def _choose(render) -> tuple[str, list[str]]:
-    """CASE over type and presence of line items; returns the expression and its templates."""
-    with_items = [render(t, True) for t in TYPE_NAMES]
-    without = [render(t, False) for t in TYPE_NAMES]
-    whens = [f"WHEN {i} THEN {_lit(x)}" for i, x in enumerate(with_items + without)]
-    return (f"CASE CAST(d % 7 + CASE WHEN n_lines IS NULL THEN 7 ELSE 0 END AS INT) {' '.join(whens)} END",
-            with_items + without)
+def _choose(render) -> str:
+    """CASE over type and presence of line items, one printf per branch."""
+    templates = [render(t, True) for t in TYPE_NAMES] + [render(t, False) for t in TYPE_NAMES]
+    return f"CASE variant {' '.join(f'WHEN {i} THEN {_printf(x)}' for i, x in enumerate(templates))} END"
 
 
 def _drop(expr: str, j: str) -> str:
@@ -198,110 +202,107 @@ def _drop(expr: str, j: str) -> str:
     return _cat(f"split_part({expr}, {start}, 1)", f"split_part({expr}, {end}, 2)")
 
 
-def _document(template: str) -> str:
-    extras = {
-        "@title@": "CASE WHEN d % 12 = 7 THEN 'page 1' WHEN d % 21 = 18 THEN 'PRESCRIPTION' ELSE '@head@' END",
-        "@blank@": f"CASE WHEN d % 4 = 1 THEN {NL} ELSE '' END",
-        "@accent@": "CASE WHEN d % 8 = 5 THEN " + _lit("Café crème à Genève 12.50$\n") + " ELSE '' END",
-        "@table@": ("CASE WHEN n_lines IS NULL THEN '' WHEN d % 5 = 0 THEN "
-                    + _lit("\n".join(r.replace("|", "\t") for r in _GOODS) + "\n")
-                    + " WHEN d % 5 = 1 THEN "
-                    + _lit("\n".join([r.replace("|", "  ") for r in _GOODS] + ["Rates in force"]
-                                     + [r.replace("|", "   ") for r in _RATES]) + "\n")
-                    + " WHEN d % 10 = 2 THEN " + _lit("\n".join(r.replace("|", "   ") for r in _RATES) + "\n")
-                    + " ELSE '' END"),
-        "@note@": "CASE WHEN d % 9 = 4 THEN " + _lit("  indented note   with   spaces \n") + " ELSE '' END",
-        "@again@": "CASE WHEN d % 10 = 3 THEN " + _lit("Due Date: @later!@\n") + " ELSE '' END",
-        "@copy@": "CASE WHEN d % 14 = 6 THEN " + _lit("COPY\n") + " WHEN d % 14 = 8 THEN "
-                  + _lit("CUSTOMER COPY\n") + " ELSE '' END",
-    }
-    expr = template
-    for token, value in extras.items():
-        expr = f"replace({expr}, '{token}', {value})"
-    heads = " ".join(f"WHEN {i} THEN {_lit(_TITLES[t][0])}" for i, t in enumerate(TYPE_NAMES))
-    foots = " ".join(f"WHEN {i} THEN {_lit(_TITLES[t][1])}" for i, t in enumerate(TYPE_NAMES))
-    expr = f"replace({expr}, '@head@', CASE CAST(d % 7 AS INT) {heads} END)"
-    expr = f"replace({expr}, '@foot@', CASE WHEN d % 12 = 7 THEN 'end' ELSE CASE CAST(d % 7 AS INT) {foots} END END)"
-    return expr
+def _by_type(values: list[str]) -> str:
+    return f"CASE CAST(d % 7 AS INT) {' '.join(f'WHEN {i} THEN {v}' for i, v in enumerate(values))} END"
+
+
+def _lines(rows: list[str], sep: str) -> str:
+    return "\n".join(r.replace("|", sep) for r in rows) + "\n"
+
+
+# Optional pieces of a document, and the varying parts of responses.
+PIECES = {
+    "type": _by_type([_lit(t) for t in TYPE_NAMES]),
+    "title": "CASE WHEN d % 12 = 7 THEN 'page 1' WHEN d % 21 = 18 THEN 'PRESCRIPTION' ELSE "
+             + _by_type([_lit(_TITLES[t][0]) for t in TYPE_NAMES]) + " END",
+    "foot": "CASE WHEN d % 12 = 7 THEN 'end' ELSE "
+            + _by_type([_lit(_TITLES[t][1]) for t in TYPE_NAMES]) + " END",
+    "blank": f"CASE WHEN d % 4 = 1 THEN {NL} ELSE '' END",
+    "accent": "CASE WHEN d % 8 = 5 THEN " + _lit("Café crème à Genève 12.50$\n") + " ELSE '' END",
+    "note": "CASE WHEN d % 9 = 4 THEN " + _lit("  indented note   with   spaces \n") + " ELSE '' END",
+    "copy": "CASE WHEN d % 14 = 6 THEN " + _lit("COPY\n") + " WHEN d % 14 = 8 THEN "
+            + _lit("CUSTOMER COPY\n") + " ELSE '' END",
+    "confa": "CASE WHEN d % 23 = 6 THEN '\"0.9\"' WHEN d % 29 = 7 THEN '1.7' WHEN d % 29 = 8 THEN '-0.4' ELSE '0.86' END",
+    "confb": "CASE WHEN d % 37 = 9 THEN '\"high\"' ELSE '0.56' END",
+    "zeroa": "CASE WHEN d % 16 = 1 THEN '0.0' ELSE '0.80' END",
+    "zerob": "CASE WHEN d % 16 = 1 THEN '0.0' ELSE '0.68' END",
+    "typeb": "CASE WHEN d % 5 = 0 THEN 'unknown' ELSE tk_type END",
+    "typec": "CASE WHEN d % 15 = 0 THEN 'receipt' ELSE tk_type END",
+    "kind": "CASE d % 4 WHEN 0 THEN ',\"type\":\"line_items\"' WHEN 1 THEN ',\"type\":\"summary\"' ELSE '' END",
+    "dims": "CASE d % 5 WHEN 0 THEN '' WHEN 1 THEN ',\"rows\":3,\"columns\":3' "
+            "WHEN 2 THEN ',\"rows\":0,\"columns\":3' ELSE ',\"rows\":4,\"columns\":3' END",
+    "headers": "CASE WHEN d % 4 = 1 THEN '' WHEN d % 4 = 2 THEN ',\"headers\":[\"\",\" \",\"\"]' "
+               "ELSE ',\"headers\":[\"Item\",\"Qty\",\"Amount\"]' END",
+}
+# Pieces that are templates themselves.
+FILLED = {
+    "again": "CASE WHEN d % 10 = 3 THEN " + _printf("Due Date: @later!@\n") + " ELSE '' END",
+    "table": ("CASE WHEN n_lines IS NULL THEN '' WHEN d % 5 = 0 THEN " + _printf(_lines(_GOODS, "\t"))
+              + " WHEN d % 5 = 1 THEN "
+              + _printf(_lines(_GOODS, "  ") + "Rates in force\n" + _lines(_RATES, "   "))
+              + " WHEN d % 10 = 2 THEN " + _printf(_lines(_RATES, "   ")) + " ELSE '' END"),
+    "pos": "CASE WHEN d % 3 = 0 THEN '' ELSE "
+           + _printf(',"position":{"x":@small@,"y":@medium@,"width":200,"height":80}') + " END",
+    "last": "CASE WHEN d % 6 = 1 THEN '[\"Total\"]' WHEN d % 6 = 2 THEN '[\"Total 12\",\"2\",\"3\",\"extra\"]' "
+            "ELSE " + _printf('["Total","","Total amount $@tot!@"]') + " END",
+    "second": "CASE WHEN d % 2 = 0 THEN "
+              + _printf(',{"table_id":2,"type":"data","headers":["K","V"],"data":[["order","@id@"]]}') + " ELSE '' END",
+}
 
 
-def _text_template() -> tuple[str, list[str]]:
+def _text() -> str:
     def render(t, items):
         def line(j, label, printed):
-            extra = {1: "@blank@", 3: "@accent@"}.get(j, "")
-            return f"{label}: {printed}\n{extra}"
-        body = _marked(t, items, line)
-        return f"@title@\n{body}@table@@note@@again@@copy@@foot@"
-    expr, templates = _choose(render)
-    extra = _GOODS + _RATES + ["@later!@"]
-    return expr, templates + extra
+            return f"{label}: {printed}\n" + {1: "@blank@", 3: "@accent@"}.get(j, "")
+        return f"@title@\n{_marked(t, items, line)}@table@@note@@again@@copy@@foot@"
+    return _choose(render)
+
 
+def _response(n: int) -> str:
+    def tag(name, text):
+        return TAGS[name][0] + text + TAGS[name][1]
 
-def _response_template(n: int) -> tuple[str, list[str]]:
     def render(t, items):
         def entry(j, label, printed):
             value = printed if n == 1 else _known(printed)
-            value = f' {value} ' if n == 3 and j == 1 else value
-            conf = f"{0.92 - 0.06 * (j % 5) - 0.12 * (n - 1):.2f}"
-            if (n, j) in ((1, 1), (3, 2)):
-                conf = "@conf@"
-            if j == 2 and n < 3:
-                conf = f"@zero@{conf}"
-            name = f'"name":"{label}",'
-            if (n, j) == (2, 3):
-                name = f"@name@{name}@/name@"
-            if (n, j) == (3, 0):
-                name = f'"name":" {label.lower()}  ",'
+            value = f" {value} " if n == 3 and j == 1 else value
+            conf = {(1, 1): "@confa@", (3, 2): "@confb@", (1, 2): "@zeroa@", (2, 2): "@zerob@"}.get(
+                (n, j), f"{0.92 - 0.06 * (j % 5) - 0.12 * (n - 1):.2f}")
+            name = f'"name":" {label.lower()}  ",' if (n, j) == (3, 0) else f'"name":"{label}",'
+            name = tag("name", name) if (n, j) == (2, 3) else name
             val = f'"value":"{value}"'
-            if n < 3 and j == 4:
-                val = f"@value@{val}@/value@"
-            src = f'@src@,"source":{{"page":1,"bbox":[0,{25 * j},100,{25 * j + 20}]}}@/src@' if n == 1 else ""
+            val = tag("value", val) if n < 3 and j == 4 else val
+            src = f',"source":{{"page":1,"bbox":[0,{25 * j},100,{25 * j + 20}]}}' if n == 1 else ""
             return f'{{{name}{val},"confidence":{conf}{src}}},'
         passed = '["totals_match","dates_ordered"]' if n == 2 else '["totals_match"]'
         failed = "[]" if n == 2 else '["currency_known"]'
-        head = '"doc_type":"@type@",'
+        head = f'"doc_type":"@type{["", "b", "c"][n - 1]}@",'
         tail = (f',"overall_confidence":{0.9 - 0.15 * n:.2f},'
                 f'"qa":{{"passed_rules":{passed},"failed_rules":{failed},"notes":""}}')
         if n == 3:
-            head, tail = f"@opt@{head}@/opt@", f"@opt@{tail}@/opt@"
+            head, tail = tag("opt", head), tag("opt", tail)
         return f'{{{head}"fields":[{_marked(t, items, entry)}]{tail}}}'
     return _choose(render)
 
 
-def _response(n: int) -> list[str]:
-    """Expressions for the response text, to be applied one after the other on column x."""
-    steps = []
-    types = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPE_NAMES))
-    kind = f"CASE CAST(d % 7 AS INT) {types} END"
-    kind = {1: kind, 2: f"CASE WHEN d % 5 = 0 THEN 'unknown' ELSE {kind} END",
-            3: f"CASE WHEN d % 15 = 0 THEN 'receipt' ELSE {kind} END"}[n]
-    body = "x"
-    body = f"replace({body}, '@type@', {kind})"
-    if n == 1:
-        body = f"replace({body}, '@conf@', CASE WHEN d % 23 = 6 THEN '\"0.9\"' WHEN d % 29 = 7 THEN '1.7' WHEN d % 29 = 8 THEN '-0.4' ELSE '0.86' END)"
-    if n == 3:
-        body = f"replace({body}, '@conf@', CASE WHEN d % 37 = 9 THEN '\"high\"' ELSE '0.56' END)"
-    if n < 3:
-        body = (f"replace(replace({body}, '@zero@{0.80 - 0.12 * (n - 1):.2f}', CASE WHEN d % 16 = 1 THEN '0.0' "
-                f"ELSE '{0.80 - 0.12 * (n - 1):.2f}' END), '@zero@', '')")
-    steps.append(body)
-
-    def cut(tag, condition, instead=""):
-        keep = f"replace(replace(x, '@{tag}@', ''), '@/{tag}@', '')"
-        gone = _cat(f"split_part(x, '@{tag}@', 1)", _lit(instead), f"split_part(x, '@/{tag}@', 2)")
-        return f"CASE WHEN {condition} AND split_part(x, '@{tag}@', 2) <> '' THEN {gone} ELSE {keep} END"
+def _response_steps(n: int) -> list[str]:
+    """Damage applied to the response, one expression after the other on column x."""
+    def cut(name, condition, instead=""):
+        start, end = (_lit(c) for c in TAGS[name])
+        gone = _cat(f"split_part(x, {start}, 1)", _lit(instead), f"split_part(x, {end}, 2)")
+        return f"CASE WHEN {condition} AND split_part(x, {start}, 2) <> '' THEN {gone} ELSE x END"
 
+    steps = []
     if n == 1:
         steps.append(cut("value", "d % 43 = 11", '"value":null'))
-        steps.append("replace(replace(x, '@src@', ''), '@/src@', '')")
     if n == 2:
         steps.append(cut("name", "d % 31 = 8"))
         steps.append(cut("value", "d % 47 = 12", '"note":"no value"'))
     if n == 3:
-        steps.append("CASE WHEN d % 3 = 0 THEN "
-                     + _cat("split_part(x, '@opt@', 1)",
-                            "split_part(split_part(x, '@/opt@', 2), '@opt@', 1)", "chr(125)")
-                     + " ELSE replace(replace(x, '@opt@', ''), '@/opt@', '') END")
+        start, end = (_lit(c) for c in TAGS["opt"])
+        bare = _cat(f"split_part(x, {start}, 1)", f"split_part(split_part(x, {end}, 2), {start}, 1)", "chr(125)")
+        steps.append(f"CASE WHEN d % 3 = 0 THEN {bare} ELSE x END")
+    steps.append(f"replace(translate(x, {_lit(UNMARK)}, ''), ',]', ']')")
     cut60 = "substring(x, 1, 60)"
     extra = {
         1: f"WHEN d % 14 = 3 THEN {_cat(_lit('Here is the result: '), 'x', _lit(' Done.'))} "
@@ -313,27 +314,9 @@ def _response(n: int) -> list[str]:
     return steps
 
 
-def _tables_template() -> tuple[str, list[str]]:
-    """One table answer per document; some lack headers or keys, some have ragged or out-of-range rows."""
-    template = ('{"tables":[{"table_id":1@kind@@pos@@dims@@headers@,"data":[["Goods","@lines@","@sub!@"],'
-                '["Tax due 03/04/2021","1","@tax!@"],@last@]}@second@]}')
-    second = ',{"table_id":2,"type":"data","headers":["K","V"],"data":[["order","@id@"]]}'
-    position = ',"position":{"x":@small@,"y":@medium@,"width":200,"height":80}'
-    values = {
-        "kind": "CASE d % 4 WHEN 0 THEN ',\"type\":\"line_items\"' WHEN 1 THEN ',\"type\":\"summary\"' ELSE '' END",
-        "pos": f"CASE WHEN d % 3 = 0 THEN '' ELSE {_lit(position)} END",
-        "dims": "CASE d % 5 WHEN 0 THEN '' WHEN 1 THEN ',\"rows\":3,\"columns\":3' "
-                "WHEN 2 THEN ',\"rows\":0,\"columns\":3' ELSE ',\"rows\":4,\"columns\":3' END",
-        "headers": "CASE WHEN d % 4 = 1 THEN '' WHEN d % 4 = 2 THEN ',\"headers\":[\"\",\" \",\"\"]' "
-                   "ELSE ',\"headers\":[\"Item\",\"Qty\",\"Amount\"]' END",
-        "last": "CASE WHEN d % 6 = 1 THEN '[\"Total\"]' WHEN d % 6 = 2 THEN '[\"Total 12\",\"2\",\"3\",\"extra\"]' "
-                "ELSE '[\"Total\",\"\",\"Total amount $@tot!@\"]' END",
-        "second": f"CASE WHEN d % 2 = 0 THEN {_lit(second)} ELSE '' END",
-    }
-    expr = _lit(template)
-    for token, value in values.items():
-        expr = f"replace({expr}, '@{token}@', {value})"
-    return expr, [template, second, position, "@tot!@"]
+# One table answer per document; some lack headers or keys, some have ragged or out-of-range rows.
+_TABLES = ('{"tables":[{"table_id":1@kind@@pos@@dims@@headers@,"data":[["Goods","@lines@","@sub!@"],'
+           '["Tax due 03/04/2021","1","@tax!@"],@last@]}@second@]}')
 
 
 # ---- the nested SELECT -----------------------------------------------------------
@@ -364,35 +347,31 @@ LEFT JOIN (
 
 def _columns() -> dict[str, list[str]]:
     """Per output column the expressions to apply in turn; each sees the previous one as x."""
-    text, text_templates = _text_template()
-    truth_expr, truth_templates = _choose(lambda t, items: _marked(
+    known = _choose(lambda t, items: _marked(
         t, items, lambda j, label, printed: f"{label}={_known(printed)}\n"))
-    tables, table_templates = _tables_template()
-    unmark = f"translate(x, {_lit(MARKS)}, '')"
+    unmark = f"translate(x, {_lit(UNMARK)}, '')"
     out = {
-        "true_type": [f"CASE CAST(d % 7 AS INT) {' '.join(f'WHEN {i} THEN {_lit(t)}' for i, t in enumerate(TYPE_NAMES))} END"],
+        "true_type": ["tk_type"],
         "label": ["CAST(d % 7 AS INT)"],
         "mime": ["CASE WHEN d % 5 = 0 THEN 'image/png' WHEN d % 5 = 3 THEN 'image/jpeg' "
                  "WHEN d % 10 = 4 THEN 'text/csv' ELSE 'application/pdf' END"],
         "size_bytes": ["CAST(CASE WHEN d % 20 = 1 THEN 75000 WHEN d % 20 = 2 THEN 75001 WHEN d % 20 = 3 THEN 2097152 "
                        "WHEN d % 20 = 4 THEN 2097153 ELSE coalesce(tot_c, d) % 4000000 END AS BIGINT)"],
-        "text": [text, _drop("x", "d % 9"), _document("x"), _fill("x", text_templates), unmark,
+        "text": [_text(), _drop("x", "d % 9"), unmark,
                  f"CASE WHEN d % 97 = 0 THEN '' WHEN d % 83 = 2 THEN {_cat(NL, _lit('  '), NL, NL)} "
                  f"WHEN d % 89 = 1 THEN {_cat(_lit('NOTE'), NL, _lit('see order '), 'ds')} ELSE x END"],
-        "truth_text": [truth_expr, _drop("x", "(20 - d * 3 % 20) % 20"), _fill("x", truth_templates), unmark],
+        "truth_text": [known, _drop("x", "(20 - d * 3 % 20) % 20"), unmark],
         "user_fields": ["CASE d % 6 WHEN 0 THEN ' PO Number , Due Date,' WHEN 1 THEN 'Total Amount,Total Amount, Notes' "
                         "WHEN 2 THEN ' , ' WHEN 3 THEN 'a,b,c,d,e,f,g,h' ELSE CAST(NULL AS STRING) END"],
-        "tables_json": [tables, _fill("x", table_templates),
+        "tables_json": [_printf(_TABLES),
                         "CASE WHEN d % 20 = 19 THEN 'no tables found' WHEN d % 22 = 7 THEN substring(x, 1, 40) "
                         "WHEN d % 6 = 0 THEN '```json ' || x || ' ```' ELSE x END"],
         "image_width": ["CAST(CASE WHEN d % 30 = 0 THEN 15 ELSE 100 + d % 300 END AS INT)"],
         "image_height": ["CAST(CASE WHEN d % 30 = 1 THEN 10 ELSE 45 + d % 400 END AS INT)"],
     }
     for n in (1, 2, 3):
-        expr, templates = _response_template(n)
-        gone = f"(9 - d % 9) % 9" if n == 1 else f"(d + {n}) % 8"
-        out[f"response_{n}"] = [expr, _drop("x", gone), _fill("x", templates),
-                                f"replace(translate(x, {_lit(MARKS)}, ''), ',]', ']')"] + _response(n)
+        gone = "(9 - d % 9) % 9" if n == 1 else f"(d + {n}) % 8"
+        out[f"response_{n}"] = [_response(n), _drop("x", gone)] + _response_steps(n)
     return out
 
 
@@ -410,9 +389,17 @@ def corpus_sql(columns: list[str], orders="orders", customer="customer",
     formatted = [f"{_plain(c)} AS {c}_plain, {_grouped(c)} AS {c}_grouped" for c in money]
     formatted += [f"{_date(t)} AS {t}_printed, {_us_date(t)} AS {t}_known" for t in dates]
     printed = [f"{_money(c)} AS {c}_printed" for c in money]
-    sql = (f"SELECT *, {', '.join(printed)} FROM (SELECT *, {', '.join(formatted)} "
-           f"FROM ({base}) AS b0) AS b1")
-    steps = {c: _columns()[c] for c in columns}
+    variant = "CAST(d % 7 + CASE WHEN n_lines IS NULL THEN 7 ELSE 0 END AS INT) AS variant"
+    tokens = [f"coalesce({v}, '') AS {_token_column(k)}" for k, v in TOKENS.items()]
+    plain = [f"{v} AS {_token_column(k)}" for k, v in PIECES.items() if "tk_" not in v]
+    nested = [f"{v} AS {_token_column(k)}" for k, v in PIECES.items() if "tk_" in v]
+    filled = [f"{v} AS {_token_column(k)}" for k, v in FILLED.items()]
+    sql = f"SELECT *, {', '.join(formatted)} FROM ({base}) AS b0"
+    sql = f"SELECT *, {', '.join(printed)} FROM ({sql}) AS b1"
+    sql = f"SELECT *, {variant}, {', '.join(tokens + plain)} FROM ({sql}) AS b2"
+    sql = f"SELECT *, {', '.join(nested + filled)} FROM ({sql}) AS b3"
+    all_columns = _columns()
+    steps = {c: all_columns[c] for c in columns}
     depth = max(len(v) for v in steps.values())
     for level in range(depth):
         new = []
@@ -431,12 +418,12 @@ def _rename(expr: str, column: str, level: int) -> str:
 
 def corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The rendered corpus with the asked-for columns."""
-    sql = corpus_sql(list(columns), "@orders@", "@customer@", "@nation@", "@lineitem@")
-    sql = sql.replace("{", "{{").replace("}", "}}")
-    tables = ("orders", "customer", "nation", "lineitem")
+    tables = {t: read_table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "lineitem")}
+    tables["orders"] = spread(tables["orders"], "o_orderkey")
+    sql = corpus_sql(list(columns), *(f"<<{t}>>" for t in tables)).replace("{", "{{").replace("}", "}}")
     for t in tables:
-        sql = sql.replace(f"@{t}@", "{" + t + "}")
-    return spark.sql(sql, **{t: read_table(spark, sf_dir, t) for t in tables})
+        sql = sql.replace(f"<<{t}>>", "{" + t + "}")
+    return spark.sql(sql, **tables)
 
 
 def samples_raw(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
