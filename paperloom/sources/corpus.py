@@ -14,10 +14,12 @@ text is built by scalar expressions in the row.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.session import work_dir
 from paperloom.sources.tables import read_table, spread
 
 NL = "chr(10)"
@@ -426,9 +428,25 @@ def corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.sql(sql, **tables)
 
 
+ALL_COLUMNS = ["true_type", "label", "mime", "size_bytes", "text", "truth_text", "user_fields", "response_1",
+               "response_2", "response_3", "tables_json", "image_width", "image_height"]
+_written: dict[tuple[str, str], str] = {}
+
+
+def corpus_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The corpus as a stored table, written once per application and source to
+    the cluster's shared work folder; queries read only the columns they need."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        path = f"{work_dir(spark)}/corpus-{uuid.uuid4().hex}"
+        corpus(spark, sf_dir, *ALL_COLUMNS).write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key]).select("doc_id", *columns)
+
+
 def samples_raw(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """Raw extractor responses, one row per (document, sample)."""
-    df = corpus(spark, sf_dir, "response_1", "response_2", "response_3", *extra)
+    df = corpus_table(spark, sf_dir, "response_1", "response_2", "response_3", *extra)
     return df.select("doc_id", *extra, F.posexplode(
         F.array("response_1", "response_2", "response_3")).alias("pos0", "response")).select(
         "doc_id", *extra, (F.col("pos0") + 1).alias("sample_no"), "response")
@@ -436,7 +454,7 @@ def samples_raw(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground truth as a long table: doc_id, pos, name, value."""
-    df = corpus(spark, sf_dir, "truth_text")
+    df = corpus_table(spark, sf_dir, "truth_text")
     pair = F.posexplode(F.filter(F.split("truth_text", "\n"), lambda x: x != "")).alias("pos", "pair")
     return df.select("doc_id", pair).select(
         "doc_id", "pos",
