@@ -114,6 +114,10 @@ def tokens(c: Column, stop_words: list[str] | None = None) -> Column:
     return F.filter(words, lambda w: ~w.isin(stop))
 
 
+def _window(toks: Column, n: int):
+    return lambda i: F.array_join(F.slice(toks, i, n), " ")
+
+
 def ngrams(toks: str, n_max: int) -> Column:
     """All n-grams of 1..n_max tokens of a token column, with repetitions.  Takes
     a column name: an expression would be evaluated again for every n-gram."""
@@ -121,6 +125,6 @@ def ngrams(toks: str, n_max: int) -> Column:
     parts = [toks]
     for n in range(2, n_max + 1):
         idx = F.sequence(F.lit(1), F.size(toks) - (n - 1))
-        grams = F.transform(idx, lambda i, n=n: F.array_join(F.slice(toks, i, n), " "))
+        grams = F.transform(idx, _window(toks, n))
         parts.append(F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>")))
     return F.concat(*parts)

@@ -19,18 +19,12 @@ def with_normalized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("norm", normalize_text(F.col("text")))
 
 
-def _flag(c: Column) -> Column:
-    return c.cast("int")
+def _hits(column: str, words: list[str]) -> Column:
+    """How many of the words occur; one parsed expression instead of a call per word."""
+    return F.expr(" + ".join(f"int(contains({column}, '{w}'))" for w in words))
 
 
-def _hits(text: Column, words: list[str]) -> Column:
-    total = F.lit(0)
-    for w in words:
-        total = total + _flag(text.contains(w))
-    return total
-
-
-def keyword_score(norm: Column, doc_type: str) -> Column:
+def keyword_score(doc_type: str, norm: str = "norm") -> Column:
     """Sum over the type's patterns of weight x share of keywords found.
 
     White space is already single here, so a position preference is met by any
@@ -66,28 +60,26 @@ def structural_score(text: Column, doc_type: str) -> Column:
     return F.lit(0.0)
 
 
-def _secondary(norm: Column, pattern: str) -> Column:
+def _secondary(norm: str, pattern: str) -> str:
     """Secondary context patterns are regular expressions on normalised text: a
     bare $ is the end anchor and always matches, and patterns of characters that
     normalisation blanks never match."""
     if pattern == "$":
-        return F.lit(True)
+        return "1"
     if pattern in ("€", "£", "°F", "°C", r"\*{4}"):
-        return F.lit(False)
+        return "0"
     if "\\" in pattern:
-        return norm.rlike(pattern)
-    return norm.contains(pattern.lower())
+        return f"int({norm} RLIKE r'{pattern}')"
+    return f"int(contains({norm}, '{pattern.lower()}'))"
 
 
-def context_score(norm: Column, doc_type: str) -> Column:
+def context_score(doc_type: str, norm: str = "norm") -> Column:
     score = F.lit(0.0)
     for t, _, primary, secondary, weight in rules.CONTEXT_RULES:
         if t != doc_type:
             continue
         first = _hits(norm, primary)
-        second = F.lit(0)
-        for p in secondary:
-            second = second + _flag(_secondary(norm, p))
+        second = F.expr(" + ".join(_secondary(norm, p) for p in secondary))
         share = (first + second).cast("double") / F.lit(float(len(primary) + len(secondary)))
         score = score + F.when((first > 0) & (second > 0), F.lit(weight) * share).otherwise(0.0)
     return score
@@ -99,9 +91,9 @@ def layer_scores(docs: DataFrame) -> DataFrame:
     norm = with_normalized(docs)
     return norm.select(
         *keep,
-        *[keyword_score(F.col("norm"), t).alias(f"kw_{t}") for t in rules.RULE_TYPES],
+        *[keyword_score(t).alias(f"kw_{t}") for t in rules.RULE_TYPES],
         *[structural_score(F.col("text"), t).alias(f"st_{t}") for t in rules.RULE_TYPES],
-        *[context_score(F.col("norm"), t).alias(f"cx_{t}") for t in rules.RULE_TYPES])
+        *[context_score(t).alias(f"cx_{t}") for t in rules.RULE_TYPES])
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
