@@ -82,8 +82,13 @@ def valid_samples(parsed: DataFrame, hint: Column | None = None) -> DataFrame:
 
 
 def sample_fields(samples: DataFrame) -> DataFrame:
-    """Fields of the valid samples as a long table."""
-    rows = samples.filter("valid").select("doc_id", "sample_no", F.explode("fields").alias("f"))
+    """Fields of the valid samples as a long table.
+
+    Invalid samples carry no field list, so exploding leaves them out.  The list
+    is exploded as an expression: on a bare column, and for a filter on `valid`,
+    Spark would push a predicate down that parses every response again.
+    """
+    rows = samples.select("doc_id", "sample_no", F.explode(F.array_compact("fields")).alias("f"))
     return rows.select("doc_id", "sample_no", "f.pos", "f.name", "f.value", "f.confidence", "f.source")
 
 
@@ -117,7 +122,7 @@ def qa_merge(samples: DataFrame) -> DataFrame:
     rules_ = F.concat(
         F.transform("passed_rules", lambda r: F.struct(F.lit("passed").alias("outcome"), r.alias("rule"))),
         F.transform("failed_rules", lambda r: F.struct(F.lit("failed").alias("outcome"), r.alias("rule"))))
-    return samples.filter("valid").select("doc_id", F.explode(rules_).alias("r")).select(
+    return samples.select("doc_id", F.explode(rules_).alias("r")).select(
         "doc_id", "r.outcome", "r.rule").distinct()
 
 
