@@ -99,10 +99,11 @@ def nb_model_rows(model: DataFrame, labels: list[int]) -> DataFrame:
 
 
 def class_priors(train: DataFrame, labels: list[int]) -> DataFrame:
-    """One row with the array of log class shares, in the order of `labels`."""
+    """One row with the array of log class shares, in the order of `labels`.  A
+    label without training rows has share 0 and is never predicted."""
     n = F.count(F.lit(1))
-    return train.agg(F.array(*[
-        F.log(F.sum(F.when(F.col("label") == k, 1).otherwise(0)) / n) for k in labels]).alias("priors"))
+    shares = [F.log(F.sum(F.when(F.col("label") == k, 1).otherwise(0)) / n) for k in labels]
+    return train.agg(F.array(*[F.coalesce(s, F.lit(float("-inf"))) for s in shares]).alias("priors"))
 
 
 def nb_predict(docs: DataFrame, model: DataFrame, priors: list[float], labels: list[int],

@@ -231,3 +231,8 @@ def test_vocabulary_bound_and_model_forms_agree(spark):
     for x, y in zip(a, b):
         assert x.probs == pytest.approx(y.probs, abs=1e-9)
     assert ml.retrain(model, train.limit(0), labels) is model
+    # a label nobody trained on is never predicted
+    part = train.filter("label < 2")
+    gap = ml.class_priors(part, [0, 5, 1]).first()["priors"]
+    none = ml.nb_predict(d, ml.nb_model(part, ml.tfidf_vocab(part), [0, 5, 1]), gap, [0, 5, 1]).collect()
+    assert all(r.label in (0, 1) and r.probs[1] == 0.0 for r in none)
