@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from paperloom.plans.oracle import oracle_sql
+from paperloom.plans.queries import QUERIES
 
-ORACLE = contract.oracle_sql()
-QUERIES = contract.queries()
+ORACLE = oracle_sql()
 
 
 @pytest.fixture(scope="session")
