@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe
+from paperloom.llm import bpe, jaccard
 from paperloom.sources.tables import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), bpe.Tokenizer(spark, BYTE_BPE))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(read_table(spark, sf_dir, "documents")).rows
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_jaccard": op3_jaccard}
 
 ORACLE_SQL: dict[str, str] = {}
