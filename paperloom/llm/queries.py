@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, jaccard
+from paperloom.llm import bpe, exact_dedup, jaccard
 from paperloom.sources.tables import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,16 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(read_table(spark, sf_dir, "documents")).rows
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_jaccard": op3_jaccard}
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_jaccard": op3_jaccard, "op9_exact_dedup": op9_exact_dedup}
+
+ORACLE_SQL = {
+    "op9_exact_dedup": """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+           FROM documents),
+     g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+}
