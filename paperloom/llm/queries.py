@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, exact_dedup, jaccard
+from paperloom.llm import bpe, exact_dedup, jaccard, line_dedup, quality
 from paperloom.sources.tables import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,11 +20,23 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(read_table(spark, sf_dir, "documents")).rows
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    machine = quality.train(docs, labels.where(~quality.held_out()))
+    return quality.score(docs, machine, "doc_id").select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_jaccard": op3_jaccard, "op9_exact_dedup": op9_exact_dedup}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_verdicts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_jaccard": op3_jaccard, "op5_quality": op5_quality, "op9_exact_dedup": op9_exact_dedup,
+           "op10_line_dedup": op10_line_dedup}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
@@ -32,4 +44,21 @@ WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOP
            FROM documents),
      g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op10_line_dedup": """
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+     l AS (SELECT doc_id, i - 1 AS line_no, trim(ls[i], ' ' || chr(9) || chr(13)) AS line FROM t, range(1, len(ls) + 1) r(i)),
+     d AS (SELECT line, length(line) AS n, min((doc_id, line_no)) AS place FROM l WHERE line <> '' GROUP BY 1, 2),
+     c AS (SELECT a.place, b.place AS other FROM d a JOIN d b ON left(a.line, 9) = left(b.line, 9)
+             AND abs(a.n - b.n) <= 1 AND least(a.n, b.n) >= 20
+           WHERE a.place > b.place AND levenshtein(a.line, b.line) <= 1
+           UNION
+           SELECT a.place, b.place FROM d a JOIN d b ON right(a.line, 9) = right(b.line, 9)
+             AND abs(a.n - b.n) <= 1 AND least(a.n, b.n) >= 20
+           WHERE a.place > b.place AND levenshtein(a.line, b.line) <= 1),
+     e AS (SELECT place, min(other) AS other FROM c GROUP BY 1),
+     f AS (SELECT l.doc_id, l.line_no, CASE WHEN e.other IS NOT NULL THEN e.other WHEN d.place <> (l.doc_id, l.line_no) THEN d.place END AS m,
+                  e.other IS NOT NULL AS near
+           FROM l LEFT JOIN d ON d.line = l.line LEFT JOIN e ON e.place = d.place)
+SELECT doc_id, line_no, m IS NULL AS kept, m[1] AS match_doc_id, m[2] AS match_line_no,
+       CASE WHEN m IS NOT NULL THEN near::INTEGER END AS edits FROM f""",
 }
