@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, exact_dedup, jaccard, line_dedup, quality
+from paperloom.llm import bpe, decontaminate, exact_dedup, jaccard, line_dedup, quality, secrets_scan
 from paperloom.sources.tables import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in secrets_scan.KINDS]
+    return found.select("doc_id", *counts, F.sha2(secrets_scan.joined(base), 256).alias("base_sha256"), secrets_scan.joined(F.col("spans")).alias("spans"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -35,7 +46,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_verdicts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_jaccard": op3_jaccard, "op5_quality": op5_quality, "op9_exact_dedup": op9_exact_dedup,
+QUERIES = {"op1_bpe": op1_bpe, "op3_jaccard": op3_jaccard, "op5_quality": op5_quality,
+           "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op9_exact_dedup": op9_exact_dedup,
            "op10_line_dedup": op10_line_dedup}
 
 ORACLE_SQL = {
