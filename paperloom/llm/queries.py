@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, decontaminate, exact_dedup, jaccard, line_dedup, quality, secrets_scan
+from paperloom.llm import bpe, decontaminate, exact_dedup, jaccard, license_scan, line_dedup, pii, quality, secrets_scan, url_filter
 from paperloom.sources.tables import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,10 +16,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), bpe.Tokenizer(spark, BYTE_BPE))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, key="surrogates-2024", count="n_entities")
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(read_table(spark, sf_dir, "documents")).rows
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     machine = quality.train(docs, labels.where(~quality.held_out()))
@@ -38,6 +50,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets_scan.joined(base), 256).alias("base_sha256"), secrets_scan.joined(F.col("spans")).alias("spans"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("containment", F.round("containment", 9))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -46,9 +63,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_verdicts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_jaccard": op3_jaccard, "op5_quality": op5_quality,
-           "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op9_exact_dedup": op9_exact_dedup,
-           "op10_line_dedup": op10_line_dedup}
+QUERIES = {
+    "op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets,
+    "op8_licenses": op8_licenses, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup,
+}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
