@@ -9,9 +9,10 @@ and the partial overlaps are summed per pair.  Two documents link when overlap /
    any partner are settled: they link with nothing.
 2. Equal sets are one class; one representative of each class that is left goes on with its fragments.
 3. The representatives' shingles are ordered by document frequency, and rare-first prefixes are compared.  Every
-   prefix shingle first proposes one pair for each of its documents, with its smallest document, and the best
-   proposal of each document is verified: a group of copies falls together without its pairs being listed.  Then
-   every pair that shares a prefix shingle, fits in size and lies in two components is verified.
+   prefix shingle first proposes one pair for each of its documents, with the first document that it can follow, and
+   the best proposal of each document is verified: a group of copies falls together without its pairs being listed.
+   Then every pair is verified that lies in two components, has a common prefix shingle, has enough shingles from there
+   on for the overlap that its sizes ask for, and whose parity bits don't differ in more places than the sets may.
 4. Verification joins a pair's fragments, counts each overlap, and sums.
 
 Rows: null or empty texts and texts without words have no shingles and link with nothing; a null doc_id is returned
@@ -35,6 +36,7 @@ from paperloom.llm._shared import ship_package, stored
 from paperloom.llm.components import components
 
 FRAGMENTS = 4  # of each representative's set in verification
+PARITY_WORDS = 4  # of 64 bits, for each fragment
 SLACK = 20  # a prefix is longer by 1/SLACK of the set, and must share that much more
 
 
@@ -137,6 +139,12 @@ def _fragment_counts(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[
         yield pa.RecordBatch.from_arrays(p, ["doc_id", "n", "digest", "shared"])
 
 
+def _parity(part: np.ndarray) -> list[int]:
+    """A bit for each residue of the shingles' hashes: whether it occurs an odd number of times."""
+    odd = np.bincount((part % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _sets(k: int, fragments: int):
     """Texts of representatives -> their sets by fragment."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +153,7 @@ def _sets(k: int, fragments: int):
             nodes, wanted = np.asarray(batch.column("node")), batch.column("digest")
             for block in W.blocks(batch.column("text")):
                 sets, starts = W.shingles(block, k)
-                out = {"node": [], "n": [], "fragment": []}
+                out = {"node": [], "n": [], "fragment": [], "parity": []}
                 values, lengths = [], []
                 for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
                     s, row = sets[a:b], block.row + i
@@ -153,11 +161,11 @@ def _sets(k: int, fragments: int):
                         continue  # another text under the same doc_id
                     for f, part in enumerate(np.split(s, np.searchsorted(s, cut))):
                         if len(part):
-                            out["node"].append(int(nodes[row])), out["n"].append(b - a), out["fragment"].append(f)
+                            out["node"].append(int(nodes[row])), out["n"].append(b - a), out["fragment"].append(f), out["parity"].append(_parity(part))
                             values.append(part.view(np.int64))
                             lengths.append(len(part))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]).astype(np.int32)), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["fragment"], pa.int32()), lists], ["node", "n", "fragment", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["fragment"], pa.int32()), lists, pa.array(out["parity"], pa.list_(pa.int64()))], ["node", "n", "fragment", "part", "parity"])
 
     return run
 
@@ -173,17 +181,39 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
-    """(hash, node, n) of the shingles in each representative's prefix by document frequency that others have too."""
+    """(hash, node, n, rest) of the shingles in each representative's prefix by document frequency that others have
+    too; rest: how many of its shingles stand from there on."""
     rows = sets.select("node", "n", F.explode("part").alias("hash"))
     df = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = rows.join(df, "hash").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("ranked"))
     length = F.col("n") - F.expr(f"cast(ceil(n * {percent} / 100.0) as int)") + 1  # shingles without company come first
     head = F.greatest(length - (F.col("n") - F.size("ranked")), F.lit(0))
-    return own.select("node", "n", F.explode(F.slice("ranked", 1, head)["hash"]).alias("hash"))
+    ranked = own.select("node", "n", F.size("ranked").alias("shared"), F.posexplode(F.slice("ranked", 1, head)["hash"]).alias("at", "hash"))
+    return ranked.select("hash", "node", "n", (F.col("shared") - F.col("at")).alias("rest"))
+
+
+def _fit(n_1: str, rest_1: str, n_2: str, rest_2: str, percent: int) -> Column:
+    """Whether two sets can link whose first common shingle leaves these rests: the overlap is no larger than either.
+    As percent of the union it must be enough, so the smaller set of a pair has ``_leads``."""
+    return F.least(rest_1, rest_2) * (100 + percent) >= percent * (F.col(n_1) + F.col(n_2))
+
+
+def _parities(sets: DataFrame) -> DataFrame:
+    """(node, parity) of whole sets."""
+    none = F.array(*[F.lit(0).cast("long")] * PARITY_WORDS)
+    own = [F.coalesce(F.first(F.when(F.col("fragment") == f, F.col("parity")), ignorenulls=True), none) for f in range(FRAGMENTS)]
+    return sets.groupBy("node").agg(F.concat(*own).alias("parity"))
+
+
+def _near(percent: int) -> Column:
+    """Whether parities leave room for a link: they differ in no more bits than the sets differ in shingles."""
+    apart = F.aggregate(F.zip_with("parity", "parity_2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    return apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_2"))
 
 
-def _fit(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _leads(percent: int) -> Column:
+    """Whether a set can be the smaller one of a pair, or as large as the other."""
+    return F.col("rest") * (100 + percent) >= 2 * percent * F.col("n")
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 75) -> Linked:
@@ -202,22 +232,26 @@ def jaccard_join(docs: DataFrame, text: str = "text", k: int = 5, percent: int =
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     texts = docs.join(classes, "doc_id").select("node", "digest", "text").dropDuplicates()
-    sets = stored(texts.mapInArrow(_sets(k, FRAGMENTS), "node long, n int, fragment int, part array<bigint>"), "sets")
+    sets = stored(texts.mapInArrow(_sets(k, FRAGMENTS), "node long, n int, fragment int, part array<bigint>, parity array<bigint>"), "sets")
 
     prefix = stored(_rare_first(sets, percent), "rare-first")
-    leader = prefix.groupBy("hash").agg(F.min(F.struct("node", "n")).alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    proposed = prefix.join(leader, "hash").where(_fit(F.col("n"), F.col("l.n"), percent)).where("node <> l.node").groupBy("node", F.col("l.node").alias("other")).agg(F.count(F.lit(1)).alias("c"))
+    small = prefix.where(_leads(percent))
+    leader = small.groupBy("hash").agg(F.min(F.struct("node", "n", "rest")).alias("l")).select("hash", F.col("l.node").alias("other"), F.col("l.n").alias("n_2"), F.col("l.rest").alias("rest_2"))
+    proposed = prefix.join(leader, "hash").where(_fit("n", "rest", "n_2", "rest_2", percent)).where("node <> other")
+    proposed = proposed.groupBy("node", "other").agg(F.count(F.lit(1)).alias("c"))
     best = proposed.groupBy("node").agg(F.max(F.struct("c", "other")).alias("best")).select(F.col("best.other").alias("a"), F.col("node").alias("b"))
     first = stored(verify(best, sets, percent), "links")
     grouped = components(first)
 
     placed = prefix.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("hash")
-    placed = stored(placed.join(mixed, "hash", "left_semi"), "cross")
-    others = placed.select("hash", F.col("component").alias("other")).distinct()
-    cross = placed.join(others, "hash").where("component < other").select("hash", F.col("node").alias("a"), F.col("n").alias("n_1"), "other")
-    cross = cross.join(placed.select("hash", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n").alias("n_2")), ["hash", "other"])
-    cross = cross.where(_fit(F.col("n_1"), F.col("n_2"), percent)).select("a", "b").distinct()
+    mixed = placed.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(_leads(percent)).alias("some")).where("x < y and some").select("hash")
+    placed = stored(placed.join(mixed, "hash", "left_semi").join(_parities(sets), "node"), "cross")
+    small = placed.where(_leads(percent)).select("hash", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n").alias("n_2"), F.col("rest").alias("rest_2"), F.col("parity").alias("parity_2"))
+    others = small.groupBy("hash", "other").agg(F.min("n_2").alias("n_2"), F.max("rest_2").alias("rest_2"))
+    cross = placed.join(others, "hash").where("component <> other").where(_fit("n", "rest", "n_2", "rest_2", percent))
+    cross = cross.select("hash", "other", F.col("node").alias("a"), "n", "rest", "parity").join(small, ["hash", "other"])
+    cross = cross.where("n_2 <= n").where(_fit("n", "rest", "n_2", "rest_2", percent)).where(_near(percent))
+    cross = stored(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross-pairs")
     links = first.union(stored(verify(cross, sets, percent), "links"))
 
     final = components(links.select("a", "b"))
