@@ -78,7 +78,8 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """place of a distinct line, place and distance of the earliest line within one edit that it found before it."""
     halves = distinct.select("doc_id", "line_no", F.explode("halves").alias("h")).select("doc_id", "line_no", "h.*")
     halves = stored(_shared(halves, "k1"), "line-halves")
-    texts = lines.join(halves.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"]).select("doc_id", "line_no", "line")
+    places = halves.select("doc_id", "line_no").distinct().hint("merge")  # grows with the corpus: no broadcast at any size
+    texts = lines.join(places, ["doc_id", "line_no"]).select("doc_id", "line_no", "line")
     texts = stored(texts.dropDuplicates(["doc_id", "line_no", "line"]), "line-texts")
     parts = halves.join(texts, ["doc_id", "line_no"]).withColumns({
         "lo": F.expr("if(half = 0, 0, base div 2)"), "hi": F.expr("if(half = 0, base div 2, base)"),
