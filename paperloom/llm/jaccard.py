@@ -59,6 +59,15 @@ def _prefix(n, percent):
     return np.minimum(n - _least(n, percent) + n // SLACK + 1, n)
 
 
+def _repeated(ranked: np.ndarray) -> np.ndarray:
+    """Marks the values of a sorted array that occur more than once."""
+    out = np.zeros(len(ranked), bool)
+    same = ranked[1:] == ranked[:-1]
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
 def _scan(k: int, percent: int, fragments: int):
     """Each batch of texts -> its documents' counts and digests, and its prefixes by fragment."""
     schema = pa.schema([("fragment", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("often", pa.binary()),
@@ -86,8 +95,7 @@ def _scan(k: int, percent: int, fragments: int):
             h, d = np.concatenate(hashes), np.concatenate(docs)
             order = np.argsort(h, kind="stable")
             h, d = h[order], d[order]
-            same = h[1:] == h[:-1]
-            twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            twice = _repeated(h)
             local, times = np.unique(d[twice], return_counts=True)
             often = np.unique(h[twice])
             h, d = h[~twice], d[~twice]
@@ -123,10 +131,8 @@ def _fragment_counts(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[
     often = np.concatenate([W.unplanes(x.as_py(), np.uint64) for x in table["often"]])
     every = np.concatenate([hashes, often, often])  # counts as two
     order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    same = ranked[1:] == ranked[:-1]
     shared = np.empty(len(every), bool)
-    shared[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(every) else False
+    shared[order] = _repeated(every[order])
     found, times = np.unique(docs[shared[:len(docs)]], return_counts=True)
     meta = table["meta"].combine_chunks().flatten()
     counted = key[0].as_py() < 0

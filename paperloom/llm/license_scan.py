@@ -73,8 +73,8 @@ def telling_words(templates: dict[str, str], containment: float) -> list[str]:
     need = {k: -(-len(s) * containment // 1) for k, s in left.items()}
     chosen: list[str] = []
     while open_ := [k for k in left if left[k] and len(left[k]) >= need[k]]:
-        gain = Counter(w for k in open_ for s in left[k] for w in set(s) if len(w) > 5) or Counter(w for k in open_ for s in left[k] for w in set(s))
-        word = max(gain, key=lambda w: (gain[w], w))
+        gain = Counter(w for k in open_ for s in left[k] for w in set(s))
+        word = max(gain, key=lambda w: (min(len(w), 7), gain[w], w))  # long words are rare in other texts
         chosen.append(word)
         left = {k: {s for s in v if word not in s} for k, v in left.items()}
     return chosen
@@ -103,16 +103,17 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     placed = some.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("w", words(F.col("text"))).where(f"size(w) >= {K}")
     placed = placed.select("row", "doc_id", F.explode(F.expr(_hashes("w"))).alias("s")).select("row", "doc_id", "s.*")
     known = table.select(F.explode("shingles").alias("h")).distinct()
-    placed = placed.join(known, "h", "left_semi")  # known: as many rows as the templates have shingles
-    classes = table.select("class").distinct()
-    windows = placed.join(F.broadcast(classes)).withColumn(  # a few size classes
+    # the template side is broadcast throughout: the list of templates is a parameter held by the driver
+    placed = placed.join(F.broadcast(known), "h", "left_semi")
+    sizes = F.array(*[F.lit(r[0]) for r in table.select("class").distinct().orderBy("class").collect()])
+    windows = placed.withColumn("class", F.explode(sizes)).withColumn(
         "window", F.explode(F.expr("array(at div cast(pow(2, class) as int), at div cast(pow(2, class) as int) - 1)")))
     windows = windows.groupBy("row", "doc_id", "class", "window").agg(F.collect_set("h").alias("held"))
     windows = stored(windows, "license-windows")
     keys = windows.select("row", "class", "window", F.explode(_bands("held")).alias("k")).select("row", "class", "window", "k.*")
     wanted = table.select("license_id", "class", F.explode(_bands("shingles")).alias("k")).select("license_id", "class", "k.*")
-    found = keys.join(wanted, ["class", "band", "least"]).select("row", "class", "window", "license_id").distinct()
-    pairs = found.join(windows, ["row", "class", "window"]).join(table.select("license_id", "shingles"), "license_id")
+    found = keys.join(F.broadcast(wanted), ["class", "band", "least"]).select("row", "class", "window", "license_id").distinct()
+    pairs = found.join(windows, ["row", "class", "window"]).join(F.broadcast(table.select("license_id", "shingles")), "license_id")
     share = F.size(F.array_intersect("held", "shingles")) / F.size("shingles")
     return pairs.withColumn("containment", share).where(F.col("containment") >= containment).groupBy("doc_id", "license_id").agg(
         F.max("containment").alias("containment"), F.countDistinct("row", "window").alias("n_windows"))
