@@ -80,9 +80,9 @@ WITH n(license_id, template) AS (VALUES {notices}),
      ns AS (SELECT DISTINCT license_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM nw, range(1, len(w) - 1) r(i)),
      nn AS (SELECT license_id, count(*) AS size, ceil(log2(count(*)))::INTEGER AS class FROM ns GROUP BY 1),
      dw AS (SELECT doc_id, regexp_extract_all(lower(text), '{word}') AS w FROM documents),
-     ds AS (SELECT doc_id, i - 1 AS at, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM dw, range(1, len(w) - 1) r(i)),
-     hit AS (SELECT ds.doc_id, ds.at, ds.s, ns.license_id, size, (1 << class) AS width FROM ds JOIN ns USING (s) JOIN nn USING (license_id)),
-     win AS (SELECT *, at // width AS win FROM hit UNION ALL SELECT *, at // width - 1 FROM hit),
+     ds AS (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM dw, range(1, len(w) - 1) r(i)),
+     hit AS (SELECT ds.doc_id, ds.pos, ds.s, ns.license_id, size, (1 << class) AS width FROM ds JOIN ns USING (s) JOIN nn USING (license_id)),
+     win AS (SELECT *, pos // width AS win FROM hit UNION ALL SELECT *, pos // width - 1 FROM hit),
      held AS (SELECT doc_id, license_id, win, count(DISTINCT s) / any_value(size) AS containment FROM win GROUP BY 1, 2, 3)
 SELECT doc_id, license_id, round(max(containment), 9) AS containment, count(*) AS n_windows FROM held WHERE containment >= 0.75 GROUP BY 1, 2"""
 
