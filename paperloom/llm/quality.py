@@ -79,7 +79,7 @@ def features(texts: pa.Array, n_chars: np.ndarray) -> Iterator[tuple[np.ndarray,
         stats = np.stack([
             _log_bin(length), _log_bin(words), _share_bin(upper, upper + lower), _share_bin(digit, length), _share_bin(mark, length),
             _share_bin(bang, words), _share_bin(sign, length), _share_bin(beyond, length), _share_bin(space, length),
-            _share_bin(line, words), _log_bin((block.end - block.start).sum() * 0 + (length - space - line) / np.maximum(words, 1)),
+            _share_bin(line, words), _log_bin((length - space - line) / np.maximum(words, 1)),
             _share_bin(distinct, words), _share_bin(most, words), _share_bin(pairs, np.maximum(words - 1, 1)),
             np.where(known, _log_bin(np.maximum(n_chars[rows], 0)), BINS - 1)], axis=1)
         stats = WORD_BUCKETS + np.arange(_STATS) * BINS + stats
@@ -115,7 +115,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int
     rng = np.random.default_rng(seed)
     share = float(labels.mean()) if len(labels) else 0.5
     w, v = np.zeros(FEATURES, np.float32), rng.normal(0, 0.05, (FEATURES, rank)).astype(np.float32)
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         return Machine(30.0 if share == 1 else -30.0 if len(labels) else 0.0, w, np.zeros_like(v))
     bias = float(np.log(share / (1 - share)))
     gw, gv, gb = np.full(FEATURES, 1e-6, np.float32), np.full((FEATURES, rank), 1e-6, np.float32), 1e-6

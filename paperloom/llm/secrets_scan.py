@@ -2,8 +2,9 @@
 
 Patterns give the base spans (kinds assign, access, hex).  Runs of at least MIN_RUN characters of [A-Za-z0-9+/_=-]
 outside them are candidates.  A candidate's encoding is inferred from its characters (hex, base32, base36, base64);
-over the symbols' values in that encoding three tests ask whether they could be random: chi-squared uniformity of the
-alphabet, runs about the alphabet's middle, and serial correlation.  Their p-values combine by Fisher's method.
+over the symbols' values in that encoding a battery asks whether they could be random: chi-squared uniformity of the
+alphabet, by symbols and by classes of characters, runs about the alphabet's middle, and serial correlation.  The
+p-values combine by Fisher's method.
 
 False discoveries are controlled by decoys, separately for ranges of lengths, as short strings pass the battery more
 easily: every document contributes, for each range, its own words strung together to a string of that length.  Over
@@ -51,8 +52,20 @@ _VALUES = {k: {c: i for i, c in enumerate(a)} for k, a in _ALPHABETS.items()}
 _VALUES["base64"] |= {"-": 62, "_": 63}
 
 
+def _classes(alphabet: str) -> tuple[list[int], list[float]]:
+    """Class of each symbol (digits, upper, lower case; signs count with the digits) and the classes' shares."""
+    kinds = ["u" if c.isupper() else "l" if c.islower() else "d" for c in alphabet]
+    names = sorted(set(kinds))
+    return [names.index(k) for k in kinds], [kinds.count(k) / len(kinds) for k in names]
+
+
+_CLASSES = {k: _classes(a) for k, a in _ALPHABETS.items()}
+
+
 def _chi_tail(x: float, df: int) -> float:
     """P(chi-squared >= x): exact for even df, by the cube-root approximation for odd ones."""
+    if df == 1:
+        return math.erfc(math.sqrt(x / 2))
     if df % 2 == 0:
         term = total = math.exp(-x / 2)
         for i in range(1, df // 2):
@@ -75,7 +88,7 @@ def infer_encoding(s: str) -> tuple[str, list[int]]:
 
 
 def battery(s: str) -> float:
-    """Combined p-value of the three tests; small for strings that are not random."""
+    """Combined p-value of the tests; small for strings that are not random."""
     name, v = infer_encoding(s)
     n, size = len(v), len(_ALPHABETS[name])
     if n < 8:
@@ -88,6 +101,11 @@ def battery(s: str) -> float:
     for x in range(size):
         widths[x * bins // size] += 1
     uniform = _chi_tail(sum((c - n * w / size) ** 2 / (n * w / size) for c, w in zip(counts, widths, strict=True)), bins - 1)
+    classes, share = _CLASSES[name]
+    by_class = [0] * len(share)
+    for x in v:
+        by_class[classes[x]] += 1
+    mixed = _chi_tail(sum((c - n * w) ** 2 / (n * w) for c, w in zip(by_class, share, strict=True)), len(share) - 1)
     high = [2 * x >= size for x in v]
     above = sum(high)
     below = n - above
@@ -105,8 +123,8 @@ def battery(s: str) -> float:
     else:
         r = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:] + v[:1], strict=True)) / power
         serial = math.erfc(abs(r + 1 / (n - 1)) * math.sqrt(n) / math.sqrt(2))
-    logs = sum(math.log(max(p, 1e-300)) for p in (uniform, runs, serial))
-    return _chi_tail(-2 * logs, 6)
+    logs = sum(math.log(max(p, 1e-300)) for p in (uniform, mixed, runs, serial))
+    return _chi_tail(-2 * logs, 8)
 
 
 def level(p: float) -> int:
