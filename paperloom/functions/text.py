@@ -72,8 +72,8 @@ def confidence_band(c: Column) -> Column:
 
 
 def money_label(c: Column) -> Column:
-    """$1234.50 for an amount read from text."""
-    return F.concat(F.lit("$"), c.cast("decimal(18,2)").cast("string"))
+    """$1234.50 for an amount read from text; one too large for two exact decimals keeps its plain form."""
+    return F.concat(F.lit("$"), F.coalesce(c.try_cast("decimal(38,2)").cast("string"), c.cast("string")))
 
 
 def parse_number(c: Column) -> Column:

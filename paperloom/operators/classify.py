@@ -156,14 +156,13 @@ def with_indicators(classified: DataFrame) -> DataFrame:
         "context_matches": lookup(2)})
 
 
-def keyword_scores_by_rules(docs: DataFrame, rule_table: DataFrame, broadcast_limit: int = 100_000) -> DataFrame:
+def keyword_scores_by_rules(docs: DataFrame, rule_table: DataFrame) -> DataFrame:
     """Keyword layer for rules that live in a table of any size.
 
     A keyword can only occur where its first two characters occur, so documents
     and keywords meet in an equi-join on that pair of characters and only those
-    candidates are tested.  Up to broadcast_limit patterns the rules are
-    broadcast and the test happens in place; beyond, only (document, pair) rows
-    are shuffled and the text joins the candidates afterwards.  Returns doc_id,
+    candidates are tested.  Only (document, pair) rows meet the rules, in a join
+    left to Spark; the text joins the candidates afterwards.  Returns doc_id,
     doc_type, score.
     """
     kw = rule_table.select(
@@ -175,10 +174,7 @@ def keyword_scores_by_rules(docs: DataFrame, rule_table: DataFrame, broadcast_li
     pairs = F.regexp_extract_all("norm", F.lit("(?s)(?=(.{1,2}))"), F.lit(1))
     singles = F.regexp_extract_all("norm", F.lit("(?s)(.)"), F.lit(1))
     gram = F.explode(F.array_distinct(F.concat(pairs, singles))).alias("gram")
-    if rule_table.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        candidates = norm.select("doc_id", "norm", gram).join(F.broadcast(kw), "gram")
-    else:
-        candidates = norm.select("doc_id", gram).join(kw, "gram").join(norm, "doc_id")
+    candidates = norm.select("doc_id", gram).join(kw, "gram").join(norm, "doc_id")
     hits = (candidates.filter(F.col("norm").contains(F.col("keyword")))
             .groupBy("doc_id", "doc_type", "pattern_id", "weight", "position", "n_keywords")
             .agg(F.count(F.lit(1)).alias("hits")))

@@ -59,10 +59,11 @@ def layout_points(lines: DataFrame) -> DataFrame:
         F.least(F.col("confidence") * 20, F.lit(15.0)).alias("size"), "element_type")
 
 
-def confidence_grid(lines: DataFrame, dense: bool = False) -> DataFrame:
+def confidence_grid(lines: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """Mean line confidence per 20-pixel cell of the page image; lines carry
     image_width and image_height.  Positions beyond the image fall in the last
-    cell.  With dense=True cells without a line are returned as 0."""
+    cell.  With docs(doc_id, image_width, image_height) every cell of every
+    document is returned, 0 where it has no line."""
     bins = lambda size: F.greatest(F.lit(1), F.floor(F.col(size) / GRID).cast("int"))
     cells = lines.select(
         "doc_id", "confidence", "x", "y", bins("image_width").alias("x_bins"), bins("image_height").alias("y_bins"))
@@ -71,9 +72,9 @@ def confidence_grid(lines: DataFrame, dense: bool = False) -> DataFrame:
         F.least(F.floor(F.col("y") / GRID).cast("int"), F.col("y_bins") - 1).alias("y_idx"),
         F.least(F.floor(F.col("x") / GRID).cast("int"), F.col("x_bins") - 1).alias("x_idx"),
     ).agg(F.sum("confidence").alias("total"), F.count(F.lit(1)).alias("n_lines"))
-    if dense:
+    if docs is not None:
         # Empty cells join the filled ones in one aggregation instead of a join.
-        per_doc = grid.select("doc_id", "x_bins", "y_bins").distinct()
+        per_doc = docs.select("doc_id", bins("image_width").alias("x_bins"), bins("image_height").alias("y_bins"))
         empty = per_doc.select("doc_id", "x_bins", "y_bins", F.explode(
             F.sequence(F.lit(0), F.col("y_bins") - 1)).alias("y_idx")).select(
             "doc_id", "x_bins", "y_bins", "y_idx", F.explode(

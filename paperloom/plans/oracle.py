@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from paperloom import rules
 from paperloom.functions.text import ASCII_FROM, ASCII_TO
-from paperloom.operators.suggest import request_parts
+from paperloom.operators.suggest import ANY_FIELDS, request_parts
+from paperloom.operators.totals import money_pattern
 from paperloom.sources.corpus import corpus_sql
 
 WS = r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -43,7 +44,7 @@ def preprocess(x):
 
 
 def money(x):
-    return f"('$' || CAST(CAST({x} AS DECIMAL(18,2)) AS VARCHAR))"
+    return f"('$' || CAST(CAST({x} AS DECIMAL(38,2)) AS VARCHAR))"
 
 
 def num(x):
@@ -227,8 +228,8 @@ def suggested():
     return classified() + [
         ("asked", f"""SELECT d.doc_id, d.text, d.user_fields, c.doc_type, c.confidence, {asked} AS asked, coalesce(t.fields, []::VARCHAR[]) AS tmpl
             FROM docs d JOIN classified c ON c.doc_id = d.doc_id LEFT JOIN (VALUES {_TEMPLATES}) t(doc_type, fields) ON t.doc_type = c.doc_type"""),
-        ("suggested", """SELECT doc_id, text, doc_type, confidence,
-            CASE WHEN user_fields IS NOT NULL AND user_fields <> '' THEN list_slice(list_concat(asked, list_filter(tmpl, lambda f: NOT list_contains(asked, f))), 1, 15)
+        ("suggested", f"""SELECT doc_id, text, doc_type, confidence,
+            CASE WHEN user_fields IS NOT NULL AND {strip('user_fields')} <> '' THEN list_slice(list_concat(asked, list_filter(tmpl, lambda f: NOT list_contains(asked, f))), 1, 15)
                  ELSE list_slice(tmpl, 1, 10) END AS suggested FROM asked"""),
     ]
 
@@ -252,7 +253,7 @@ _FALLBACK = """SELECT doc_id, min(i) AS first, name, value FROM (
 def amounts():
     parts = []
     for i, (p, c) in enumerate(rules.MONEY_PATTERNS):
-        found = f"regexp_extract_all(text, {lit('(?i)' + p)}, 1)"
+        found = f"regexp_extract_all(text, {lit(money_pattern(p))}, 1)"
         parts.append(f"SELECT doc_id, {i} AS p, unnest({found}) AS m, generate_subscripts({found}, 1) AS i, '{c}' AS context FROM docs")
     return [("amounts", f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p, i) - 1 AS ord, "
                         f"CAST(replace(m, ',', '') AS DOUBLE) AS value, context FROM ({' UNION ALL '.join(parts)})")]
@@ -289,7 +290,7 @@ def response_tables():
 
 
 _CELL_FIELDS = " UNION ALL ".join(
-    f"""SELECT doc_id, 'Table_' || CAST(table_idx + 1 AS VARCHAR) || '_{what}' AS name, arg_max(v, row * 100000 + col) AS value FROM (
+    f"""SELECT doc_id, 'Table_' || CAST(table_idx + 1 AS VARCHAR) || '_{what}' AS name, arg_max(v, CAST(row AS BIGINT) * 2147483648 + col) AS value FROM (
         SELECT *, regexp_extract(content, {lit(p)}, 0) AS v FROM cells WHERE {any_of('lower(content)', words)}) WHERE v <> '' GROUP BY doc_id, table_idx"""
     for what, words, p in (("Total", rules.TABLE_TOTAL_WORDS, rules.CELL_AMOUNT_PATTERN), ("Date", rules.TABLE_DATE_WORDS, rules.SHORT_DATE_PATTERN)))
 
@@ -400,7 +401,7 @@ def outcomes():
         ("last_truth", f"SELECT doc_id, {norm_name('name')} AS norm_name, arg_max(value, pos) AS value FROM truth GROUP BY 1, 2"),
         ("outcomes", f"""SELECT coalesce(p.doc_id, t.doc_id) AS doc_id, coalesce(p.norm_name, t.norm_name) AS norm_name, p.value AS pred_value, t.value AS true_value,
             CASE WHEN p.doc_id IS NULL THEN 'missing' WHEN t.doc_id IS NULL THEN 'spurious'
-                 WHEN {norm_name('p.value')} = {norm_name('t.value')} THEN 'match' ELSE 'mismatch' END AS outcome
+                 WHEN {norm_name('p.value')} IS NOT DISTINCT FROM {norm_name('t.value')} THEN 'match' ELSE 'mismatch' END AS outcome
             FROM consensus p FULL OUTER JOIN last_truth t ON t.doc_id = p.doc_id AND t.norm_name = p.norm_name"""),
     ]
 
@@ -478,7 +479,7 @@ def oracle_sql() -> dict[str, str]:
     bbox = "array_to_string(CAST(source->'$.bbox' AS INT[]), '|')"
     box = "CASE WHEN line_idx IS NOT NULL THEN '0|' || CAST(line_idx * 25 AS VARCHAR) || '|' || CAST(CAST(w AS INT) AS VARCHAR) || '|' || CAST(line_idx * 25 + 20 AS VARCHAR) END"
     label_re = r"'^([^:]+):\s*(.+)$'"
-    status = "'✅ Subtotal valid|✅ Tax calculation valid|✅ Total matches'"
+    status = "'subtotal_ok|tax_ok|total_ok'"
     x_bins, y_bins = "greatest(1, image_width // 20)", "greatest(1, image_height // 20)"
     grid = f"""SELECT doc_id, least(CAST(floor(y / 20) AS INT), {y_bins} - 1) AS y_idx, least(CAST(floor(x / 20) AS INT), {x_bins} - 1) AS x_idx,
         avg(confidence) AS m, count(*) AS n_lines FROM lines GROUP BY 1, 2, 3"""
@@ -491,10 +492,11 @@ def oracle_sql() -> dict[str, str]:
         FROM (SELECT *, doc_id % 8 <> 0 AND {route} = 'pdf' AND {gate} = 'direct' AS d,
           doc_id % 8 <> 0 AND ({route} = 'image' OR ({route} = 'pdf' AND doc_id % 3 <> 0)) AS i, doc_id % 8 <> 0 AND {route} = 'pdf' AS b FROM counts)""")
     out["assemble_pages"] = f"""
-        SELECT doc_id, part, count(*) AS n_pages, string_agg(text, {lit(rules.PAGE_BREAK)} ORDER BY page) AS joined_text,
-          coalesce(string_agg('--- Page ' || CAST(page + 1 AS VARCHAR) || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY page) FILTER (WHERE {strip('text')} <> ''),
-            CASE WHEN part = 0 AND count(*) < 1000 THEN {lit(rules.BLANK_PDF_TEXT)} END) AS basic_text
-        FROM (SELECT conv_id AS doc_id, turn AS page, CAST(turn // 1000 AS INT) AS part, text FROM conversations) GROUP BY doc_id, part"""
+        SELECT doc_id, count(*) AS n_pages, string_agg(text, {lit(rules.PAGE_BREAK)} ORDER BY page) AS joined_text,
+            string_agg('--- Page ' || CAST(page + 1 AS VARCHAR) || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY page)
+                FILTER (WHERE {strip('text')} <> '') AS basic_text,
+            CASE WHEN count(*) FILTER (WHERE {strip('text')} <> '') > 0 THEN 'text' ELSE 'blank' END AS status
+        FROM (SELECT conv_id AS doc_id, turn AS page, text FROM conversations) GROUP BY doc_id"""
     out["batch_status"] = build(docs("mime", "size_bytes", "text"), f"""
         SELECT doc_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'failed' END AS status, error FROM (
           SELECT doc_id, CASE WHEN doc_id % 61 = 0 OR mime IS NULL THEN 'missing type' WHEN doc_id % 67 = 0 OR size_bytes IS NULL OR size_bytes < 0 THEN 'unreadable size'
@@ -513,7 +515,7 @@ def oracle_sql() -> dict[str, str]:
         CASE WHEN length(line) > 30 THEN line[1:30] || '...' ELSE line END AS label, least(confidence * 20, CAST(15 AS DOUBLE)) AS size, element_type FROM lines""")
     out["confidence_grid"] = build(docs("mime", "text", "image_width", "image_height") + lines(), f"SELECT doc_id, y_idx, x_idx, round(m, 9) AS mean_confidence, n_lines FROM ({grid})")
     out["confidence_grid_dense"] = build(docs("mime", "text", "image_width", "image_height") + lines() + [("grid", grid), ("dims", f"""
-        SELECT doc_id, CAST(yi AS INT) AS y_idx, unnest(range({x_bins})) AS x_idx FROM (SELECT *, unnest(range({y_bins})) AS yi FROM docs) WHERE doc_id IN (SELECT doc_id FROM lines)""")],
+        SELECT doc_id, CAST(yi AS INT) AS y_idx, unnest(range({x_bins})) AS x_idx FROM (SELECT *, unnest(range({y_bins})) AS yi FROM docs)""")],
         "SELECT d.doc_id, d.y_idx, d.x_idx, round(coalesce(g.m, 0), 9) AS mean_confidence, coalesce(g.n_lines, 0) AS n_lines FROM dims d LEFT JOIN grid g ON g.doc_id = d.doc_id AND g.y_idx = d.y_idx AND g.x_idx = d.x_idx")
     out["line_fields"] = build(docs("text") + lines(mime=False), _LINE_FIELDS)
     base = docs("text") + classified()
@@ -532,8 +534,8 @@ def oracle_sql() -> dict[str, str]:
     sug = docs("text", "user_fields") + suggested()
     out["suggest_fields"] = build(sug, "SELECT doc_id, doc_type, array_to_string(suggested, '|') AS suggested, len(suggested) AS n_suggested FROM suggested")
     out["map_doc_type"] = build(docs("text", "mime") + classified(), f"SELECT c.doc_id, c.doc_type, {out_type('c.doc_type', 'd.text', chr(40) + 'd.mime <> ' + lit('text/csv') + chr(41))} AS output_type FROM classified c JOIN docs d ON d.doc_id = c.doc_id")
-    out["render_prompt"] = build(sug, f"""SELECT doc_id, {a} || {out_type('doc_type', 'text', 'true')} || {b} || CASE WHEN len(suggested) > 0 THEN array_to_string(suggested, ', ') ELSE 'auto-detect key fields' END
-        || {c} || text[1:{rules.PROMPT_TEXT_LIMIT}] AS request FROM suggested""")
+    out["render_prompt"] = build(sug, f"""SELECT doc_id, {a} || {out_type('doc_type', 'text', 'true')} || {b} || CASE WHEN len(suggested) > 0 THEN array_to_string(suggested, ', ') ELSE {lit(ANY_FIELDS)} END
+        || {c} || text AS request FROM suggested""")
     out["fallback_fields"] = build(sug + [("fb", _FALLBACK)], "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS pos, name, value FROM fb")
     out["rule_samples"] = build(sug + [
         ("labelled", f"""SELECT * FROM (SELECT doc_id, pos, {strip(f'regexp_extract(l, {label_re}, 1)')} AS name, {strip(f'regexp_extract(l, {label_re}, 2)')} AS value, asked FROM (
@@ -551,15 +553,15 @@ def oracle_sql() -> dict[str, str]:
         ("said", f"""SELECT doc_id, arg_max(v, pos) FILTER (WHERE n = 'subtotal') AS subtotal, arg_max(v, pos) FILTER (WHERE n IN ('tax', 'tax amount')) AS tax,
             arg_max(v, pos) FILTER (WHERE n = 'total amount') AS total FROM (SELECT doc_id, pos, {norm_name('name')} AS n, TRY_CAST(value AS DOUBLE) AS v FROM truth)
             WHERE n IN ('subtotal', 'tax', 'tax amount', 'total amount') GROUP BY doc_id"""),
-        ("chk", """SELECT *, coalesce(abs(items_total - subtotal) < 0.01, false) AS subtotal_matches, coalesce(tax >= 0, false) AS tax_calculation_valid,
+        ("chk", """SELECT *, coalesce(abs(items_total - subtotal) < 0.01, false) AS subtotal_matches, coalesce(tax >= 0 AND coalesce(abs(total - subtotal - tax) < 0.01, true), false) AS tax_calculation_valid,
             coalesce(abs(subtotal + coalesce(tax, 0) - total) < 0.01, false) AS total_matches FROM (
             SELECT coalesce(i.doc_id, s.doc_id) AS doc_id, coalesce(n_items, 0) AS n_items, coalesce(n_bad, 0) AS n_bad_items, coalesce(items_total, 0) AS items_total, subtotal, tax, total
             FROM items i FULL OUTER JOIN said s ON s.doc_id = i.doc_id)"""),
         ("msg", """SELECT *, list_filter([CASE WHEN n_bad_items > 0 THEN CAST(n_bad_items AS VARCHAR) || ' line totals differ' END,
-            CASE WHEN NOT subtotal_matches THEN 'subtotal differs from line items' END, CASE WHEN NOT total_matches THEN 'total differs from subtotal and tax' END], lambda m: m IS NOT NULL) AS d FROM chk""")],
+            CASE WHEN subtotal IS NULL THEN 'subtotal not stated' WHEN NOT subtotal_matches THEN 'subtotal differs from line items' END, CASE WHEN total IS NULL THEN 'total not stated' WHEN subtotal IS NOT NULL AND NOT total_matches THEN 'total differs from subtotal and tax' END], lambda m: m IS NOT NULL) AS d FROM chk""")],
         """SELECT doc_id, n_items, n_bad_items, round(items_total, 2) AS items_total, subtotal, tax, total, subtotal_matches, tax_calculation_valid, total_matches, array_to_string(d, '|') AS discrepancies,
-        array_to_string(list_concat(list_filter([CASE WHEN subtotal_matches THEN '✅ Subtotal valid' END, CASE WHEN tax_calculation_valid THEN '✅ Tax calculation valid' END, CASE WHEN total_matches THEN '✅ Total matches' END], lambda m: m IS NOT NULL),
-          list_transform(d, lambda m: '❌ ' || m)), '|') AS status FROM msg""")
+        array_to_string(list_concat(list_filter([CASE WHEN subtotal_matches THEN 'subtotal_ok' END, CASE WHEN tax_calculation_valid THEN 'tax_ok' END, CASE WHEN total_matches THEN 'total_ok' END], lambda m: m IS NOT NULL),
+          list_transform(d, lambda m: 'problem: ' || m)), '|') AS status FROM msg""")
     out["detect_tables"] = build(docs("text") + detected(), f"""SELECT doc_id, table_idx, n AS rows, cols, CAST(0 AS DOUBLE) AS x, CAST(start * 25 AS DOUBLE) AS y, CAST(chars * 8 AS DOUBLE) AS w, CAST(n * 25 AS DOUBLE) AS h,
         CASE WHEN NOT digits AND {any_of('head', ['quantity', 'qty', 'price', 'item', 'description'])} THEN 'line_items' WHEN {any_of('everything', ['total', 'subtotal', 'balance'])} THEN 'summary' ELSE 'data' END AS table_type,
         NOT digits AS has_header, content FROM found""")
@@ -567,8 +569,8 @@ def oracle_sql() -> dict[str, str]:
     out["explode_cells"] = build(rt, "SELECT doc_id, table_idx, rows, cols, row, col, content, is_header, x, y, w, h FROM cells")
     out["rebuild_tables"] = build(rt + [
         ("good", "SELECT * FROM cells WHERE rows > 0 AND cols > 0 AND row < rows AND col < cols"),
-        ("place", "SELECT doc_id, table_idx, row, col, arg_max(content, row * 100000 + col) AS content FROM good GROUP BY ALL"),
-        ("hdr", "SELECT doc_id, table_idx, col, arg_max(content, row * 100000 + col) AS content FROM good WHERE is_header GROUP BY ALL"),
+        ("place", "SELECT doc_id, table_idx, row, col, arg_max(content, CAST(row AS BIGINT) * 2147483648 + col) AS content FROM good GROUP BY ALL"),
+        ("hdr", "SELECT doc_id, table_idx, col, arg_max(content, CAST(row AS BIGINT) * 2147483648 + col) AS content FROM good WHERE is_header GROUP BY ALL"),
         ("headed", f"SELECT DISTINCT doc_id, table_idx FROM hdr WHERE {strip('content')} <> ''"),
         ("slots", "SELECT doc_id, table_idx, rows, row, unnest(range(cols)) AS col FROM (SELECT *, unnest(range(rows)) AS row FROM rtables WHERE rows > 0 AND cols > 0)"),
         ("drows", "SELECT s.doc_id, s.table_idx, s.rows, s.row, string_agg(coalesce(p.content, ''), '|' ORDER BY s.col) AS v FROM slots s LEFT JOIN place p ON p.doc_id = s.doc_id AND p.table_idx = s.table_idx AND p.row = s.row AND p.col = s.col GROUP BY ALL")],
@@ -606,7 +608,7 @@ def oracle_sql() -> dict[str, str]:
     esc = lambda x: f"to_json({x})"
     out["export_json"] = build(full + scored() + [("fj", f"""SELECT doc_id, string_agg('{{"name":' || {esc('name')} || ',"value":' || {esc('value')} || ',"confidence":' || CAST(round(confidence, 6) AS VARCHAR)
         || ',"source":' || CASE WHEN line_idx IS NULL THEN 'null' ELSE '{{"page":1,"bbox":[0.0,' || CAST(line_idx * 25 AS VARCHAR) || '.0,' || CAST(w AS VARCHAR) || ',' || CAST(line_idx * 25 + 20 AS VARCHAR) || '.0]}}' END || '}}', ',' ORDER BY ord) AS fs FROM scored GROUP BY doc_id""")],
-        f"""SELECT r.doc_id, 0 AS part, r.doc_type, '{{"doc_type":"' || r.doc_type || '","fields":[' || coalesce(f.fs, '') || '],"overall_confidence":' || CAST(round(r.overall, 6) AS VARCHAR)
+        f"""SELECT r.doc_id, r.doc_type, '{{"doc_type":"' || r.doc_type || '","fields":[' || coalesce(f.fs, '') || '],"overall_confidence":' || CAST(round(r.overall, 6) AS VARCHAR)
         || ',"qa":{{"passed_rules":' || CASE WHEN r.totals_match = 'passed' THEN '["totals_match"]' ELSE '[]' END || ',"failed_rules":' || CASE WHEN r.totals_match = 'failed' THEN '["totals_match"]' ELSE '[]' END
         || ',"notes":' || coalesce('"' || r.notes || '"', 'null') || '}}}}' AS record FROM results r LEFT JOIN fj f ON f.doc_id = r.doc_id""")
     out["merge_fields"] = build(docs("text", "user_fields", "tables_json") + suggested() + response_tables() + amounts() + lines(mime=False) + [

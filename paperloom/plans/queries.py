@@ -23,7 +23,7 @@ from paperloom.session import work_dir
 from paperloom.sources import intake
 from paperloom.sources.corpus import corpus_table as corpus
 from paperloom.sources.corpus import samples_raw, truth
-from paperloom.sources.tables import read_table, spread
+from paperloom.sources.tables import read_table
 from paperloom.streaming import classify_stream
 
 COLD_LABELS = list(range(7))
@@ -39,7 +39,7 @@ def _joined(c: str | Column, sep: str = "|") -> Column:
 
 
 def _documents(spark, sf_dir, *cols):
-    return spread(read_table(spark, sf_dir, "documents").select("doc_id", *cols), "doc_id")
+    return read_table(spark, sf_dir, "documents").select("doc_id", *cols)
 
 
 # ---- intake ----------------------------------------------------------------------
@@ -130,8 +130,8 @@ def confidence_grid(spark, sf_dir):
 
 
 def confidence_grid_dense(spark, sf_dir):
-    lines = layout.segment_lines(corpus(spark, sf_dir, "mime", "text", "image_width", "image_height"))
-    return layout.confidence_grid(lines, dense=True).withColumn("mean_confidence", _r("mean_confidence"))
+    docs = corpus(spark, sf_dir, "mime", "text", "image_width", "image_height")
+    return layout.confidence_grid(layout.segment_lines(docs), docs).withColumn("mean_confidence", _r("mean_confidence"))
 
 
 def line_fields(spark, sf_dir):
@@ -410,7 +410,7 @@ def document_report(spark, sf_dir):
 def export_json(spark, sf_dir):
     fields = _scored(spark, sf_dir)
     return report.output_records(process.document_results(fields), fields.filter("norm_name IS NOT NULL")).select(
-        "doc_id", "part", "doc_type", "record")
+        "doc_id", "doc_type", "record")
 
 
 def merge_fields(spark, sf_dir):

@@ -27,9 +27,12 @@ def build_session(master: str | None = None, app: str = "paperloom", memory: str
 
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables and models: the cluster's
-    spark.checkpoint.dir; a local folder only where none is set (tests)."""
+    spark.checkpoint.dir; a local folder only where none is set and Spark runs
+    in local mode (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

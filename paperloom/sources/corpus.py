@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.session import work_dir
-from paperloom.sources.tables import read_table, spread
+from paperloom.sources.tables import read_table
 
 NL = "chr(10)"
 SLOTS = 10
@@ -421,7 +421,8 @@ def _rename(expr: str, column: str, level: int) -> str:
 def corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The rendered corpus with the asked-for columns."""
     tables = {t: read_table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "lineitem")}
-    tables["orders"] = spread(tables["orders"], "o_orderkey")
+    # order rows are small; the texts rendered from them are not, and stay where they are made
+    tables["orders"] = tables["orders"].repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     sql = corpus_sql(list(columns), *(f"<<{t}>>" for t in tables)).replace("{", "{{").replace("}", "}}")
     for t in tables:
         sql = sql.replace(f"<<{t}>>", "{" + t + "}")

@@ -58,28 +58,23 @@ def choose_method(candidates: DataFrame) -> DataFrame:
     return candidates.withColumns({"method": method, "text": F.coalesce(d, i, b), "quality": quality})
 
 
-def assemble_pages(pages: DataFrame, pages_per_part: int = 1000) -> DataFrame:
-    """`pages_in(doc_id, page, text)` (page from 0) to document texts.
-
-    joined: all pages with page-break markers.  basic: blank pages dropped, the
-    others under a page header, separated by blank lines; a document without
-    any text gets a placeholder.  A document of fewer than pages_per_part pages
-    is one part 0; longer ones continue in numbered parts, so that no task has
-    to hold an unbounded document (parts join with the same separators, and a
-    part of blank pages only has a NULL basic text).
+def assemble_pages(pages: DataFrame) -> DataFrame:
+    """`pages(doc_id, page, text)` (page from 0) to one row per document.
+
+    joined_text: all pages with page-break markers.  basic_text: blank pages
+    dropped, the others under a page header, separated by blank lines; NULL for
+    a document of blank pages only, which has the status "blank".
     """
-    part = F.floor(F.col("page") / pages_per_part).cast("int")
-    grouped = pages.groupBy("doc_id", part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    grouped = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
     filled = F.filter("p", lambda s: strip(s["text"]) != "")
     headed = F.transform(filled, lambda s: F.concat(
         F.lit("--- Page "), (s["page"] + 1).cast("string"), F.lit(" ---\n"), s["text"]))
-    basic = F.array_join(headed, "\n\n")
+    some = F.size(headed) > 0
     return grouped.select(
-        "doc_id", "part", F.size("p").alias("n_pages"),
+        "doc_id", F.size("p").alias("n_pages"),
         F.array_join(F.transform("p", lambda s: s["text"]), rules.PAGE_BREAK).alias("joined_text"),
-        F.when(F.size(headed) > 0, basic)
-        .when((F.col("part") == 0) & (F.size("p") < pages_per_part), rules.BLANK_PDF_TEXT).alias("basic_text"))
+        F.when(some, F.array_join(headed, "\n\n")).alias("basic_text"),
+        F.when(some, "text").otherwise("blank").alias("status"))
 
 
 def batch_status(files: DataFrame) -> DataFrame:

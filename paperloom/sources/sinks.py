@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 
 def write_records(records: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON record per line, in one folder per document type."""
-    records.select("doc_type", F.col("record").alias("value")).write.partitionBy("doc_type").mode(mode).text(path)
+    """One JSON line per document, {"doc_id", "record"}, in one folder per document type."""
+    line = F.concat(F.lit('{"doc_id":'), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(',"record":'), F.col("record"), F.lit("}"))
+    records.select("doc_type", line.alias("value")).write.partitionBy("doc_type").mode(mode).text(path)
 
-
-def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> None:
-    writer = df.write.mode(mode)
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)

@@ -8,13 +8,3 @@ from pyspark.sql import DataFrame, SparkSession
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def spread(df: DataFrame, key: str, per_file: int = 1) -> DataFrame:
-    """Hash-spread a table over the cluster by its unique key, but only when it
-    comes from fewer files than there are cores.  A large table has many files
-    and is left as the scan delivers it, so no shuffle of whole texts is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) * per_file >= cores:
-        return df
-    return df.repartition(cores, key)

@@ -171,7 +171,8 @@ def test_grid(spark):
                                "doc_id long, x double, y double, confidence double, image_width int, image_height int")
     r = one(layout.confidence_grid(df))
     assert (r.y_idx, r.x_idx) == (1, 0)
-    assert layout.confidence_grid(df, dense=True).count() == 10
+    images = spark.createDataFrame([(0, 100, 45), (1, 40, 20)], "doc_id long, image_width int, image_height int")
+    assert layout.confidence_grid(df, images).groupBy("doc_id").count().orderBy("doc_id").collect() == [(0, 10), (1, 2)]
 
 
 def test_text_functions(spark):
@@ -210,12 +211,44 @@ def test_tables_round_trip(spark):
         ("header", ["Item", "Qty"]), ("data", ["A", "1"]), ("data", ["B", "2"])]
 
 
-def test_long_documents_continue_in_parts(spark):
-    pages = spark.createDataFrame([(0, p, f"t{p}") for p in range(5)], "doc_id long, page long, text string")
-    parts = intake.assemble_pages(pages, pages_per_part=2).orderBy("part").collect()
-    whole = one(intake.assemble_pages(pages))
-    assert rules.PAGE_BREAK.join(p.joined_text for p in parts) == whole.joined_text
-    assert "\n\n".join(p.basic_text for p in parts) == whole.basic_text
+def test_pages_give_one_row_per_document(spark):
+    pages = [(0, p, " \n") for p in range(1001)] + [(1, 0, ""), (1, 1500, "late text"), (2, 0, "a"), (2, 1, "b")]
+    got = {r.doc_id: r for r in intake.assemble_pages(spark.createDataFrame(pages, "doc_id long, page long, text string")).collect()}
+    assert (got[0].n_pages, got[0].basic_text, got[0].status) == (1001, None, "blank")
+    assert (got[1].n_pages, got[1].basic_text, got[1].status) == (2, "--- Page 1501 ---\nlate text", "text")
+    assert got[2].joined_text == "a" + rules.PAGE_BREAK + "b"
+
+
+def test_detection_is_linear_in_the_lines(spark):
+    import time
+    text = "\n".join(f"a{i}\tb\nplain" for i in range(10_000)) + "\nx\ty\nz\tw"
+    start = time.time()
+    assert one(tables.detect_tables(docs(spark, text))).rows == 2
+    assert time.time() - start < 20
+
+
+def test_large_amounts_and_no_break_spaces(spark):
+    got = {r.name: r.value for r in totals.totals_fields(totals.scan_totals(docs(
+        spark, "paid $1,000,000,000,000,000,000.00\nTotal:\u00a0100.00\n7.50\u00a0$"))).collect()}
+    assert got["Total Amount"] == "$100.00" and len(got) == 2
+    huge = "9," * 0 + "$" + ",".join(["999"] * 14) + ".00"
+    assert totals.totals_fields(totals.scan_totals(docs(spark, huge))).count() == 1
+
+
+def test_wide_and_long_tables(spark):
+    found = tables.detect_tables(docs(spark, "\n".join(f"r{i}\tv" for i in range(22_000))))
+    assert tables.detected_cells(found).agg(F.countDistinct("cell_ord")).first()[0] == 44_000
+
+
+def test_null_values_are_values(spark):
+    pred, truth = fields(spark, ("A", None), ("B", None), ("C", "x")), fields(spark, ("A", "x"), ("B", None), ("D", None))
+    got = {r.norm_name: r.outcome for r in evaluate.eval_fields(pred, truth).collect()}
+    assert got == {"a": "mismatch", "b": "match", "c": "spurious", "d": "missing"}
+
+
+def test_blank_request_is_none(spark):
+    df = spark.createDataFrame([("invoice", "   ")], "doc_type string, user_fields string")
+    assert one(suggest.suggest_fields(df)).suggested == rules.TEMPLATES["invoice"][:10]
 
 
 def test_vocabulary_bound_and_model_forms_agree(spark):
