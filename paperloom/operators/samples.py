@@ -36,9 +36,15 @@ def parse_samples(raw: DataFrame) -> DataFrame:
                         F.when(maybe_other, not_object).otherwise(False).alias("not_object"))
     parsed = parsed.withColumn("j", F.from_json(
         F.when(F.col("body") == "", "{}").otherwise(F.col("body")), RESPONSE_SCHEMA,
-        {"columnNameOfCorruptRecord": "_corrupt"}))
+        {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}))
+    # the reader stops after one object; what follows it shows in the length of an array of the whole
+    single = F.coalesce(F.json_array_length(F.concat(F.lit("["), F.col("body"), F.lit("]"))), F.lit(0)) == 1
+    key = F.lit("overall_confidence")
+    null_overall = F.when(
+        F.col("j.overall_confidence").isNull() & F.col("body").contains('"overall_confidence"'),
+        F.map_contains_key(F.from_json("body", "map<string,string>"), key)).otherwise(False)
     status = (F.when(F.col("not_object"), "dropped").when(F.col("body") == "", "empty")
-              .when(F.col("j._corrupt").isNotNull(), "dropped")
+              .when(F.col("j._corrupt").isNotNull() | ~single, "dropped")
               .when(F.col("trimmed") == F.col("body"), "ok").otherwise("recovered"))
     empty = F.array().cast("array<map<string,string>>")
     readable = F.col("status") != "dropped"
@@ -46,7 +52,8 @@ def parse_samples(raw: DataFrame) -> DataFrame:
         "doc_id", "sample_no", "status",
         F.when(readable, F.col("j.doc_type")).alias("doc_type"),
         F.when(readable, F.coalesce("j.fields", empty)).otherwise(empty).alias("fields"),
-        F.when(readable, F.col("j.overall_confidence")).alias("overall_confidence"),
+        # an explicit null is a value that is no number
+        F.when(readable & null_overall, "null").when(readable, F.col("j.overall_confidence")).alias("overall_confidence"),
         F.when(readable, F.col("j.qa")).alias("qa"))
 
 

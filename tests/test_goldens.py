@@ -108,6 +108,12 @@ def test_sample_statuses(spark):
     assert got == ["ok", "recovered", "empty", "empty", "dropped", "dropped", "dropped", "dropped"]
 
 
+def test_strict_json(spark):
+    v = response(spark, "{'doc_type':'bill'}", '{"fields":[]} {"fields":[]}', 'see {"fields":[]} and {"fields":[]}.',
+                 '{"overall_confidence":null}', '{"overall_confidence":0.5}', '{"qa":{"notes":"overall_confidence"}}')
+    assert [r.valid for r in v.orderBy("sample_no").collect()] == [False, False, False, False, True, True]
+
+
 def test_invalid_fields_drop_the_sample(spark):
     v = response(spark, '{"fields":[{"value":"1"}]}', field_json("1", '"high"'), field_json("1", '"0.9"'),
                  '{"fields":[{"name":"a","value":null,"confidence":1.7}]}', '{"fields":[{"name":"a"}]}')
