@@ -38,6 +38,8 @@ PATTERNS = (
     ("name", rf"(?<!\w)(?:{_TITLES})\.? {_NAME}"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: For texts without an at sign: all other entities start with a capital, a digit, "+" or "(".
+NO_MAIL = r"(?=[\p{Lu}0-9+(])(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS if k != "email") + ")"
 #: Given names by script and gender, and syllables of surnames by script (fixed values).
 GIVEN = {
     ("latin", "m"): "Adrian Bruno Carl Daniel Emil Felix Gustav Hugo Ivo Jonas Karim Leo Marco Nico Oscar Paul".split(),
@@ -162,11 +164,13 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
 def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """docs with every detected entity of the text replaced; count names a column for their number."""
     columns, t = docs.columns, F.col(f"`{text}`")
-    rows = docs.withColumn("_found", F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
+    mail = t.contains("@")  # every entity holds an at sign, a digit or a title; most texts hold none
+    other = t.rlike(rf"[0-9]|{_TITLES}")
+    rows = docs.withColumn("_found", F.when(mail, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).when(other, F.regexp_extract_all(t, F.lit(NO_MAIL), F.lit(0))))
     hit = F.coalesce(F.size("_found") > 0, F.lit(False))
     number = [F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias(count)] if count else []
     plain = rows.where(~hit).select(*[F.col(f"`{c}`") for c in columns], *[F.lit(0).cast("long").alias(c) for c in [count] if c])
-    rows = rows.where(hit).withColumn("_row", F.xxhash64(t))  # equal texts have equal entities
+    rows = stored(rows.where(hit).withColumn("_row", F.xxhash64(t)), "texts-with-entities")  # equal texts have equal entities
     raws = rows.select("_row", F.explode(F.array_distinct("_found")).alias("raw")).distinct()
     raws = raws.withColumn("kind", _kind(F.col("raw"))).withColumn("gender", F.expr(f"if({_title('raw')} in ({', '.join(repr(x) for x in _FEMALE)}), 'f', 'm')"))
     raws = stored(raws.withColumn("norm", _norm()).drop("gender"), "entities")
@@ -174,7 +178,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str |
     written = raws.join(surrogates, ["kind", "norm"]).withColumn("written", F.expr(WRITTEN))
     maps = written.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("raw", "written"))).alias("_map"))
     rows = rows.join(maps, "_row")
-    pieces = F.split(t, ANY, -1)
+    pieces = F.when(mail, F.split(t, ANY, -1)).otherwise(F.split(t, NO_MAIL, -1))
     filled = F.zip_with(pieces, F.col("_found"), lambda p, raw: F.concat(p, F.coalesce(F.element_at("_map", raw), F.lit(""))))
     changed = rows.withColumn(text, F.array_join(filled, "")).select(*[F.col(f"`{c}`") for c in columns], *number)
     return plain.union(changed)
