@@ -11,6 +11,7 @@ and the partial overlaps are summed per pair.  Two documents link when overlap /
 3. The representatives' shingles are ordered by document frequency, and rare-first prefixes are compared.  Every
    prefix shingle first proposes one pair for each of its documents, with the first document that it can follow, and
    the best proposal of each document is verified: a group of copies falls together without its pairs being listed.
+   A second round has another document, drawn by hash, lead each list, for documents that are still apart from it.
    Then every pair is verified that lies in two components, has a common prefix shingle, has enough shingles from there
    on for the overlap that its sizes ask for, and whose parity bits don't differ in more places than the sets may.
 4. Verification joins a pair's fragments, counts each overlap, and sums.
@@ -222,6 +223,19 @@ def _leads(percent: int) -> Column:
     return F.col("rest") * (100 + percent) >= 2 * percent * F.col("n")
 
 
+def _other_leaders(prefix: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each document with the leaders of its lists that lie in other components; a pair for a list entry at most."""
+    placed = prefix.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    draw = F.struct(F.xxhash64("node", "hash").alias("draw"), "node", "n", "rest", "component")
+    leader = placed.where(_leads(percent)).groupBy("hash").agg(F.min(draw).alias("l")).select(
+        "hash", F.col("l.node").alias("b"), F.col("l.n").alias("n_2"), F.col("l.rest").alias("rest_2"), F.col("l.component").alias("other"))
+    pairs = placed.join(leader, "hash").where("component <> other").where(_fit("n", "rest", "n_2", "rest_2", percent))
+    pairs = stored(pairs.select(F.col("node").alias("a"), "b", "n", "n_2").distinct(), "led-pairs")
+    parity = _parities(sets)
+    pairs = pairs.join(parity.withColumnRenamed("node", "a"), "a").join(parity.select(F.col("node").alias("b"), F.col("parity").alias("parity_2")), "b")
+    return pairs.where(_near(percent)).select("a", "b").distinct()
+
+
 def jaccard_join(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 75) -> Linked:
     """Links between all documents by their distinct k-word shingles, as components and verified pairs of classes."""
     spark = docs.sparkSession
@@ -247,7 +261,11 @@ def jaccard_join(docs: DataFrame, text: str = "text", k: int = 5, percent: int =
     proposed = proposed.groupBy("node", "other").agg(F.count(F.lit(1)).alias("c"))
     best = proposed.groupBy("node").agg(F.max(F.struct("c", "other")).alias("best")).select(F.col("best.other").alias("a"), F.col("node").alias("b"))
     first = stored(verify(best, sets, percent), "links")
-    grouped = components(first)
+    grouped = components(first.select("a", "b"))
+
+    # a second round, for what the first left apart: on each list another document leads, drawn by hash
+    first = first.union(stored(verify(_other_leaders(prefix, grouped, sets, percent), sets, percent), "links"))
+    grouped = components(first.select("a", "b"))
 
     placed = prefix.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(_leads(percent)).alias("some")).where("x < y and some").select("hash")
