@@ -88,6 +88,18 @@ SELECT doc_id, license_id, round(max(containment), 9) AS containment, count(*) A
 
 
 ORACLE_SQL = {
+    "op3_jaccard": r"""
+WITH RECURSIVE
+     w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM w, range(1, greatest(len(w) - 3, 2)) r(i) WHERE len(w) > 0),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+     p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+     l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+     e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+     r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.c), w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY w.doc_id""",
     "op8_licenses": _license_sql(),
     "op9_exact_dedup": """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
