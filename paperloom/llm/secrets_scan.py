@@ -7,10 +7,11 @@ alphabet, by symbols and by classes of characters, runs about the alphabet's mid
 p-values combine by Fisher's method.
 
 False discoveries are controlled by decoys, separately for ranges of lengths, as short strings pass the battery more
-easily: every document contributes, for each range, its own words strung together to a string of that length.  Over
-the whole corpus the least level is taken at which the decoys' pass rate, applied to the candidates, makes up at most
-fdr of the candidates that pass; those are added as spans of kind random.  The counts are tables of LENGTHS x LEVELS
-cells; nothing else is gathered.
+easily: every document contributes, for each range, its own words strung together to strings of that length, one for
+each stretch of 128 letters over its whole length.  Equal decoys count once in the corpus, so a header that many
+documents share weighs as one.  Over the whole corpus the least level is taken at which the decoys' pass rate, applied
+to the candidates, makes up at most fdr of the candidates that pass; those are added as spans of kind random.  Decoys
+are told apart by 56-bit hashes; the counts are tables of LENGTHS x LEVELS cells; nothing else is gathered.
 
 Spans are code points of the whole text, end exclusive.  Null and empty texts have no spans; documents of any length
 are read whole; repeated rows give repeated results; only doc_id and text are read.
@@ -18,8 +19,10 @@ are read whole; repeated rows give repeated results; only doc_id and text are re
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +42,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_LETTERS = re.compile(r"[A-Za-z]+")
 
 _RUN_BYTE = np.zeros(256, bool)
 _RUN_BYTE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
+_LETTER = np.zeros(256, np.uint8)  # lower case, 0 for all that is no letter
+_LETTER[65:91] = _LETTER[97:123] = np.arange(97, 123)
 _ALPHABETS = {
     "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -174,17 +178,100 @@ def _code_points(raw: bytes, spans: list[tuple[int, int]], ascii_only: bool) ->
     return [(int(starts[a]), int(starts[b])) for a, b in spans]
 
 
-def decoys(text: str) -> list[str]:
-    """One string of each range's least length, of the text's own words; none where the text is too short.  Lower case
-    passes the battery most easily, so it makes the control strict."""
-    need, have, parts = LENGTHS[-1], 0, []
-    for m in _LETTERS.finditer(text):
-        parts.append(m[0])
-        have += len(m[0])
-        if have >= need:
-            break
-    joined = "".join(parts).lower()
-    return [joined[:n] for n in LENGTHS if len(joined) >= n]
+def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of all texts in lower case, and starts and lengths of stretches of them: each begins with a word (a
+    word that is longer than a stretch is cut) and holds at most the last range's least length.  Lower case passes the
+    battery most easily, so it makes the control strict."""
+    low = _LETTER[data]
+    inside = low > 0
+    bounds = np.concatenate([[0], np.cumsum(inside)])[offsets].tolist()
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    at = offsets[offsets < len(data)]
+    first[at] = inside[at]
+    letters, words = low[inside], memoryview(np.flatnonzero(first[inside]))
+    starts, lengths, size = [], [], LENGTHS[-1]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        while b - a >= LENGTHS[0]:
+            starts.append(a)
+            lengths.append(min(b - a, size))
+            a += size
+            word = bisect_left(words, a)
+            following = words[word] if word < len(words) else len(letters)
+            a = following if following - a < size else a
+    return letters, np.array(starts, np.int64), np.array(lengths, np.int64)
+
+
+@functools.lru_cache
+def _runs_tail(n: int) -> np.ndarray:
+    """log of the runs test's p-value, by the number of symbols above the middle and the number of runs."""
+    out = np.zeros((n + 1, n + 1))
+    for above in range(n + 1):
+        below = n - above
+        if not above or not below:
+            out[above] = math.log(2.0 ** (1 - n))
+            continue
+        expected = 1 + 2 * above * below / n
+        spread = math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9))
+        for seen in range(1, n + 1):
+            out[above, seen] = math.log(max(math.erfc(abs(seen - expected) / spread / math.sqrt(2)), 1e-300))
+    return out
+
+
+def decoy_levels(rows: np.ndarray) -> np.ndarray:
+    """level(battery()) of strings of lower case letters, all of one length."""
+    m, n = rows.shape
+    size, v = len(_ALPHABETS["base36"]), rows.astype(np.int64) - 87
+    bins = max(2, min(size, n // 4))
+    widths = np.bincount(np.arange(size) * bins // size, minlength=bins) * (n / size)
+    counts = np.bincount((v * bins // size + np.arange(m)[:, None] * bins).ravel(), minlength=m * bins).reshape(m, bins)
+    uniform = np.array([_chi_tail(x, bins - 1) for x in ((counts - widths) ** 2 / widths).sum(axis=1).tolist()])
+    classes, share = _CLASSES["base36"]
+    lower = [n * (classes[-1] == c) for c in range(len(share))]
+    mixed = _chi_tail(sum((c - n * w) ** 2 / (n * w) for c, w in zip(lower, share, strict=True)), len(share) - 1)
+    high = 2 * v >= size
+    runs = _runs_tail(n)[high.sum(axis=1), 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)]
+    total, square = v.sum(axis=1), n * (v * v).sum(axis=1)
+    power = square - total * total
+    near = n * (v * np.roll(v, -1, axis=1)).sum(axis=1) - total * total
+    r = np.abs(near / np.maximum(power, 1) + 1 / (n - 1)) * math.sqrt(n / 2)
+    serial = np.array([math.erfc(x) for x in r.tolist()]) * (power > 0)
+    logs = np.log(np.maximum(uniform, 1e-300)) + math.log(max(mixed, 1e-300)) + runs + np.log(np.maximum(serial, 1e-300))
+    half = -logs
+    p = np.minimum(np.exp(-half) * (1 + half + half ** 2 / 2 + half ** 3 / 6), 1.0)
+    out = np.minimum((-4 * np.log10(np.maximum(p, 1e-30))).astype(np.int64), LEVELS - 1)
+    for i in np.flatnonzero((rows <= ord("f")).all(axis=1)):  # these are hexadecimal
+        out[i] = level(battery(rows[i].tobytes().decode()))
+    return out
+
+
+def decoy_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The distinct decoys of some texts: 56 bits of the string's hash, and its cell.  Of each stretch, the first
+    letters for each range."""
+    letters, starts, lengths = stretches(data, offsets)
+    keys = []
+    for r, n in enumerate(LENGTHS):
+        take = starts[lengths >= n]
+        for at in range(0, len(take), 8192):
+            rows = np.zeros((len(take[at:at + 8192]), -(-n // 8) * 8), np.uint8)
+            rows[:, :n] = letters[take[at:at + 8192, None] + np.arange(n)]
+            hashed = np.full(len(rows), r, np.uint64)
+            for word in rows.view(np.uint64).T:
+                hashed = W.mix(hashed * np.uint64(0x9FB21C651E98DF25) + word)
+            hashed, once = np.unique(hashed & ~np.uint64(255), return_index=True)
+            keys.append(hashed | (r * LEVELS + decoy_levels(rows[once, :n])).astype(np.uint64))
+    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+
+
+def _decoys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = W.text_buffers(batch.column("text"))
+        keys = []
+        for at in range(0, len(offsets) - 1, 512):
+            part = offsets[at:at + 513]
+            keys.append(decoy_keys(data[part[0]:part[-1]], part - part[0]))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)).view(np.int64))], ["key"])
 
 
 _SPAN = "array<struct<kind:int,start:int,stop:int,cell:int>>"
@@ -193,7 +280,7 @@ _SPAN = "array<struct<kind:int,start:int,stop:int,cell:int>>"
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = W.text_buffers(batch.column("text"))
-        rows, spent = [], []
+        rows = []
         runs: dict[int, list[tuple[int, int]]] = {}
         for at in range(0, len(offsets) - 1, 512):
             part = offsets[at:at + 513]
@@ -208,9 +295,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if all(b <= x or y <= a for _, x, y in spans):
                     cells.append((KINDS.index("random"), a, b, length_range(b - a) * LEVELS + level(battery(text[a:b]))))
             rows.append([{"kind": k, "start": a, "stop": b, "cell": c} for k, a, b, c in cells])
-            spent.append([length_range(len(d)) * LEVELS + level(battery(d)) for d in decoys(text)])
         span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("cell", pa.int32())])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(span)), pa.array(spent, pa.list_(pa.int32()))], ["doc_id", "spans", "decoys"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(span))], ["doc_id", "spans"])
 
 
 def pass_levels(candidates: dict[int, int], decoy: dict[int, int], fdr: float) -> list[int]:
@@ -233,9 +319,10 @@ def scan_secrets(docs: DataFrame, fdr: float = 0.01) -> DataFrame:
     """doc_id, spans(kind, start, stop) by start and kind, for every row."""
     ship_package(docs.sparkSession)
     types = dict(docs.dtypes)["doc_id"]
-    found = stored(docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {types}, spans {_SPAN}, decoys array<int>"), "secret-spans")
+    found = stored(docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {types}, spans {_SPAN}"), "secret-spans")
     candidates = found.select(F.explode("spans.cell").alias("cell")).where("cell >= 0").groupBy("cell").count()
-    decoy = found.select(F.explode("decoys").alias("cell")).groupBy("cell").count()
+    decoy = docs.select("text").mapInArrow(_decoys, "key long").distinct()
+    decoy = decoy.groupBy(F.col("key").bitwiseAND(255).cast("int").alias("cell")).count()
     last = pass_levels(dict(map(tuple, candidates.collect())), dict(map(tuple, decoy.collect())), fdr)  # at most LENGTHS x LEVELS rows
     limits = F.array(*map(F.lit, last))
     real = F.filter("spans", lambda s: (s["cell"] < 0) | (s["cell"] % LEVELS <= F.get(limits, (s["cell"] / LEVELS).cast("int"))))

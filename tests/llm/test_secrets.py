@@ -59,3 +59,44 @@ def test_runs_end_with_their_text():
 
 def test_empty_table(spark):
     assert S.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def keys(*texts):
+    import numpy as np
+    raw = [t.encode() for t in texts]
+    return S.decoy_keys(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+
+def test_decoys_come_from_whole_texts_and_count_once():
+    import numpy as np
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlub") for _ in range(rng.randint(2, 9))) for _ in range(4000)] + ["fade" * 9, "e" * 700]
+    text = "É1 ".join(words)
+    letters, starts, lengths = S.stretches(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    joined = letters.tobytes().decode()
+    assert joined == "".join(words) and lengths.sum() > 0.9 * len(joined)
+    want = {(n, joined[a:a + n]) for a, b in zip(starts.tolist(), lengths.tolist()) for n in S.LENGTHS if b >= n}
+    got = keys(text)
+    assert len(got) == len(want)
+    cells = sorted(S.length_range(n) * S.LEVELS + S.level(S.battery(d)) for n, d in want)
+    assert sorted((got & np.uint64(255)).tolist()) == cells
+    assert np.array_equal(keys(text, "", text, "too short"), got)  # copies weigh once
+
+
+def test_few_long_texts_and_a_common_header(spark):
+    """Twenty documents, each long: they have secrets, and decoys enough.  All open with the same random-looking words."""
+    rng = random.Random(8)
+    headers = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)) for _ in range(3000)]
+    header = min(headers, key=lambda h: S.level(S.battery(h[:20])))
+    rows, planted = [], {}
+    for i in range(20):
+        words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+        planted[i] = base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode().rstrip("=")
+        words[1500] = planted[i]
+        words[500] = short = base64.b32encode(hashlib.sha256(str(-i).encode()).digest()).decode()[:24]
+        planted[i, "short"] = short
+        rows.append((i, " ".join([header[:12], header[12:], *words])))
+    out = S.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {rows[r.doc_id][1][s.start:s.stop] for r in out for s in r.spans if s.kind == "random"}
+    assert len([1 for i in range(20) if planted[i] in found]) >= 17
+    assert len([1 for i in range(20) if planted[i, "short"] in found]) >= 14
