@@ -1,7 +1,10 @@
 """Secret scan: fixed patterns, and a randomness test battery with false-discovery control.
 
-Patterns give the base spans (kinds assign, access, hex).  Runs of at least MIN_RUN characters of [A-Za-z0-9+/_=-]
-outside them are candidates.  A candidate's encoding is inferred from its characters (hex, base32, base36, base64);
+Patterns give the base spans (kinds assign, access, hex).  Candidates are the runs of at least MIN_RUN characters of
+[A-Za-z0-9+/_=-], what base spans leave of a run to their left and right, and the parts of both between separators:
+between "=", then "/" or "-" and "_", then all of them and "+".  So a token is tested on its own, whatever label or path
+it is glued to.  A part is reported only where nothing that holds it is.  A candidate's encoding is inferred from its
+characters (hex, base32, base36, base64);
 over the symbols' values in that encoding a battery asks whether they could be random: chi-squared uniformity of the
 alphabet, by symbols and by classes of characters, runs about the alphabet's middle, and serial correlation.  The
 p-values combine by Fisher's method.
@@ -22,8 +25,9 @@ from __future__ import annotations
 import functools
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -274,7 +278,59 @@ def _decoys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)).view(np.int64))], ["key"])
 
 
-_SPAN = "array<struct<kind:int,start:int,stop:int,cell:int>>"
+#: Each cuts more finely than those before it, but for the third, which stands beside the second.
+_CUTS = tuple(re.compile(rf"[^{c}]+") for c in ("=", "=/", "=_-", "=/_+-"))
+_SIGNS = "=/_+-"
+
+
+def free_parts(text: str, run: tuple[int, int], spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What sorted base spans leave of a run, without the signs next to them; the run itself where none touches it."""
+    out, (at, b) = [], run
+    for _, x, y in spans:
+        if y > at and x < b:
+            out.append((at, x))
+            at = max(at, y)
+    out.append((at, b))
+    if len(out) == 1:
+        return out
+    parts = []
+    for x, y in out:
+        while x < y and x > run[0] and text[x] in _SIGNS:
+            x += 1
+        while x < y and y < run[1] and text[y - 1] in _SIGNS:
+            y -= 1
+        parts.append((x, y))
+    return [(x, y) for x, y in parts if y - x >= MIN_RUN]
+
+
+def candidates_of(text: str, a: int, b: int) -> list[tuple[int, int, int, list[int]]]:
+    """(start, stop, cell, cells of the candidates that hold it) of text[a:b] and of its parts between separators."""
+    cell = lambda x, y: length_range(y - x) * LEVELS + level(battery(text[x:y]))
+    out = [(a, b, cell(a, b), [])]
+    if not any(c in _SIGNS for c in text[a:b]):
+        return out
+    body = text[a:b].strip(_SIGNS)
+    lead = a + (text.index(body, a, b) - a)
+    seen = {(a, b), (lead, lead + len(body))}  # the same symbols as the whole run
+    found: list[list[tuple[int, int, int, list[int]]]] = []
+    for cut in _CUTS:
+        level_parts = []
+        for m in cut.finditer(text, a, b):
+            x, y = m.span()
+            if y - x < MIN_RUN or (x, y) in seen:
+                continue
+            seen.add((x, y))
+            over = [out[0][2]]
+            for parts in found:
+                i = bisect_right(parts, x, key=lambda p: p[0]) - 1
+                if i >= 0 and parts[i][1] >= y:
+                    over.append(parts[i][2])
+            level_parts.append((x, y, cell(x, y), over))
+        found.append(level_parts)
+    return out + [p for parts in found for p in parts]
+
+
+_SPAN = "array<struct<kind:int,start:int,stop:int,cell:int,outer:array<int>>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,12 +346,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = value.as_py() or ""
             own = _code_points(data[offsets[i]:offsets[i + 1]].tobytes(), runs.get(i, []), text.isascii())
             spans = base_spans(text) + run_spans(text, own)
-            cells = [(KINDS.index(k), a, b, -1) for k, a, b in spans]
+            cells = [(KINDS.index(k), a, b, -1, []) for k, a, b in spans]
+            by_start = sorted(spans, key=lambda s: s[1])
+            reach = list(accumulate((s[2] for s in by_start), max))
             for a, b in own:
-                if all(b <= x or y <= a for _, x, y in spans):
-                    cells.append((KINDS.index("random"), a, b, length_range(b - a) * LEVELS + level(battery(text[a:b]))))
-            rows.append([{"kind": k, "start": a, "stop": b, "cell": c} for k, a, b, c in cells])
-        span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("cell", pa.int32())])
+                touching = by_start[bisect_right(reach, a):bisect_left(by_start, b, key=lambda s: s[1])]
+                for x, y in free_parts(text, (a, b), touching):
+                    cells += [(KINDS.index("random"), *c) for c in candidates_of(text, x, y)]
+            rows.append([{"kind": k, "start": a, "stop": b, "cell": c, "outer": o} for k, a, b, c, o in cells])
+        span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("cell", pa.int32()), ("outer", pa.list_(pa.int32()))])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(span))], ["doc_id", "spans"])
 
 
@@ -325,7 +384,8 @@ def scan_secrets(docs: DataFrame, fdr: float = 0.01) -> DataFrame:
     decoy = decoy.groupBy(F.col("key").bitwiseAND(255).cast("int").alias("cell")).count()
     last = pass_levels(dict(map(tuple, candidates.collect())), dict(map(tuple, decoy.collect())), fdr)  # at most LENGTHS x LEVELS rows
     limits = F.array(*map(F.lit, last))
-    real = F.filter("spans", lambda s: (s["cell"] < 0) | (s["cell"] % LEVELS <= F.get(limits, (s["cell"] / LEVELS).cast("int"))))
+    passes = lambda cell: cell % LEVELS <= F.get(limits, (cell / LEVELS).cast("int"))
+    real = F.filter("spans", lambda s: (s["cell"] < 0) | (passes(s["cell"]) & ~F.exists(s["outer"], passes)))
     ordered = F.array_sort(F.transform(real, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("k"), s["stop"].alias("stop"))))
     names = F.array(*map(F.lit, KINDS))
     return found.select("doc_id", F.transform(ordered, lambda s: F.struct(F.get(names, s["k"]).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
