@@ -14,6 +14,8 @@ and the partial overlaps are summed per pair.  Two documents link when overlap /
    A second round has another document, drawn by hash, lead each list, for documents that are still apart from it.
    Then every pair is verified that lies in two components, has a common prefix shingle, has enough shingles from there
    on for the overlap that its sizes ask for, and whose parity bits don't differ in more places than the sets may.
+   That is enough for the components; links within one may be missing.  With every_link, instead of all this, every
+   pair is verified that meets the same bounds, whatever its component: the links are the whole join.
 4. Verification joins a pair's fragments, counts each overlap, and sums.
 
 Rows: null or empty texts and texts without words have no shingles and link with nothing; a null doc_id is returned
@@ -42,8 +44,9 @@ SLACK = 20  # a prefix is longer by 1/SLACK of the set, and must share that much
 
 
 class Linked(NamedTuple):
-    rows: DataFrame  # doc_id, n_shingles, component_id
-    links: DataFrame  # a, b, overlap, n_a, n_b: verified pairs of class representatives
+    rows: DataFrame  # doc_id, n_shingles, component_id; with every_link also n_links, copies included
+    links: DataFrame  # a, b, overlap, n_a, n_b: verified pairs of classes (node); with every_link all, else enough for the components
+    members: DataFrame  # doc_id, node: each row that can link, and its class of equal sets; rows of one class link as well
 
 
 def _least(n, percent):
@@ -236,25 +239,17 @@ def _other_leaders(prefix: DataFrame, grouped: DataFrame, sets: DataFrame, perce
     return pairs.where(_near(percent)).select("a", "b").distinct()
 
 
-def jaccard_join(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 75) -> Linked:
-    """Links between all documents by their distinct k-word shingles, as components and verified pairs of classes."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    fragments = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    scanned = docs.mapInArrow(_scan(k, percent, fragments), "fragment int, hashes binary, docs binary, often binary, meta array<struct<doc_id:bigint,n:int,digest:binary>>")
-    counts = stored(scanned.groupBy("fragment").applyInArrow(_fragment_counts, "doc_id long, n int, digest binary, shared int"), "prefixes")
-    meta = counts.where("n is not null").select("doc_id", "n", "digest")
-    shared = counts.where("shared is not null").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
-    enough = F.expr(f"shared >= floor(ceil(n * {percent} / 100.0) / {SLACK}) + 1")
-    left = meta.join(shared, "doc_id").where(enough)
-    classes = left.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+def _every_pair(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all that have a common prefix shingle and pass the positional and parity bounds."""
+    placed = stored(prefix.join(_parities(sets), "node"), "placed")
+    small = placed.where(_leads(percent)).select("hash", F.col("node").alias("b"), F.col("n").alias("n_2"), F.col("rest").alias("rest_2"), F.col("parity").alias("parity_2"))
+    pairs = placed.join(small, "hash").where("n_2 < n or n_2 = n and b < node")
+    pairs = pairs.where(_fit("n", "rest", "n_2", "rest_2", percent)).where(_near(percent))
+    return stored(pairs.select(F.col("node").alias("a"), "b").distinct(), "pairs")
 
-    texts = docs.join(classes, "doc_id").select("node", "digest", "text").dropDuplicates()
-    sets = stored(texts.mapInArrow(_sets(k, FRAGMENTS), "node long, n int, fragment int, part array<bigint>, parity array<bigint>"), "sets")
 
-    prefix = stored(_rare_first(sets, percent), "rare-first")
+def _some_links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified pairs that have the components of all links."""
     small = prefix.where(_leads(percent))
     leader = small.groupBy("hash").agg(F.min(F.struct("node", "n", "rest")).alias("l")).select("hash", F.col("l.node").alias("other"), F.col("l.n").alias("n_2"), F.col("l.rest").alias("rest_2"))
     proposed = prefix.join(leader, "hash").where(_fit("n", "rest", "n_2", "rest_2", percent)).where("node <> other")
@@ -276,12 +271,53 @@ def jaccard_join(docs: DataFrame, text: str = "text", k: int = 5, percent: int =
     cross = cross.select("hash", "other", F.col("node").alias("a"), "n", "rest", "parity").join(small, ["hash", "other"])
     cross = cross.where("n_2 <= n").where(_fit("n", "rest", "n_2", "rest_2", percent)).where(_near(percent))
     cross = stored(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross-pairs")
-    links = first.union(stored(verify(cross, sets, percent), "links"))
+    return first.union(stored(verify(cross, sets, percent), "links"))
+
+def _link_counts(meta: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(digest, n_links): for a row of each class, the rows of its own class but itself and of the linked classes."""
+    sizes = stored(meta.where("doc_id is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("size")).join(classes, "digest").select("digest", "node", "size"), "class-sizes")
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes.select(F.col("node").alias("b"), "size"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))
+    return sizes.join(others, "node", "left").select("digest", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 75, every_link: bool = False) -> Linked:
+    """Documents whose distinct k-word shingles link, as components; with every_link all links and their number for
+    each row, else only as many links as the components need."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    fragments = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    scanned = docs.mapInArrow(_scan(k, percent, fragments), "fragment int, hashes binary, docs binary, often binary, meta array<struct<doc_id:bigint,n:int,digest:binary>>")
+    counts = stored(scanned.groupBy("fragment").applyInArrow(_fragment_counts, "doc_id long, n int, digest binary, shared int"), "prefixes")
+    meta = counts.where("n is not null").select("doc_id", "n", "digest")
+    shared = counts.where("shared is not null").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    enough = F.expr(f"shared >= floor(ceil(n * {percent} / 100.0) / {SLACK}) + 1")
+    left = meta.join(shared, "doc_id").where(enough)
+    classes = left.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    texts = docs.join(classes, "doc_id").select("node", "digest", "text").dropDuplicates()
+    sets = stored(texts.mapInArrow(_sets(k, FRAGMENTS), "node long, n int, fragment int, part array<bigint>, parity array<bigint>"), "sets")
+
+    prefix = stored(_rare_first(sets, percent), "rare-first")
+    links = stored(verify(_every_pair(prefix, sets, percent), sets, percent), "links") if every_link else _some_links(prefix, sets, percent)
 
     final = components(links.select("a", "b"))
     named = classes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = stored(named.join(least, "component").select("digest", "component_id"), "components")
-    rows = meta.join(named, "digest", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return Linked(rows, links)
+    rows_of = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")]
+    rows = meta.join(named, "digest", "left").select(*rows_of)
+    members = meta.where("doc_id is not null").join(classes.select("digest", "node"), "digest").select("doc_id", "node")
+    if every_link:
+        counts = _link_counts(meta, classes, links).withColumnRenamed("digest", "d")
+        rows = meta.join(named, "digest", "left").join(counts, F.col("digest") == F.col("d"), "left").select(
+            *rows_of, F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return Linked(rows, links, members)
+
+
+def document_pairs(linked: Linked) -> DataFrame:
+    """(x, y): the linked rows of different classes by doc_id, each pair once.  Only with every_link these are all."""
+    left, right = linked.members.select(F.col("doc_id").alias("x"), F.col("node").alias("a")), linked.members.select(F.col("doc_id").alias("y"), F.col("node").alias("b"))
+    return linked.links.join(left, "a").join(right, "b").select("x", "y")

@@ -25,6 +25,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(read_table(spark, sf_dir, "documents")).rows
 
 
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(read_table(spark, sf_dir, "documents"), every_link=True).rows
+
+
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -64,7 +68,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_url_filter": op4_url_filter,
+    "op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op3_jaccard_links": op3_jaccard_links, "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets,
     "op8_licenses": op8_licenses, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup,
 }
@@ -124,3 +128,8 @@ WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 SELECT doc_id, line_no, m IS NULL AS kept, m[1] AS match_doc_id, m[2] AS match_line_no,
        CASE WHEN m IS NOT NULL THEN near::INTEGER END AS edits FROM f""",
 }
+# the same links, and their number for each row
+ORACLE_SQL["op3_jaccard_links"] = ORACLE_SQL["op3_jaccard"].replace(
+    "SELECT w.doc_id, coalesce", ", m AS (SELECT x, count(*) AS n_links FROM e GROUP BY 1)\nSELECT w.doc_id, coalesce").replace(
+    "AS component_id\n", "AS component_id, coalesce(any_value(n_links), 0) AS n_links\n").replace(
+    "LEFT JOIN r USING (doc_id)", "LEFT JOIN r USING (doc_id) LEFT JOIN m ON m.x = w.doc_id")

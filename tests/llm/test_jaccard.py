@@ -88,3 +88,36 @@ def test_components_of_a_long_path_and_a_hub(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(61)} | {100: 100} | {200 + i: 100 for i in range(300)} | {900: 900, 901: 900}
     assert got == want
+
+
+def brute_links(rows, percent=75):
+    sets = [(i, shingles(t)) for i, t in rows]
+    return [(x, y) for x in range(len(sets)) for y in range(x) if sets[x][1] and sets[y][1] and None not in (sets[x][0], sets[y][0])
+            and 100 * len(sets[x][1] & sets[y][1]) >= percent * len(sets[x][1] | sets[y][1])]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_every_link_equals_brute_force(spark, seed):
+    rows = corpus(seed)
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(120)]
+    rows += [(1000 + i, " ".join(base[:i] + ["changed"] + base[i + 1:])) for i in range(0, 120, 4)]  # all near one another
+    rows += [(2000, rows[-1][1]), (2001, rows[-1][1].upper()), (None, rows[-1][1])]
+    want = brute_links(rows)
+    linked = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), every_link=True)
+    count = {}
+    for x, y in want:
+        for z in (x, y):
+            count[rows[z][0]] = count.get(rows[z][0], 0) + 1
+    assert {r.doc_id: r.n_links for r in linked.rows.collect()} == {i: count.get(i, 0) for i, _ in rows}
+    different = sorted(tuple(sorted((rows[x][0], rows[y][0]))) for x, y in want if shingles(rows[x][1]) != shingles(rows[y][1]))
+    assert sorted(tuple(sorted(p)) for p in jaccard.document_pairs(linked).collect()) == different
+    assert sorted((tuple(r)[:3] for r in linked.rows.collect()), key=repr) == brute(rows)
+
+
+def test_every_link_of_repeated_rows_and_an_empty_table(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (None, text), (2, text + " end"), (7, "other words entirely here now")]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), every_link=True).rows.collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=repr) == [(1, 2), (1, 2), (2, 2), (7, 0), (None, 0)]
+    assert jaccard.jaccard_join(spark.createDataFrame([], "doc_id long, text string"), every_link=True).rows.count() == 0
