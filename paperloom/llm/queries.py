@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, decontaminate, exact_dedup, jaccard, license_scan, line_dedup, pii, quality, secrets_scan, url_filter
+from paperloom.llm import (bpe, collocations, decontaminate, digests, exact_dedup, jaccard, license_scan, line_dedup, pii, prefix_trie, quality, secrets_scan,
+                           url_filter)
 from paperloom.sources.tables import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,10 +68,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_verdicts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.compare_neighbours(read_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.opened_trie(read_table(spark, sf_dir, "conversations")).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op3_jaccard_links": op3_jaccard_links, "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets,
     "op8_licenses": op8_licenses, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup,
+    "op11_collocations": op11_collocations, "op12_fingerprints": op12_fingerprints, "op13_prefix_trie": op13_prefix_trie,
 }
 
 
@@ -128,6 +143,49 @@ WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 SELECT doc_id, line_no, m IS NULL AS kept, m[1] AS match_doc_id, m[2] AS match_line_no,
        CASE WHEN m IS NOT NULL THEN near::INTEGER END AS edits FROM f""",
 }
+ORACLE_SQL["op11_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+     f1 AS MATERIALIZED (SELECT lang, x, count(*) AS c FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY 1, 2),
+     t AS (SELECT lang, sum(c)::BIGINT AS n FROM f1 GROUP BY 1),
+     f2 AS MATERIALIZED (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS c FROM w, range(1, len(w)) r(i) GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+     f3 AS MATERIALIZED (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS c FROM w, range(1, len(w) - 1) r(i) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+     h AS (SELECT lang, x, y, max(c) AS c FROM (SELECT lang, x, y, c FROM f3 UNION ALL SELECT lang, y, z, c FROM f3) GROUP BY 1, 2, 3),
+     c AS (SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, 1 AS k, f2.c AS a, l.c AS l, r.c AS r
+           FROM f2 JOIN f1 l ON l.lang = f2.lang AND l.x = f2.x JOIN f1 r ON r.lang = f2.lang AND r.x = f2.y
+           LEFT JOIN h ON h.lang = f2.lang AND h.x = f2.x AND h.y = f2.y WHERE h.c IS NULL OR 100 * h.c < 50 * f2.c
+           UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, 1, f3.c, l.c, r.c
+           FROM f3 JOIN f1 l ON l.lang = f3.lang AND l.x = f3.x JOIN f2 r ON r.lang = f3.lang AND r.x = f3.y AND r.y = f3.z
+           UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, 2, f3.c, l.c, r.c
+           FROM f3 JOIN f2 l ON l.lang = f3.lang AND l.x = f3.x AND l.y = f3.y JOIN f1 r ON r.lang = f3.lang AND r.x = f3.z),
+     s AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM c),
+     m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+     o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000"""
+ORACLE_SQL["op13_prefix_trie"] = r"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+     n AS (SELECT conv_id, conv_id - conv_id % 20 AS lender, count(*) AS n,
+                  xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                        lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                      lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, (crc & 1) * 3988292384) END), 4294967295::BIGINT) % 4 AS h
+           FROM o GROUP BY conv_id),
+     g AS (SELECT n.conv_id, n.lender, n.h, least(n.h, coalesce(b.n, 0)) AS lent FROM n LEFT JOIN n b ON b.conv_id = n.lender),
+     r AS (SELECT g.conv_id, o.pos - g.h + g.lent AS pos, role, text FROM g JOIN o USING (conv_id) WHERE o.pos >= g.h
+           UNION ALL SELECT g.conv_id, o.pos, role, text FROM g JOIN o ON o.conv_id = g.lender WHERE o.pos < g.lent),
+     x AS MATERIALIZED (SELECT conv_id, pos + 1 AS depth, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY pos) AS path,
+                  len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+                  pos + 1 = count(*) OVER (PARTITION BY conv_id) AS ends FROM r
+           UNION ALL SELECT conv_id, 0, [], 0, conv_id NOT IN (SELECT conv_id FROM r) FROM n),
+     d AS MATERIALIZED (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                  string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends) AS ids FROM x GROUP BY path, depth),
+     k AS (SELECT path[:-2] AS path, depth - 1 AS depth, count(*) AS n_children FROM d WHERE depth > 0 GROUP BY 1, 2),
+     e AS MATERIALIZED (SELECT d.*, coalesce(n_children, 0) AS n_children FROM d LEFT JOIN k USING (path, depth)),
+     s AS (SELECT x.path, x.depth, count(*) FILTER (WHERE e.n_children = 0) AS n_leaves, sum((e.n_convs - 1) * e.words)::BIGINT AS saved_tokens
+           FROM e JOIN x ON x.conv_id = e.conv_id AND x.depth <= e.depth GROUP BY 1, 2)
+SELECT e.conv_id, e.depth, u.conv_id AS parent_conv_id, e.n_convs, e.n_children, n_leaves, saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM e JOIN s USING (path, depth) LEFT JOIN e u ON u.depth = e.depth - 1 AND u.path = e.path[:-2]"""
 # the same links, and their number for each row
 ORACLE_SQL["op3_jaccard_links"] = ORACLE_SQL["op3_jaccard"].replace(
     "SELECT w.doc_id, coalesce", ", m AS (SELECT x, count(*) AS n_links FROM e GROUP BY 1)\nSELECT w.doc_id, coalesce").replace(
