@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperloom.session import work_dir
 
@@ -25,6 +26,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, kept): a number of each row's own beside the row as one struct, so that no caller's column can clash and
+    rows that share a doc_id stay apart.  The number is the row's place in the files read: ``docs`` must be a table read
+    from files (as every stage's input is), for which it comes out alike whenever it is computed."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"))
+
+
+def unkeyed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(f"kept.`{c}`").alias(c) for c in columns])
+
+
 _SHIPPED: set[str] = set()
 
 

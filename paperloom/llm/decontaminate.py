@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm._shared import ship_package
+from paperloom.llm._shared import keyed, ship_package, unkeyed
 
 ITEM_BYTES = 8_000_000
 
@@ -133,30 +133,36 @@ def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
 def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05) -> DataFrame:
     """doc_id, item_id, edits, stop of every item that a document holds within error_rate edits a character; stop is
     the end of the best stretch in the normalised text."""
-    spark = docs.sparkSession
+    return _find(docs.select(F.col("doc_id").alias("key"), "text"), benchmark, error_rate).withColumnRenamed("key", "doc_id")
+
+
+def _find(rows: DataFrame, benchmark: DataFrame, error_rate: float) -> DataFrame:
+    """The same for rows(key, text)."""
+    spark = rows.sparkSession
     ship_package(spark)
-    docs = docs.select("doc_id", "text")
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
-    types = dict(docs.dtypes)["doc_id"]
+    types = dict(rows.dtypes)["key"]
 
     def scan(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, error_rate)
             for batch in batches:
                 found = [(i, *hit) for i, t in enumerate(batch.column("text")) for hit in matcher.find(normalise(t.as_py()))]
-                rows = pa.array([f[0] for f in found], pa.int64())
+                at = pa.array([f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").take(rows), pa.array([f[1] for f in found], pa.int64()),
+                    batch.column("key").take(at), pa.array([f[1] for f in found], pa.int64()),
                     pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32())],
-                    ["doc_id", "item_id", "edits", "stop"])
+                    ["key", "item_id", "edits", "stop"])
         return run
 
-    passes = [docs.mapInArrow(scan(spark.sparkContext.broadcast(block)), f"doc_id {types}, item_id long, edits int, stop int")
+    passes = [rows.mapInArrow(scan(spark.sparkContext.broadcast(block)), f"key {types}, item_id long, edits int, stop int")
               for block in _blocks(items)]
     return reduce(DataFrame.union, passes)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05) -> DataFrame:
-    """docs without those that hold a benchmark item; a null doc_id that holds one takes all null ones with it."""
-    leaks = find_items(docs, benchmark, error_rate).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("_leak")), "left_anti")
+    """docs without the rows that hold a benchmark item.  Every row is judged by its own text, whatever its doc_id; docs
+    must be a table read from files, as a row is known by its place in them."""
+    rows = keyed(docs)
+    leaks = _find(rows.select(F.col("row").alias("key"), "kept.text"), benchmark, error_rate).select(F.col("key").alias("row")).distinct()
+    return unkeyed(rows.join(leaks, "row", "left_anti"), docs.columns)

@@ -18,7 +18,10 @@ bound would be one per character, so the variants are narrowed down first, witho
 
 Lines end at line feeds and are compared without spaces, tabs and carriage returns at their ends.  Blank lines always
 stay.  A null text has no lines, an empty text one blank line; a null doc_id comes before all others.  Rows that share
-a doc_id share places: equal lines at one place stay or go together.  Only doc_id and text are read.
+a doc_id, null included, are told apart by a row number, which also orders them; it is the row's place in the files
+read, so ``docs`` must be a table read from files.  Repeated rows repeat the first one's lines.  Very long lines and
+texts are compared whole; an empty table gives no rows.  Other columns, whatever their names, aren't read and come back
+as they are.
 """
 
 from __future__ import annotations
@@ -26,20 +29,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm._shared import stored
+from paperloom.llm._shared import keyed, stored
 
 PIECES = 32  # of a half line
 PIECE_CHARS = 8  # at least
 
 
 def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, line_no, raw, line (trimmed)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line_no", "raw"))
+    """doc_id, row, line_no, raw, line (trimmed)."""
+    return _lines(keyed(docs), text)
+
+
+def _lines(rows: DataFrame, text: str) -> DataFrame:
+    lines = F.posexplode(F.split(F.col(f"kept.`{text}`"), "\n")).alias("line_no", "raw")
+    rows = rows.select(F.col("kept.doc_id").cast("long").alias("doc_id"), "row", lines)
     return rows.withColumn("line", F.expr("trim(BOTH ' \\t\\r' FROM raw)"))
 
 
 def _place() -> Column:
-    return F.struct("doc_id", "line_no")
+    return F.struct("doc_id", "row", "line_no")
 
 
 def _halves(chars_per_edit: int) -> Column:
@@ -76,19 +84,18 @@ if(role = 'S',
 
 def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """place of a distinct line, place and distance of the earliest line within one edit that it found before it."""
-    halves = distinct.select("doc_id", "line_no", F.explode("halves").alias("h")).select("doc_id", "line_no", "h.*")
+    halves = distinct.select("doc_id", "row", "line_no", F.explode("halves").alias("h")).select("doc_id", "row", "line_no", "h.*")
     halves = stored(_shared(halves, "k1"), "line-halves")
-    places = halves.select("doc_id", "line_no").distinct().hint("merge")  # grows with the corpus: no broadcast at any size
-    texts = lines.join(places, ["doc_id", "line_no"]).select("doc_id", "line_no", "line")
-    texts = stored(texts.dropDuplicates(["doc_id", "line_no", "line"]), "line-texts")
-    parts = halves.join(texts, ["doc_id", "line_no"]).withColumns({
+    places = halves.select("row", "line_no").distinct().hint("merge")  # grows with the corpus: no broadcast at any size
+    texts = stored(lines.join(places, ["row", "line_no"]).select("doc_id", "row", "line_no", "line"), "line-texts")
+    parts = halves.join(texts.drop("doc_id"), ["row", "line_no"]).withColumns({
         "lo": F.expr("if(half = 0, 0, base div 2)"), "hi": F.expr("if(half = 0, base div 2, base)"),
         "more": F.expr("if(role = 'S', 0, 1)")}).withColumns({
         "size": F.expr(f"greatest({PIECE_CHARS}, cast(ceil((hi - lo) / {PIECES}.0) as int))"),
         "part": F.expr("substring(line, lo + 1, hi - lo + more)")})
-    rests = parts.withColumn("pieces", F.expr(_PIECES)).select("doc_id", "line_no", "role", F.explode(F.expr(_REST)).alias("r")).select("doc_id", "line_no", "role", "r.*")
+    rests = parts.withColumn("pieces", F.expr(_PIECES)).select("doc_id", "row", "line_no", "role", F.explode(F.expr(_REST)).alias("r")).select("doc_id", "row", "line_no", "role", "r.*")
     rests = stored(_shared(rests, "k2"), "line-pieces")
-    variants = rests.select("doc_id", "line_no", F.explode(F.expr(_VARIANTS)).alias("v")).select(_place().alias("place"), "v.*")
+    variants = rests.select("doc_id", "row", "line_no", F.explode(F.expr(_VARIANTS)).alias("v")).select(_place().alias("place"), "v.*")
     variants = stored(variants, "line-variants")
     # S: the same position deleted; X: the undeleted side of an insertion; D: its deleted side
     first = variants.groupBy("k3").agg(*[F.min(F.when(F.col("kind") == k, F.col("place"))).alias(k) for k in "SXD"])
@@ -102,28 +109,29 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def line_verdicts(docs: DataFrame, text: str = "text", chars_per_edit: int = 20) -> DataFrame:
     """doc_id, line_no, kept, match_doc_id, match_line_no, edits of every line: the earlier line that it repeats, if any."""
-    lines = split_lines(docs, text)
+    return _verdicts(split_lines(docs, text), chars_per_edit).drop("row")
+
+
+def _verdicts(lines: DataFrame, chars_per_edit: int) -> DataFrame:
     full = lines.where("line <> ''").withColumns({"n": F.length("line"), "digest": F.unhex(F.md5("line"))})
     distinct = full.withColumn("halves", _halves(chars_per_edit)).groupBy("digest").agg(F.min(_place()).alias("place"), F.first("halves").alias("halves"))
-    distinct = stored(distinct.select("digest", "place.doc_id", "place.line_no", "halves"), "distinct-lines")
+    distinct = stored(distinct.select("digest", "place.doc_id", "place.row", "place.line_no", "halves"), "distinct-lines")
     near = near_lines(full, distinct.where("size(halves) > 0"))
     known = distinct.select("digest", _place().alias("first")).join(near.withColumnRenamed("place", "first"), "first", "left")
-    own = F.struct("doc_id", "line_no")
-    judged = full.select("doc_id", "line_no", "digest").join(known, "digest")
-    match = F.when(F.col("other").isNotNull(), F.col("other")).when(~own.eqNullSafe(F.col("first")), F.col("first"))
-    judged = judged.select("doc_id", "line_no", match.isNull().alias("kept"), match.alias("m"), F.when(F.col("other").isNotNull(), F.col("edits")).when(match.isNotNull(), 0).alias("edits"))
-    blank = lines.where("line = ''").select("doc_id", "line_no", F.lit(True).alias("kept"), F.lit(None).cast("struct<doc_id:bigint,line_no:int>").alias("m"), F.lit(None).cast("int").alias("edits"))
-    return judged.union(blank).select("doc_id", "line_no", "kept", F.col("m.doc_id").alias("match_doc_id"), F.col("m.line_no").alias("match_line_no"), "edits")
+    own = F.struct("row", "line_no")
+    judged = full.select("doc_id", "row", "line_no", "digest").join(known, "digest")
+    match = F.when(F.col("other").isNotNull(), F.col("other")).when(own != F.struct("first.row", "first.line_no"), F.col("first"))
+    judged = judged.select("doc_id", "row", "line_no", match.isNull().alias("kept"), match.alias("m"), F.when(F.col("other").isNotNull(), F.col("edits")).when(match.isNotNull(), 0).alias("edits"))
+    blank = lines.where("line = ''").select("doc_id", "row", "line_no", F.lit(True).alias("kept"), F.lit(None).cast("struct<doc_id:bigint,row:bigint,line_no:int>").alias("m"), F.lit(None).cast("int").alias("edits"))
+    return judged.union(blank).select("doc_id", "row", "line_no", "kept", F.col("m.doc_id").alias("match_doc_id"), F.col("m.line_no").alias("match_line_no"), "edits")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", chars_per_edit: int = 20) -> DataFrame:
     """docs with the repeated lines taken out of their texts; rows whose texts had no line to keep but blank ones go.
     A row without any line to drop is returned as it is."""
-    dropped = line_verdicts(docs, text, chars_per_edit).where("not kept").distinct()
-    drop = dropped.groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("line_no").alias("_drop"))
-    lines, column = F.split(F.col(f"`{text}`"), "\n"), F.col(f"`{text}`")
-    rest = F.expr(f"filter(split(`{text}`, '\\n'), (l, i) -> not array_contains(_drop, i))")
-    out = docs.join(drop, docs["doc_id"].eqNullSafe(F.col("_drop_id")), "left")
-    cut = F.when(F.col("_drop").isNull(), column).otherwise(F.array_join(rest, "\n"))
-    out = out.withColumn(text, cut).where("_drop is null or trim(BOTH ' \\t\\r\\n' FROM " + f"`{text}`) <> ''")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed(docs)
+    drop = _verdicts(_lines(rows, text), chars_per_edit).where("not kept").groupBy("row").agg(F.collect_set("line_no").alias("drop"))
+    rest = F.expr(f"array_join(filter(split(kept.`{text}`, '\\n'), (l, i) -> not array_contains(drop, i)), '\\n')")
+    out = rows.join(drop, "row", "left").withColumn("rest", F.when(F.col("drop").isNotNull(), rest))
+    out = out.where("drop is null or trim(BOTH ' \\t\\r\\n' FROM rest) <> ''")
+    return out.select(*[F.when(F.col("drop").isNull(), F.col(f"kept.`{c}`")).otherwise(F.col("rest")).alias(c) if c == text else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])

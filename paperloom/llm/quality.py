@@ -154,7 +154,8 @@ def _inputs(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8192) -> Machine:
-    """labels(doc_id, <label>): the rows that may be learnt from; at most max_rows of them are."""
+    """labels(doc_id, <label>): the rows that may be learnt from; at most max_rows of them are, and of several documents
+    that share a doc_id the one with the least text."""
     ship_package(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -171,6 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
                 at += n
 
     rows = _inputs(docs, "doc_id").join(F.broadcast(known), "doc_id")  # of max_rows rows at most
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "n_chars", "y")).alias("r")).select("r.*")
     table = rows.select("y", "text", "n_chars").mapInArrow(extract, "y int, ids array<int>, x array<float>").toArrow()
     ids, x = table["ids"].combine_chunks(), table["x"].combine_chunks()
     ends = np.asarray(ids.offsets)

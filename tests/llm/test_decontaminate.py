@@ -62,3 +62,15 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "text")], "doc_id long, text string"), spark.createDataFrame([(1, "text")], "item_id long, text string")
     assert D.find_items(docs.limit(0), items).count() == 0 and D.find_items(docs, items.limit(0)).count() == 0
     assert D.find_items(docs, items).count() == 1
+
+
+def test_rows_that_share_a_doc_id_are_judged_apart(spark, tmp_path):
+    item = "an item of the benchmark that is long enough to be found in texts"
+    rows = [(None, f"holds {item} indeed", 1), (None, "clean without id", 2), (None, None, 3), (4, f"{item}", 4), (4, "clean", 5), (4, "clean", 5)]
+    for name in ("_leak", "row", "kept", "key"):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, f"doc_id long, text string, {name} int").coalesce(1).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out = D.decontaminate(docs, spark.createDataFrame([(1, item), (2, None), (None, "clean")], "item_id long, text string"))
+        assert out.columns == docs.columns and sorted(r[name] for r in out.collect()) == [2, 3, 5, 5]
+    assert D.decontaminate(docs.limit(0), spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 0

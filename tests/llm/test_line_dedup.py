@@ -68,7 +68,18 @@ def test_many_neighbours_of_one_line(spark):
 def test_texts_without_their_repeated_lines(spark):
     same = "The same sentence stands in every text here."
     rows = [(1, f"{same}\nfirst text\n", "k1"), (2, f"{same}\n\nsecond text", "k2"), (3, same, "k3"), (4, None, "k4"), (5, "", "k5"), (6, f"own\n{same[:-1]}!", "k6"), (None, "null id", "k7")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, _drop string")
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df.withColumnRenamed("_drop", "kept")).collect()}
-    assert got == {1: f"{same}\nfirst text\n", 2: "\nsecond text", 4: None, 5: "", 6: "own", None: "null id"}
+    for name in ("_drop", "drop", "row", "kept", "line_no", "rest"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {name} string")
+        out = line_dedup.dedup_lines(df)
+        assert out.columns == df.columns
+        got = {r.doc_id: (r.text, r[name]) for r in out.collect()}
+        assert got == {1: (f"{same}\nfirst text\n", "k1"), 2: ("\nsecond text", "k2"), 4: (None, "k4"), 5: ("", "k5"), 6: ("own", "k6"), None: ("null id", "k7")}
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_a_doc_id_are_judged_apart(spark, tmp_path):
+    """Null ids, one id for two texts, and repeated rows: each row loses its own repeated lines only."""
+    rows = [(None, "first of all\nunique one"), (None, "first of all\nunique two"), (7, "seven a\nfirst of all"), (7, "seven b\nseven a\nseven c"), (9, "twice the same row"), (9, "twice the same row")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    got = sorted(map(repr, (tuple(r) for r in line_dedup.dedup_lines(spark.read.parquet(f"{tmp_path}/t")).collect())))
+    assert got == sorted(map(repr, [(None, "first of all\nunique one"), (None, "unique two"), (7, "seven a"), (7, "seven b\nseven c"), (9, "twice the same row")]))

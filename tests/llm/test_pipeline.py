@@ -85,3 +85,11 @@ def test_nulls_repeats_and_empty_table(spark, sf_dir):
             docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         assert docs.count() <= len(data)
     assert docs.where(F.col("n_tokens") < 0).count() == 0 and quality.FEATURES > 0
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark, sf_dir, tmp_path):
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, words, 1), (5, words, 2), (5, words, 3), (3, words + " more", 4), (5, "another text under the same id as those", 5), (None, None, 6), (None, None, 7), (8, "", 8)]
+    spark.createDataFrame(rows, "doc_id long, text string, place int").coalesce(1).write.parquet(f"{tmp_path}/t")
+    out = P.near_duplicate_stage(spark, spark.read.parquet(f"{tmp_path}/t"), sf_dir)
+    assert sorted(r.place for r in out.collect()) == [4, 5, 6, 7, 8] and out.columns == ["doc_id", "text", "place"]

@@ -63,3 +63,14 @@ def test_no_labels_and_empty_table(spark):
     one = quality.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
     assert quality.score(docs, one, "doc_id").first().score > 0.99
     assert quality.score(docs.limit(0), one, "doc_id").count() == 0
+
+
+def test_documents_that_share_a_doc_id_are_learnt_from_once(spark, monkeypatch):
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, labels, **k: seen.append(len(rows)) or fit(rows, labels, **k))
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, "another"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (1, 1)], "doc_id long, quality int")
+    quality.train(docs, labels)
+    quality.train(docs, labels, max_rows=1)
+    assert seen == [3, 1]
