@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage's result is written to the shared folder and
 read back.  All but the last return the columns of documents.
+
+Rows: a stage takes a table read from files and tells its rows apart by their place in them, so rows that share a doc_id
+or have none are judged one by one.  Null and empty texts have no lines, shingles or items: they pass the filters that
+don't reject them by their score.  Repeated rows lose their lines to the first of them.  Ties go to the smaller doc_id,
+then to the row read first.  Very long texts are read whole, empty tables give empty ones, and further columns pass
+through unchanged whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import bpe, decontaminate, jaccard, line_dedup, quality
-from paperloom.llm._shared import stored
+from paperloom.llm._shared import keyed, stored, unkeyed
 from paperloom.sources.tables import read_table
 
 #: A document goes when label 1 is less likely than this.
@@ -30,10 +36,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that five-word shingles link at 75 %, the one with the smallest doc_id stays."""
-    rows = jaccard.jaccard_join(docs).rows
-    others = rows.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """Of the rows that five-word shingles link at 75 %, the one with the smallest doc_id stays, of several such rows the
+    first one read; null doc_ids come last.  Rows without words link with nothing and stay."""
+    rows = keyed(docs)
+    linked = jaccard.jaccard_join(rows.select(F.col("row").alias("doc_id"), "kept.text")).rows
+    linked = linked.select(F.col("doc_id").alias("row"), "component_id")
+    place = F.struct(F.col("kept.doc_id").isNull().alias("unnamed"), F.col("kept.doc_id").alias("doc_id"), "row")
+    named = rows.select("row", place.alias("place")).join(linked, "row")
+    stays = named.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row"))
+    return unkeyed(rows.join(stays, "row", "left_semi"), docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
