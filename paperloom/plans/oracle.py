@@ -626,9 +626,18 @@ def oracle_sql() -> dict[str, str]:
         SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 12) DESC, term) AS rank FROM w) WHERE rank <= 10""")
     out["nb_model"] = build(_LABELLED + bayes("labelled"), "SELECT label, term, round(log_prob, 6) AS log_prob FROM nb")
     out["nb_predict"] = build(_LABELLED + bayes("labelled") + nb_scores("documents"), "SELECT doc_id, label, round(p, 6) AS confidence FROM best")
-    out["hybrid_nb"] = build(base + _COLD + bayes("cold") + [("unsure", "SELECT d.doc_id, d.text FROM docs d JOIN classified c ON c.doc_id = d.doc_id WHERE c.confidence < 0.7")] + nb_scores("unsure"),
-        f"""SELECT doc_id, doc_type, round(confidence, 6) AS confidence, {band('confidence')} AS confidence_level, decided_by FROM (
-        SELECT c.doc_id, CASE WHEN round(b.p, 12) > c.confidence THEN ({_NAMES})[b.label + 1] ELSE c.doc_type END AS doc_type,
-          CASE WHEN round(b.p, 12) > c.confidence THEN b.p ELSE c.confidence END AS confidence, CASE WHEN round(b.p, 12) > c.confidence THEN 'model' ELSE 'rules' END AS decided_by
-        FROM classified c LEFT JOIN best b ON b.doc_id = c.doc_id)""")
+    ind = f"(VALUES {indicator_rows}) i(doc_type, p, s, x)"
+    out["hybrid_nb"] = build(base + _COLD + bayes("cold") + [("unsure", "SELECT d.doc_id, d.text FROM docs d JOIN classified c ON c.doc_id = d.doc_id WHERE c.confidence < 0.7")] + nb_scores("unsure") + [
+        ("heavy", "SELECT doc_id, list(term ORDER BY round(weight, 12) DESC, term) AS t FROM pw GROUP BY doc_id"),
+        ("both", f"""SELECT c.*, b.label, b.p, coalesce(round(b.p, 12) > c.confidence, false) AS use, coalesce(h.t, []) AS t, coalesce(i.p, '') AS ip, coalesce(i.s, '') AS isec, coalesce(i.x, '') AS ix
+            FROM classified c LEFT JOIN best b ON b.doc_id = c.doc_id LEFT JOIN heavy h ON h.doc_id = c.doc_id LEFT JOIN {ind} ON i.doc_type = c.doc_type""")],
+        f"""SELECT doc_id, CASE WHEN use THEN ({_NAMES})[label + 1] ELSE doc_type END AS doc_type, round(CASE WHEN use THEN p ELSE confidence END, 6) AS confidence,
+          {band('CASE WHEN use THEN p ELSE confidence END')} AS confidence_level, CASE WHEN use THEN 'model' ELSE 'rules' END AS decided_by,
+          CASE WHEN use THEN array_to_string(list_concat(t[1:3], list_filter(string_split(ip, '|')[1:2], lambda w: w <> '')), '|') ELSE ip END AS primary_indicators,
+          CASE WHEN use THEN array_to_string(t[4:6], '|') ELSE isec END AS secondary_indicators, ix AS context_matches,
+          round(CASE WHEN use THEN p ELSE keyword_score END, 6) AS keyword_score, round(CASE WHEN use THEN 0 ELSE structural_score END, 6) AS structural_score,
+          round(CASE WHEN use THEN 0 ELSE context_score END, 6) AS context_score FROM both""")
+    out["hybrid_untrained"] = build(base, f"""SELECT c.doc_id, c.doc_type, round(confidence, 6) AS confidence, confidence_level, 'rules' AS decided_by, coalesce(i.p, '') AS primary_indicators,
+        coalesce(i.s, '') AS secondary_indicators, coalesce(i.x, '') AS context_matches, round(keyword_score, 6) AS keyword_score, round(structural_score, 6) AS structural_score,
+        round(context_score, 6) AS context_score FROM classified c LEFT JOIN {ind} ON i.doc_type = c.doc_type""")
     return out

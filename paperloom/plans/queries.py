@@ -16,7 +16,7 @@ from paperloom import rules
 from paperloom.functions import scores
 from paperloom.functions.text import confidence_band, ml_preprocess, normalize_name, normalize_text
 from paperloom.operators import classify as C
-from paperloom.operators import evaluate, layout, locate, merge, ml, report, suggest, tables, totals, validate
+from paperloom.operators import evaluate, layout, locate, merge, ml, report, suggest, tables, terms, totals, validate
 from paperloom.operators import samples as S
 from paperloom.plans import process
 from paperloom.session import work_dir
@@ -454,39 +454,47 @@ def _labelled(spark, sf_dir):
 
 
 def tfidf_vocab(spark, sf_dir):
-    return ml.tfidf_vocab(_documents(spark, sf_dir, "text")).withColumn("idf", _r("idf", 6))
+    return terms.tfidf_vocab(_documents(spark, sf_dir, "text")).withColumn("idf", _r("idf", 6))
+
+
+def _space(spark, sf_dir):
+    return terms.Space.of(terms.tfidf_vocab(_documents(spark, sf_dir, "text")))
 
 
 def tfidf_weights(spark, sf_dir):
-    docs = _documents(spark, sf_dir, "text")
-    return ml.tfidf_weights(docs, ml.tfidf_vocab(docs)).withColumn("weight", _r("weight", 6))
+    return terms.tfidf_weights(_documents(spark, sf_dir, "text"), _space(spark, sf_dir)).withColumn("weight", _r("weight", 6))
 
 
 def top_terms(spark, sf_dir):
-    docs = _documents(spark, sf_dir, "text")
-    return ml.top_terms(ml.tfidf_weights(docs, ml.tfidf_vocab(docs))).withColumn("weight", _r("weight", 6))
+    return terms.top_terms(_documents(spark, sf_dir, "text"), _space(spark, sf_dir)).withColumn("weight", _r("weight", 6))
+
+
+def _bayes(train, labels):
+    return ml.nb_model(train, terms.Space.of(terms.tfidf_vocab(train)), labels)
 
 
 def nb_model(spark, sf_dir):
-    train = _labelled(spark, sf_dir)
-    model = ml.nb_model(train, ml.tfidf_vocab(train), QUALITY_LABELS)
-    return ml.nb_model_rows(model, QUALITY_LABELS).withColumn("log_prob", _r("log_prob", 6))
+    model = _bayes(_labelled(spark, sf_dir), QUALITY_LABELS)
+    return ml.nb_model_rows(spark, model).withColumn("log_prob", _r("log_prob", 6))
 
 
 def nb_predict(spark, sf_dir):
-    train = _labelled(spark, sf_dir)
-    model = ml.nb_model(train, ml.tfidf_vocab(train), QUALITY_LABELS)
-    priors = ml.class_priors(train, QUALITY_LABELS).first()["priors"]
-    out = ml.nb_predict(_documents(spark, sf_dir, "text"), model, priors, QUALITY_LABELS)
+    out = ml.nb_predict(_documents(spark, sf_dir, "text"), _bayes(_labelled(spark, sf_dir), QUALITY_LABELS))
     return out.select("doc_id", "label", _r("confidence", 6).alias("confidence"))
 
 
+def _hybrid_cols(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "doc_type", _r("confidence", 6).alias("confidence"), "confidence_level", "decided_by",
+                     *[_joined(c).alias(c) for c in ("primary_indicators", "secondary_indicators", "context_matches")],
+                     *[_r(c, 6).alias(c) for c in ("keyword_score", "structural_score", "context_score")])
+
+
+def _explained(spark, sf_dir):
+    return C.with_indicators(C.classify(corpus(spark, sf_dir, "text")))
+
+
 def hybrid_nb(spark, sf_dir):
-    train = rules.cold_start_df(spark)
-    model = ml.nb_model(train, ml.tfidf_vocab(train), COLD_LABELS)
-    priors = ml.class_priors(train, COLD_LABELS).first()["priors"]
-    out = ml.hybrid_nb(C.classify(corpus(spark, sf_dir, "text")), model, priors, COLD_LABELS)
-    return out.withColumn("confidence", _r("confidence", 6))
+    return _hybrid_cols(ml.hybrid_nb(_explained(spark, sf_dir), _bayes(rules.cold_start_df(spark), COLD_LABELS)))
 
 
 def _cold_model(spark):
@@ -494,8 +502,13 @@ def _cold_model(spark):
 
 
 def lr_predict(spark, sf_dir):
-    return _cold_model(spark).predict(corpus(spark, sf_dir, "text"), "lr").select(
-        "doc_id", "label", _r("confidence", 6).alias("confidence"))
+    out = ml.linear_predict(rules.cold_start_df(spark), corpus(spark, sf_dir, "text"), COLD_LABELS)
+    return out.select("doc_id", "label", _r("confidence", 6).alias("confidence"))
+
+
+def kernel_predict(spark, sf_dir):
+    return _cold_model(spark).predict(corpus(spark, sf_dir, "text"), "kernel").select(
+        "doc_id", "label", ml.label_name(F.col("label")).alias("doc_type"), _r("confidence", 6).alias("confidence"))
 
 
 def ensemble_predict(spark, sf_dir):
@@ -504,8 +517,12 @@ def ensemble_predict(spark, sf_dir):
 
 
 def hybrid_classify(spark, sf_dir):
-    out = _cold_model(spark).hybrid(C.classify(corpus(spark, sf_dir, "text")))
-    return out.withColumn("confidence", _r("confidence", 6))
+    return _hybrid_cols(_cold_model(spark).hybrid(_explained(spark, sf_dir)))
+
+
+def hybrid_untrained(spark, sf_dir):
+    """The hybrid choice without a model: the fallback says unknown, 0.0, and never wins."""
+    return _hybrid_cols(ml.FallbackModel(COLD_LABELS).hybrid(_explained(spark, sf_dir)))
 
 
 def retrain(spark, sf_dir):
@@ -558,6 +575,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_fields": eval_fields, "eval_metrics": eval_metrics, "eval_by_field": eval_by_field,
     "tfidf_vocab": tfidf_vocab, "tfidf_weights": tfidf_weights, "top_terms": top_terms,
     "nb_model": nb_model, "nb_predict": nb_predict, "hybrid_nb": hybrid_nb, "lr_predict": lr_predict,
-    "ensemble_predict": ensemble_predict, "hybrid_classify": hybrid_classify, "retrain": retrain,
+    "kernel_predict": kernel_predict, "ensemble_predict": ensemble_predict, "hybrid_classify": hybrid_classify,
+    "hybrid_untrained": hybrid_untrained, "retrain": retrain,
     "model_roundtrip": model_roundtrip, "classify_stream": classify_stream_q,
 }

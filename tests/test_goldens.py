@@ -8,7 +8,7 @@ from paperloom.functions import scores
 from paperloom.functions.checks import is_amount, is_date
 from paperloom.functions.text import confidence_band, ml_preprocess, normalize_name, normalize_text
 from paperloom.operators import classify as C
-from paperloom.operators import evaluate, layout, locate, ml, suggest, tables, totals, validate
+from paperloom.operators import evaluate, layout, locate, ml, suggest, tables, terms, totals, validate
 from paperloom.operators import samples as S
 from paperloom.sources import intake
 
@@ -257,21 +257,8 @@ def test_blank_request_is_none(spark):
     assert one(suggest.suggest_fields(df)).suggested == rules.TEMPLATES["invoice"][:10]
 
 
-def test_vocabulary_bound_and_model_forms_agree(spark):
-    train = rules.cold_start_df(spark)
-    labels = list(range(7))
-    vocab = ml.tfidf_vocab(train)
-    priors = ml.class_priors(train, labels).first()["priors"]
-    d = docs(spark, "The patient visit: prescription and dosage", "court filing motion", "", "total total tax")
-    a = ml.nb_predict(d, ml.nb_model(train, vocab, labels), priors, labels).orderBy("doc_id").collect()
-    model = ml.FallbackModel.fit(train, labels)
-    b = model.predict(d, "nb").orderBy("doc_id").collect()
-    assert [r.label for r in a] == [r.label for r in b]
-    for x, y in zip(a, b):
-        assert x.probs == pytest.approx(y.probs, abs=1e-9)
-    assert ml.retrain(model, train.limit(0), labels) is model
-    # a label nobody trained on is never predicted
-    part = train.filter("label < 2")
-    gap = ml.class_priors(part, [0, 5, 1]).first()["priors"]
-    none = ml.nb_predict(d, ml.nb_model(part, ml.tfidf_vocab(part), [0, 5, 1]), gap, [0, 5, 1]).collect()
+def test_no_label_without_training_rows_is_predicted(spark):
+    train = rules.cold_start_df(spark).filter("label < 2")
+    model = ml.nb_model(train, terms.Space.of(terms.tfidf_vocab(train)), [0, 5, 1])
+    none = ml.nb_predict(docs(spark, "The patient visit", "", "total total tax"), model).collect()
     assert all(r.label in (0, 1) and r.probs[1] == 0.0 for r in none)

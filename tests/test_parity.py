@@ -27,7 +27,7 @@ def rows(names, data):
 
 def test_all_sql_keys_are_queries():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"lr_predict", "ensemble_predict", "hybrid_classify", "retrain", "model_roundtrip"}
+    assert set(QUERIES) - set(ORACLE) == {"lr_predict", "kernel_predict", "ensemble_predict", "hybrid_classify", "retrain", "model_roundtrip"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

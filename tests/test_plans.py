@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from paperloom import rules
 from paperloom.operators import classify as C
-from paperloom.operators import ml
 from paperloom.plans import process
 from paperloom.plans.queries import QUERIES
 from paperloom.sources import intake, sinks
@@ -86,16 +85,3 @@ def test_stream_equals_batch(spark, tmp_path):
     a = spark.read.parquet(str(tmp_path / "out")).orderBy("doc_id").collect()
     b = C.classify(docs).drop("text").orderBy("doc_id").collect()
     assert [tuple(x) for x in a] == [tuple(x) for x in b]
-
-
-def test_model_survives_saving_and_hybrid_threshold(spark, tmp_path):
-    model = ml.FallbackModel.fit(rules.cold_start_df(spark), list(range(7)))
-    model.save(spark, str(tmp_path / "m"))
-    loaded = ml.FallbackModel.load(spark, str(tmp_path / "m"))
-    docs = spark.createDataFrame([(0, "RECEIPT\nTotal: $5.00\nThank you"), (1, "plaintiff and attorney")], "doc_id long, text string")
-    a, b = (m.predict(docs).orderBy("doc_id").collect() for m in (model, loaded))
-    assert a == b
-    rows = loaded.hybrid(C.classify(docs)).orderBy("doc_id").collect()
-    assert rows[0].decided_by == "rules" and rows[0].doc_type == "receipt"
-    never = loaded.hybrid(C.classify(docs), threshold=0.0).collect()
-    assert all(r.decided_by == "rules" for r in never)
