@@ -5,6 +5,8 @@ token that starts at each byte; tokens are then laid end to end, and a token may
 compatible, i.e. if merging the two tokens' bytes by the merge list would give this very pair.  An incompatible token
 falls back to its next shorter prefix token; where none is left, the walk steps back and marks the position as dead.
 Each position dies at most once, so the walk is linear in the piece, and the result equals the merges exactly.
+Pieces that are not known yet are encoded together: one run of the automaton over all of them, then one step of the walk
+for all at once.
 Decoding gathers byte ranges of one vocabulary blob by an offset table.
 
 Rows: a null text counts as empty and gives an empty id list; an empty text likewise.  Null id lists decode to the
@@ -19,6 +21,7 @@ import json
 import re
 import unicodedata
 from array import array
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -34,7 +37,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
 LATIN_PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
 #: Bounds of the per-process memos; a full memo starts anew.
-MEMO_PIECES, MEMO_PAIRS, MEMO_LEN = 250_000, 400_000, 64
+MEMO_PIECES, MEMO_PAIRS, MEMO_LEN = 600_000, 400_000, 64
+#: Characters of texts that are split at once, and of unknown pieces that are encoded at once.
+SPLIT_CHARS, BULK_CHARS = 2_000_000, 1_000_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -95,10 +100,15 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         for t, i in self.ids.items():
             self.shorter[i] = next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), -1)
-            self.automaton.add_word(t.decode("latin-1"), i)
+            if len(t) > 1:  # what is longer than a byte
+                self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.byte_ids = [self.ids.get(bytes([b]), -1) for b in range(256)] + [-1]  # and for the mark between pieces
+        self.byte_id = np.array(self.byte_ids, np.int64)
         self.by_bytes = {t.decode("latin-1"): i for t, i in self.ids.items()}
         self.length = [len(t) for t in self.tokens]
+        self.pair_keys, self.pair_ok = np.full(1, -1, np.int64), np.ones(1, bool)
+        self.lengths, self.shorter_of = np.array(self.length, np.int64), np.array(self.shorter, np.int64)
         plain = PIECES.format(L=r"\p{L}", N=r"\p{N}", l=r"\p{L}", n=r"\p{N}")
         self.pieces = regex.compile(plain).findall
         newer = f"[{regex.escape(tables['newer'])}]" if tables["newer"] else ""
@@ -144,7 +154,7 @@ class Codec:
         if whole is not None:
             return [whole]
         n = len(s)
-        longest = [-1] * (n + 1)
+        longest = [*map(self.byte_ids.__getitem__, s.encode("latin-1")), -1]
         size, length, shorter, judged = self.size, self.length, self.shorter, self.compatible.get
         for end, token in self.automaton.iter(s):
             longest[end + 1 - length[token]] = token  # later ends come later: the longest stays
@@ -170,6 +180,85 @@ class Codec:
                 last = out[-1] if out else -1
         return out
 
+    def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of many pairs, each new one judged once; a = -1 stands for the start of a piece."""
+        keys = a * self.size + b
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        known = (self.pair_keys[at] == keys) | (a < 0)
+        if not known.all():
+            new = np.unique(keys[~known])
+            ok = np.array([self.fits(*divmod(k, self.size)) for k in new.tolist()], bool)
+            if len(self.pair_keys) > MEMO_PAIRS:
+                self.pair_keys, self.pair_ok = self.pair_keys[:1], self.pair_ok[:1]
+            every = np.concatenate([self.pair_keys, new])
+            order = np.argsort(every, kind="stable")
+            self.pair_keys, self.pair_ok = every[order], np.concatenate([self.pair_ok, ok])[order]
+            if len(new) < len(keys):  # some were known before, and may have been dropped
+                return self._compatible(a, b)
+            at = np.searchsorted(self.pair_keys, keys)
+        return self.pair_ok[np.minimum(at, len(self.pair_keys) - 1)] | (a < 0)
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of non-empty pieces: `encode_piece` for all of them, a step of every walk at a time."""
+        raw = [p if p.isascii() else p.encode("utf-8").decode("latin-1") for p in pieces]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        joined = "\u0100".join(raw)  # no token holds it
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
+        token = found[:, 1]
+        longest = np.append(self.byte_id[np.frombuffer(joined.encode("utf-16-le"), np.uint16)], -1)
+        longest[found[:, 0] + 1 - self.lengths[token]] = token  # later ends come later: the longest stays
+        ends = np.cumsum(sizes + 1) - 1
+        came = np.full(len(joined) + 1, -1, np.int64)  # the token of the walk that ends at a position
+        alive = np.ones(len(joined) + 1, bool)
+        pos, stop = ends - sizes, ends
+        token = longest[pos]
+        while len(pos):
+            to = pos + self.lengths[token]
+            fits = alive[to]
+            fits[fits] = self._compatible(came[pos[fits]], token[fits])
+            came[to[fits]] = token[fits]
+            pos, token = np.where(fits, to, pos), np.where(fits, longest[to], self.shorter_of[token])
+            open_ = pos < stop
+            pos, token, stop = pos[open_], token[open_], stop[open_]
+            while (stuck := np.flatnonzero(token < 0)).size:  # step back, and never come here again
+                alive[pos[stuck]] = False
+                undone = came[pos[stuck]]
+                pos[stuck] -= self.lengths[undone]
+                token[stuck] = self.shorter_of[undone]
+        owners, ids, left, pos = [], [], np.arange(len(raw)), ends.copy()
+        while len(left):
+            token = came[pos]
+            owners.append(left)
+            ids.append(token)
+            pos = pos - self.lengths[token]
+            more = pos > (ends - sizes)[left]
+            left, pos = left[more], pos[more]
+        owner, flat = np.concatenate(owners)[::-1], np.concatenate(ids)[::-1]  # last tokens came first
+        order = np.argsort(owner, kind="stable")
+        packed = flat[order].astype(np.int32).tobytes()
+        at = (np.searchsorted(owner[order], np.arange(len(raw) + 1)) * 4).tolist()
+        return [packed[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the pieces of some texts at a time are looked up together."""
+        out, row = [], 0
+        while row < len(texts):
+            stop, chars = row, 0
+            while stop < len(texts) and (stop == row or chars + len(texts[stop]) <= SPLIT_CHARS):
+                chars += len(texts[stop])
+                stop += 1
+            plain = [not (self.special and any(s in t for s in self.special)) for t in texts[row:stop]]
+            split = [self._cut(t)(t) if p else [] for t, p in zip(texts[row:stop], plain, strict=True)]
+            known = [list(map(self.memo.get, s)) for s in split]
+            gaps = [[n for n, packed in enumerate(k) if packed is None] for k in known]
+            self.memo.learn({s[n] for s, g in zip(split, gaps, strict=True) for n in g})
+            for s, k, g in zip(split, known, gaps, strict=True):
+                for n in g:
+                    k[n] = self.memo[s[n]]
+            out += [np.frombuffer(b"".join(k), np.int32) if p else self.encode(t) for t, k, p in zip(texts[row:stop], known, plain, strict=True)]
+            row = stop
+        return out
+
     def encode(self, text: str) -> np.ndarray:
         memo = self.memo.__getitem__
         if self.special and any(s in text for s in self.special):
@@ -201,19 +290,29 @@ class Codec:
 
 
 class _Memo(dict):
-    """Piece -> packed ids; bounded.  A full memo starts anew and takes over what is still asked for."""
+    """Piece -> packed ids; bounded."""
 
     def __init__(self, codec: Codec):
-        self.codec, self.older = codec, {}
+        self.codec = codec
+
+    def learn(self, pieces: set[str]) -> None:
+        """Takes in those of the pieces that are short; a full memo is emptied first."""
+        if len(self) >= MEMO_PIECES:
+            self.clear()
+        new, chars = [], 0
+        for piece in pieces:
+            if len(piece) <= MEMO_LEN:
+                new.append(piece)
+                chars += len(piece)
+                if chars >= BULK_CHARS:
+                    self.update(zip(new, self.codec.encode_pieces(new), strict=True))
+                    new, chars = [], 0
+        if new:
+            self.update(zip(new, self.codec.encode_pieces(new), strict=True))
 
     def __missing__(self, piece: str) -> bytes:
-        packed = self.older.get(piece)
-        if packed is None:
-            packed = array("i", self.codec.encode_piece(piece)).tobytes()
-        if len(piece) <= MEMO_LEN:
-            if len(self) >= MEMO_PIECES:
-                self.older = dict(self)
-                self.clear()
+        packed = array("i", self.codec.encode_piece(piece)).tobytes()
+        if len(piece) <= MEMO_LEN and len(self) < 2 * MEMO_PIECES:
             self[piece] = packed
         return packed
 
@@ -239,7 +338,7 @@ class Tokenizer:
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
             coder = codec()
-            rows = [coder.encode(t.as_py() or "") for t in texts]
+            rows = coder.encode_texts([t or "" for t in texts.to_pylist()])
             ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
 
