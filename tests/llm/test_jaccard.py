@@ -121,3 +121,23 @@ def test_every_link_of_repeated_rows_and_an_empty_table(spark):
     got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), every_link=True).rows.collect()
     assert sorted(((r.doc_id, r.n_links) for r in got), key=repr) == [(1, 2), (1, 2), (2, 2), (7, 0), (None, 0)]
     assert jaccard.jaccard_join(spark.createDataFrame([], "doc_id long, text string"), every_link=True).rows.count() == 0
+
+
+def test_texts_just_below_the_threshold_give_no_rows_but_candidates(spark, monkeypatch):
+    """A group whose texts share most shingles, none linked to most others: each pair is met at most once, and only if
+    no bound rules it out."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(150)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for at in range(rng.randrange(21), 150, 21):
+            w[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(w)))
+    tables = {}
+    real = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: tables.setdefault(name, real(df, name)))
+    got = sorted((tuple(r) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).rows.collect()), key=repr)
+    assert got == brute(rows)
+    pairs = [tuple(sorted((r.a, r.b))) for r in tables["cross-pairs"].collect()]
+    assert len(pairs) == len(set(pairs)) and len(pairs) < 260 * 259 / 2 / 20
