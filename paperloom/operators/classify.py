@@ -156,26 +156,48 @@ def with_indicators(classified: DataFrame) -> DataFrame:
         "context_matches": lookup(2)})
 
 
-def keyword_scores_by_rules(docs: DataFrame, rule_table: DataFrame) -> DataFrame:
-    """Keyword layer for rules that live in a table of any size.
+GRAM = 4  # characters of an index gram; shorter keywords are grams themselves
+
+
+def _grams(text: Column, length: int) -> Column:
+    """All substrings of a length: empty matches whose lookahead captures it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
+
+
+def keyword_hits(docs: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(doc_id, keyword) for each of the distinct, non-empty `keywords(keyword)` that a normalised text contains.
 
-    A keyword can only occur where its first two characters occur, so documents
-    and keywords meet in an equi-join on that pair of characters and only those
-    candidates are tested.  Only (document, pair) rows meet the rules, in a join
-    left to Spark; the text joins the candidates afterwards.  Returns doc_id,
-    doc_type, score.
+    A keyword occurs only where all its grams occur, so it is looked up by one of them: the one that the fewest
+    documents have.  Documents are cut into grams once, and only grams of the index leave them.  A document's candidate
+    keywords then meet its text in one row, where they are tested; the text is not copied for each of them.  Grams that
+    no document has settle their keywords at once.
     """
+    known = keywords.filter(F.col("keyword") != "").select("keyword").distinct()
+    size = F.least(F.length("keyword"), F.lit(GRAM))
+    lengths = sorted(r[0] for r in known.select(size.alias("n")).distinct().collect())  # GRAM numbers at most
+    if not lengths:
+        return docs.select("doc_id", F.lit("").alias("keyword")).limit(0)
+    own = F.coalesce(*[F.when(size == n, _grams(F.col("keyword"), n)) for n in lengths])
+    keyed = known.select("keyword", F.explode(F.array_distinct(own)).alias("gram"))
+    norm = with_normalized(docs).select("doc_id", "norm")
+    every = F.explode(F.array_distinct(F.concat(*[_grams(F.col("norm"), n) for n in lengths]))).alias("gram")
+    emitted = norm.select("doc_id", every)
+    used = emitted.join(keyed.select("gram").distinct(), "gram", "left_semi")
+    seen = used.groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"))
+    rarest = keyed.join(seen, "gram", "left").groupBy("keyword").agg(
+        F.min(F.struct(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "gram")).alias("r"))
+    index = rarest.filter(F.col("r.n_docs") > 0).select("keyword", "r.gram")
+    candidates = emitted.join(index, "gram").groupBy("doc_id").agg(F.collect_list("keyword").alias("keywords"))
+    tested = norm.join(candidates, "doc_id").select("doc_id", F.explode(F.filter("keywords", lambda k: F.contains("norm", k))).alias("keyword"))
+    return tested
+
+
+def keyword_scores_by_rules(docs: DataFrame, rule_table: DataFrame) -> DataFrame:
+    """Keyword layer for rules that live in a table of any size.  Returns doc_id, doc_type, score."""
     kw = rule_table.select(
         "doc_type", "pattern_id", "weight", "position", F.size("keywords").alias("n_keywords"),
-        F.posexplode("keywords").alias("kw_no", "keyword")).withColumn(
-        "keyword", F.lower("keyword")).withColumn("gram", F.substring("keyword", 1, 2))
-    norm = with_normalized(docs).select("doc_id", "norm")
-    # one pass of empty matches with a lookahead group gives every pair
-    pairs = F.regexp_extract_all("norm", F.lit("(?s)(?=(.{1,2}))"), F.lit(1))
-    singles = F.regexp_extract_all("norm", F.lit("(?s)(.)"), F.lit(1))
-    gram = F.explode(F.array_distinct(F.concat(pairs, singles))).alias("gram")
-    candidates = norm.select("doc_id", gram).join(kw, "gram").join(norm, "doc_id")
-    hits = (candidates.filter(F.col("norm").contains(F.col("keyword")))
+        F.explode("keywords").alias("keyword")).withColumn("keyword", F.lower("keyword"))
+    hits = (keyword_hits(docs, kw).join(kw, "keyword")
             .groupBy("doc_id", "doc_type", "pattern_id", "weight", "position", "n_keywords")
             .agg(F.count(F.lit(1)).alias("hits")))
     part = F.col("weight") * (F.col("hits").cast("double") / F.col("n_keywords").cast("double"))

@@ -15,6 +15,7 @@ from paperloom.functions.text import element_type, strip
 LINE_HEIGHT, CHAR_WIDTH, TEXT_HEIGHT = 25, 8, 20
 IMAGE_CONFIDENCE, PDF_CONFIDENCE = 0.9, 0.95
 GRID = 20
+ELEMENT_TYPES = ("header", "financial", "currency", "date", "text")
 
 
 def lines_array(text: Column) -> Column:
@@ -50,6 +51,17 @@ def element_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "element_type").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def count_elements(docs: DataFrame) -> DataFrame:
+    """`element_counts` of `docs(doc_id, text)`, counted in the row."""
+    kinds = docs.select("doc_id", F.transform(typed_lines(F.col("text")), lambda s: s["element_type"]).alias("kinds"))
+
+    def count(kind: str) -> Column:
+        return F.struct(F.lit(kind).alias("element_type"), F.size(F.filter("kinds", lambda x: x == kind)).cast("long").alias("n_lines"))
+
+    counts = F.array(*map(count, ELEMENT_TYPES))
+    return kinds.select("doc_id", F.explode(F.filter(counts, lambda c: c["n_lines"] > 0)).alias("c")).select("doc_id", "c.element_type", "c.n_lines")
+
+
 def layout_points(lines: DataFrame) -> DataFrame:
     """Centre point, short label and marker size of every line."""
     label = F.when(F.length("text") > 30, F.concat(F.substring("text", 1, 30), F.lit("..."))).otherwise(F.col("text"))
@@ -90,16 +102,19 @@ def line_fields(docs: DataFrame) -> DataFrame:
     """Document Date, Amount and Document Title from the last fitting line of a
     document; the last pass is an in-row filter."""
     lines = docs.select("doc_id", typed_lines(F.col("text")).alias("lines"))
+    return lines.select("doc_id", F.explode(line_pairs("lines")).alias("p")).select(
+        "doc_id", "p.name", "p.value").filter(F.col("value").isNotNull())
+
 
+def line_pairs(lines: str) -> Column:
+    """The same as an array of (name, value) made of a column of typed lines; NULL values for what is missing."""
     def last(kind: str, extra=None) -> Column:
-        keep = F.filter("lines", lambda s: (s["element_type"] == kind) if extra is None
+        keep = F.filter(lines, lambda s: (s["element_type"] == kind) if extra is None
                         else (s["element_type"] == kind) & extra(s))
         return F.try_element_at(keep, F.lit(-1))["text"]
 
-    pairs = F.array(
+    return F.array(
         F.struct(F.lit("Document Date").alias("name"), last("date").alias("value")),
         F.struct(F.lit("Amount").alias("name"), last("currency").alias("value")),
         F.struct(F.lit("Document Title").alias("name"),
                  last("header", lambda s: F.length(s["text"]) > 5).alias("value")))
-    return lines.select("doc_id", F.explode(pairs).alias("p")).select(
-        "doc_id", "p.name", "p.value").filter(F.col("value").isNotNull())

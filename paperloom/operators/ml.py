@@ -161,19 +161,21 @@ class FallbackModel:
         prepared = with_terms(docs, ml_preprocess(F.col("text")), ["doc_id"])
         return best_label(self.probabilities(prepared, ["doc_id"], which), self.labels, ("doc_id",))
 
-    def hybrid(self, classified: DataFrame, threshold: float | None = None, which: str = "ensemble") -> DataFrame:
+    def hybrid(self, classified: DataFrame, threshold: float | None = None, which: str = "ensemble", carry: tuple[str, ...] = ()) -> DataFrame:
         """Rule result of `classify` and `with_indicators`, replaced by the model's where rules are unsure and the model
-        is surer; see `choose`.  Sure documents get an empty term list, so one pass without split or join serves both."""
+        is surer; see `choose`.  Sure documents get an empty term list, so one pass without split or join serves both.
+        `carry` names further columns that come along."""
         unsure = F.col("confidence") < (self.threshold if threshold is None else threshold)
-        keep = ["doc_id", "unsure", "rule"]
-        rows = classified.select("doc_id", "text", unsure.alias("unsure"), F.struct(*RULE_COLUMNS).alias("rule"))
+        keep = ["doc_id", "unsure", "rule", "carried"]
+        carried = F.struct(F.lit(0).alias("none"), *carry).alias("carried")
+        rows = classified.select("doc_id", "text", unsure.alias("unsure"), F.struct(*RULE_COLUMNS).alias("rule"), carried)
         if not self.is_trained:
             none = F.lit(None).cast("int").alias("label"), F.lit(0.0).alias("confidence"), F.array().cast("array<string>").alias("top")
-            return choose(rows.select(*keep, *none))
+            return choose(rows.select(*keep, *none), carry)
         prepared = with_terms(rows, F.when(F.col("unsure"), ml_preprocess(F.col("text"))).otherwise(""), keep)
         scored = self.probabilities(prepared, keep, which, F.col("unsure"))
         top = F.transform(self.bayes.space.top(EXPLAIN), lambda t: t["term"])
-        return choose(best_label(scored.withColumn("top", top), self.labels, (*keep, "top")))
+        return choose(best_label(scored.withColumn("top", top), self.labels, (*keep, "top")), carry)
 
     def info(self, version: str | None = None) -> dict:
         """What the model is, for a catalogue of models."""
@@ -221,7 +223,7 @@ def kernel_width(data: DataFrame, n_terms: int) -> float:
 RULE_COLUMNS = ["doc_type", "confidence", "keyword_score", "structural_score", "context_score", "primary_indicators", "secondary_indicators", "context_matches"]
 
 
-def choose(ml: DataFrame) -> DataFrame:
+def choose(ml: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rule or model result: the model wins where rules were unsure and it is strictly surer.
 
     The model explains itself with its heaviest terms, three in front of two indicators of the rules and three behind,
@@ -229,7 +231,7 @@ def choose(ml: DataFrame) -> DataFrame:
     use = F.col("unsure") & F.coalesce(F.round("confidence", 12) > F.round("rule.confidence", 12), F.lit(False))
     conf = F.when(use, F.col("confidence")).otherwise(F.col("rule.confidence"))
     return ml.select(
-        "doc_id", F.when(use, label_name(F.col("label"))).otherwise(F.col("rule.doc_type")).alias("doc_type"),
+        "doc_id", *[f"carried.{c}" for c in carry], F.when(use, label_name(F.col("label"))).otherwise(F.col("rule.doc_type")).alias("doc_type"),
         conf.alias("confidence"), confidence_band(conf).alias("confidence_level"),
         F.when(use, "model").otherwise("rules").alias("decided_by"),
         F.when(use, F.concat(F.slice("top", 1, 3), F.slice("rule.primary_indicators", 1, 2))).otherwise(F.col("rule.primary_indicators")).alias("primary_indicators"),
@@ -240,9 +242,9 @@ def choose(ml: DataFrame) -> DataFrame:
         F.when(use, 0.0).otherwise(F.col("rule.context_score")).alias("context_score"))
 
 
-def hybrid_nb(classified: DataFrame, model: Bayes, threshold: float = rules.ML_THRESHOLD) -> DataFrame:
+def hybrid_nb(classified: DataFrame, model: Bayes, threshold: float = rules.ML_THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """Hybrid choice with Naive Bayes alone as the fallback."""
-    return FallbackModel(model.labels, model, None, threshold).hybrid(classified, which="nb")
+    return FallbackModel(model.labels, model, None, threshold).hybrid(classified, which="nb", carry=carry)
 
 
 def retrain(current: FallbackModel | None, rows: DataFrame, labels: list[int]) -> FallbackModel | None:

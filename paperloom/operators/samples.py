@@ -117,6 +117,28 @@ def vote_doc_type(samples: DataFrame) -> DataFrame:
                        F.coalesce("b.n", F.lit(0)).alias("votes"))
 
 
+def type_votes(samples: DataFrame) -> DataFrame:
+    """Per document the types that its valid samples name, with how many and the first of them, and n_samples.  A type of
+    NULL stands for samples that name none; `voted_type` gives them the document's own."""
+    counts = samples.groupBy("doc_id", "doc_type").agg(
+        F.sum(F.col("valid").cast("int")).alias("n"), F.min(F.when(F.col("valid"), F.col("sample_no"))).alias("first"))
+    return counts.groupBy("doc_id").agg(
+        F.collect_list(F.when(F.col("n") > 0, F.struct("doc_type", "n", "first"))).alias("votes"), F.sum("n").alias("n_samples"))
+
+
+def voted_type(votes: Column, hint: Column) -> Column:
+    """(doc_type, n) that most samples name, the first seen on a tie; `hint` counts for samples that name none.
+    `unknown` without a valid sample.  A projection over the few types of one document."""
+    named = F.transform(votes, lambda v: F.struct(F.coalesce(v["doc_type"], hint).alias("doc_type"), v["n"].alias("n"), v["first"].alias("first")))
+
+    def total(v):
+        return F.aggregate(F.filter(named, lambda o: o["doc_type"] == v["doc_type"]), F.struct(F.lit(0).cast("long").alias("n"), F.lit(2**31 - 1).alias("first")),
+                           lambda s, o: F.struct((s["n"] + o["n"]).alias("n"), F.least(s["first"], o["first"]).alias("first")))
+    ranked = F.transform(named, lambda v: F.struct(total(v)["n"].alias("n"), (-total(v)["first"]).alias("rank"), v["doc_type"].alias("doc_type")))
+    best = F.array_max(ranked)
+    return F.struct(F.coalesce(best["doc_type"], F.lit("unknown")).alias("doc_type"), F.coalesce(best["n"], F.lit(0)).alias("n"))
+
+
 def sample_confidence(samples: DataFrame) -> DataFrame:
     """Valid samples and their mean confidence per document; 0 without samples."""
     return samples.groupBy("doc_id").agg(

@@ -369,19 +369,24 @@ def located():
 
 
 def scored():
-    return classified() + located() + totals_cte("consensus") + [
+    recognised = "coalesce(d.mime = 'application/pdf' OR starts_with(d.mime, 'image/'), false)"
+    return hybrid() + located() + totals_cte("consensus") + [
         ("ns", "SELECT doc_id, sum(CASE WHEN valid THEN 1 ELSE 0 END) AS n_samples FROM valid GROUP BY doc_id"),
         ("scored", f"""SELECT *, power(least(1, CASE WHEN confidence0 = 0 THEN CAST(0.7 AS DOUBLE) ELSE confidence0 END), 0.4)
               * power(CASE WHEN line_idx IS NULL THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END, 0.3)
               * power(CASE WHEN n_samples > 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END, 0.2)
               * power(CASE WHEN valid THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END, 0.1) AS confidence
-            FROM (SELECT l.doc_id, l.norm_name, l.name, l.value, l.ord, l.line_idx, l.w, l.confidence AS confidence0, n.n_samples, {valid_expr('l.norm_name', 'l.value')} AS valid
-                  FROM located l JOIN ns n ON n.doc_id = l.doc_id)"""),
-        ("results", f"""SELECT c.doc_id, c.doc_type, c.confidence AS class_conf, {out_type('c.doc_type', 'd.text', 'd.mime IS NOT NULL')} AS output_type,
+            FROM (SELECT l.doc_id, l.norm_name, l.name, l.value, l.ord, CASE WHEN {recognised} THEN l.line_idx END AS line_idx, l.w, l.confidence AS confidence0, n.n_samples, {valid_expr('l.norm_name', 'l.value')} AS valid
+                  FROM located l JOIN ns n ON n.doc_id = l.doc_id JOIN docs d ON d.doc_id = l.doc_id)"""),
+        ("hinted", f"SELECT c.*, {out_type('c.doc_type', 'd.text', recognised)} AS output_type FROM chosen c JOIN docs d ON d.doc_id = c.doc_id"),
+        ("named", """SELECT v.doc_id, coalesce(p.doc_type, h.output_type) AS doc_type, count(*) AS n, min(v.sample_no) AS first
+            FROM valid v JOIN parsed p ON p.doc_id = v.doc_id AND p.sample_no = v.sample_no JOIN hinted h ON h.doc_id = v.doc_id WHERE v.valid GROUP BY 1, 2"""),
+        ("voted", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rn FROM named) WHERE rn = 1"),
+        ("results", f"""SELECT c.doc_id, coalesce(o.doc_type, 'unknown') AS doc_type, coalesce(o.n, 0) AS n_votes, c.doc_type AS class_type, c.decided_by, c.confidence AS class_conf, c.output_type,
             coalesce(n.n_samples, 0) AS n_samples, coalesce(s.n, 0) AS n_names, coalesce(s.n_located, 0) AS n_located,
             coalesce(s.rate, 0) AS pass_rate, CASE WHEN s.n_low > 0 THEN CAST(s.n_low AS VARCHAR) || ' low-confidence fields' END AS notes, t.totals_match,
             least(1, CAST(0.6 AS DOUBLE) * coalesce(s.mean, 0) + CAST(0.25 AS DOUBLE) * c.confidence + CAST(0.15 AS DOUBLE) * coalesce(s.rate, 0)) AS overall
-            FROM classified c JOIN docs d ON d.doc_id = c.doc_id LEFT JOIN ns n ON n.doc_id = c.doc_id LEFT JOIN tot t ON t.doc_id = c.doc_id
+            FROM hinted c LEFT JOIN voted o ON o.doc_id = c.doc_id LEFT JOIN ns n ON n.doc_id = c.doc_id LEFT JOIN tot t ON t.doc_id = c.doc_id
             LEFT JOIN (SELECT doc_id, count(*) AS n, count(line_idx) AS n_located, avg(CASE WHEN valid THEN CAST(1 AS DOUBLE) ELSE 0 END) AS rate,
                 sum(CASE WHEN confidence0 < 0.5 THEN 1 ELSE 0 END) AS n_low, avg(confidence) AS mean FROM scored GROUP BY doc_id) s ON s.doc_id = c.doc_id"""),
     ]
@@ -406,10 +411,11 @@ def outcomes():
     ]
 
 
-def rates(key, group):
-    return f"""SELECT {key}, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM (
+def rates(key, group, level=None):
+    more, own = (", level", f", {level}") if level else ("", "")
+    return f"""SELECT {key}{more}, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM (
         SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM (
-            SELECT {key}, sum(CASE WHEN outcome = 'match' THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN outcome IN ('spurious', 'mismatch') THEN 1 ELSE 0 END) AS fp,
+            SELECT {key}{own}, sum(CASE WHEN outcome = 'match' THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN outcome IN ('spurious', 'mismatch') THEN 1 ELSE 0 END) AS fp,
                 sum(CASE WHEN outcome IN ('missing', 'mismatch') THEN 1 ELSE 0 END) AS fn FROM outcomes GROUP BY {group}))"""
 
 
@@ -466,6 +472,29 @@ _COLD = [("cold", "SELECT * FROM (VALUES " + values([(i, t, rules.TYPE_ORD[k]) f
 _NAMES = "[" + ", ".join(lit(t) for t in rules.DOC_TYPES) + "]"
 
 
+_INDICATORS = values([(t, *["|".join(x) for x in rules.indicators(t)]) for t in rules.RULE_TYPES])
+
+
+def hybrid():
+    """Rule results beside those of Naive Bayes, and which of them wins."""
+    return classified() + _COLD + bayes("cold") + [("unsure", "SELECT d.doc_id, d.text FROM docs d JOIN classified c ON c.doc_id = d.doc_id WHERE c.confidence < 0.7")] + nb_scores("unsure") + [
+        ("heavy", "SELECT doc_id, list(term ORDER BY round(weight, 12) DESC, term) AS t FROM pw GROUP BY doc_id"),
+        ("sides", f"""SELECT c.*, b.label, b.p, coalesce(round(b.p, 12) > c.confidence, false) AS wins, coalesce(h.t, []) AS t, coalesce(i.p, '') AS ip, coalesce(i.s, '') AS isec, coalesce(i.x, '') AS ix
+            FROM classified c LEFT JOIN best b ON b.doc_id = c.doc_id LEFT JOIN heavy h ON h.doc_id = c.doc_id LEFT JOIN (VALUES {_INDICATORS}) i(doc_type, p, s, x) ON i.doc_type = c.doc_type"""),
+        ("chosen", f"""SELECT doc_id, CASE WHEN wins THEN ({_NAMES})[label + 1] ELSE doc_type END AS doc_type, CASE WHEN wins THEN p ELSE confidence END AS confidence,
+            CASE WHEN wins THEN 'model' ELSE 'rules' END AS decided_by FROM sides""")]
+
+
+def _sub_total(g):
+    """One grouping set of the corpus report; a document counts once where rules are summed over."""
+    kept = [c if not g & bit else None for c, bit in (("doc_type", 4), ("confidence_level", 2), ("failed_rule", 1))]
+    keys = [c for c in kept if c]
+    shown = ", ".join(c or f"CAST(NULL AS VARCHAR) AS {n}" for c, n in zip(kept, ("doc_type", "confidence_level", "failed_rule")))
+    rows = "judged" if not g & 1 else "(SELECT DISTINCT doc_id, doc_type, confidence_level, confidence FROM judged)"
+    group = f" GROUP BY {', '.join(keys)}" if keys else ""
+    return f"SELECT {g} AS grouping_id, {shown}, count(*) AS n_docs, round(avg(confidence), 9) AS mean_confidence FROM {rows}{group}"
+
+
 # ---- the queries -----------------------------------------------------------------
 
 
@@ -474,7 +503,6 @@ def oracle_sql() -> dict[str, str]:
     mb, chars = "CAST(size_bytes AS DOUBLE) / 1048576", "4 * CAST(ceil(size_bytes / 3) AS BIGINT)"
     gate = f"CASE WHEN {mb} > 2 THEN 'too_large' WHEN {chars} * 0.25 > 25000 THEN 'too_many_tokens' ELSE 'direct' END"
     text_docs = [("docs", "SELECT doc_id, text FROM documents")]
-    indicator_rows = values([(t, *["|".join(x) for x in rules.indicators(t)]) for t in rules.RULE_TYPES])
     a, b, c = (lit(x) for x in request_parts())
     bbox = "array_to_string(CAST(source->'$.bbox' AS INT[]), '|')"
     box = "CASE WHEN line_idx IS NOT NULL THEN '0|' || CAST(line_idx * 25 AS VARCHAR) || '|' || CAST(CAST(w AS INT) AS VARCHAR) || '|' || CAST(line_idx * 25 + 20 AS VARCHAR) END"
@@ -486,25 +514,29 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out["intake_route"] = build(docs("mime"), f"SELECT doc_id, mime, {route} AS route, CASE WHEN {route} = 'unsupported' THEN 'text' ELSE 'ocr' END AS method FROM docs")
     out["intake_size_gate"] = build(docs("size_bytes"), f"SELECT doc_id, size_bytes, round({mb}, 9) AS size_mb, {chars} AS base64_chars, CAST({chars} * 0.25 AS DOUBLE) AS est_tokens, {gate} AS gate FROM docs")
-    out["intake_method"] = build(docs("mime", "size_bytes", "text") + counts(), f"""
+    out["intake_method"] = build(docs("mime", "size_bytes", "readable", "rasterised", "text") + counts(), f"""
         SELECT doc_id, CASE WHEN d THEN 'direct' WHEN i THEN 'images' WHEN b THEN 'basic' ELSE 'failed' END AS method, CASE WHEN d OR i OR b THEN length(text) END AS n_chars,
           round(CAST(CASE WHEN d THEN {q_direct('text', 'n_tables')} WHEN i THEN {q_image('text', 'n_lines', 'n_tables')} WHEN b THEN 0.6 ELSE 0 END AS DOUBLE), 9) AS quality
-        FROM (SELECT *, doc_id % 8 <> 0 AND {route} = 'pdf' AND {gate} = 'direct' AS d,
-          doc_id % 8 <> 0 AND ({route} = 'image' OR ({route} = 'pdf' AND doc_id % 3 <> 0)) AS i, doc_id % 8 <> 0 AND {route} = 'pdf' AS b FROM counts)""")
+        FROM (SELECT *, readable AND {route} = 'pdf' AND {gate} = 'direct' AS d,
+          readable AND ({route} = 'image' OR ({route} = 'pdf' AND rasterised)) AS i, readable AND {route} = 'pdf' AS b FROM counts)""")
     out["assemble_pages"] = f"""
         SELECT doc_id, count(*) AS n_pages, string_agg(text, {lit(rules.PAGE_BREAK)} ORDER BY page) AS joined_text,
             string_agg('--- Page ' || CAST(page + 1 AS VARCHAR) || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY page)
                 FILTER (WHERE {strip('text')} <> '') AS basic_text,
             CASE WHEN count(*) FILTER (WHERE {strip('text')} <> '') > 0 THEN 'text' ELSE 'blank' END AS status
         FROM (SELECT conv_id AS doc_id, turn AS page, text FROM conversations) GROUP BY doc_id"""
-    out["batch_status"] = build(docs("mime", "size_bytes", "text"), f"""
+    out["batch_status"] = build(docs("sent_mime", "sent_size", "received", "text"), f"""
         SELECT doc_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'failed' END AS status, error FROM (
-          SELECT doc_id, CASE WHEN doc_id % 61 = 0 OR mime IS NULL THEN 'missing type' WHEN doc_id % 67 = 0 OR size_bytes IS NULL OR size_bytes < 0 THEN 'unreadable size'
-            WHEN text IS NULL THEN 'no text' WHEN {strip('text')} = '' THEN 'empty document' END AS error FROM docs)""")
-    out["template_catalog"] = build(docs("true_type"), f"""
+          SELECT doc_id, CASE WHEN sent_mime IS NULL THEN 'missing type' WHEN sent_size IS NULL OR sent_size < 0 THEN 'unreadable size'
+            WHEN NOT received THEN 'no text' WHEN {strip('text')} = '' THEN 'empty document' END AS error FROM docs)""")
+    out["batch_isolation"] = build(docs("sent_mime", "sent_size", "received", "text") + classified(), f"""
+        SELECT doc_id, CASE WHEN error IS NULL THEN 'results' ELSE 'quarantine' END AS sink, CASE WHEN error IS NULL THEN doc_type END AS doc_type, error FROM (
+          SELECT c.doc_id, c.doc_type, CASE WHEN sent_mime IS NULL THEN 'missing type' WHEN sent_size IS NULL OR sent_size < 0 THEN 'unreadable size'
+            WHEN NOT received THEN 'no text' WHEN {strip('text')} = '' THEN 'empty document' END AS error FROM docs d JOIN classified c ON c.doc_id = d.doc_id)""")
+    out["template_catalog"] = build(docs("stated_type"), f"""
         SELECT doc_id, doc_type, generate_subscripts(fields, 1) AS pos, unnest(fields) AS field FROM (
           SELECT d.doc_id, t.doc_type, t.fields FROM docs d JOIN (VALUES {_TEMPLATES}) t(doc_type, fields)
-          ON t.doc_type = CASE WHEN d.doc_id % 10 = 9 THEN 'academic' ELSE d.true_type END)""")
+          ON t.doc_type = d.stated_type)""")
     out["normalize_text"] = f"SELECT doc_id, {norm_text('text')} AS norm FROM documents"
     out["ml_preprocess"] = f"SELECT doc_id, {preprocess('text')} AS processed FROM documents"
     out["normalize_name"] = build(docs("response_1", "response_2", "response_3") + samples(), "SELECT name, norm_name, count(*) AS n FROM fields GROUP BY name, norm_name")
@@ -528,9 +560,12 @@ def oracle_sql() -> dict[str, str]:
     out["classify_documents"] = build(text_docs + classified(), _CLASSIFIED_COLS)
     out["classify_stream"] = out["classify_documents"]
     out["indicators"] = build(base, f"""SELECT c.doc_id, c.doc_type, coalesce(i.p, '') AS primary_indicators, coalesce(i.s, '') AS secondary_indicators, coalesce(i.x, '') AS context_matches
-        FROM classified c LEFT JOIN (VALUES {indicator_rows}) i(doc_type, p, s, x) ON i.doc_type = c.doc_type""")
+        FROM classified c LEFT JOIN (VALUES {_INDICATORS}) i(doc_type, p, s, x) ON i.doc_type = c.doc_type""")
     out["confidence_band"] = build(base, "SELECT confidence_level AS band, count(*) AS n_docs, round(min(confidence), 9) AS lowest, round(max(confidence), 9) AS highest FROM classified GROUP BY 1")
-    out["corpus_report"] = build(base, "SELECT doc_type, confidence_level, count(*) AS n_docs, round(avg(confidence), 9) AS mean_confidence FROM classified GROUP BY ROLLUP (doc_type, confidence_level)")
+    out["corpus_report"] = build(docs("text", "response_1", "response_2", "response_3") + classified() + samples() + [
+        ("bad", "SELECT DISTINCT doc_id, unnest(failed_rules) AS failed_rule FROM valid"),
+        ("judged", "SELECT c.doc_id, c.doc_type, c.confidence_level, c.confidence, coalesce(b.failed_rule, 'none') AS failed_rule FROM classified c LEFT JOIN bad b ON b.doc_id = c.doc_id")],
+        " UNION ALL ".join(_sub_total(g) for g in range(8)))
     sug = docs("text", "user_fields") + suggested()
     out["suggest_fields"] = build(sug, "SELECT doc_id, doc_type, array_to_string(suggested, '|') AS suggested, len(suggested) AS n_suggested FROM suggested")
     out["map_doc_type"] = build(docs("text", "mime") + classified(), f"SELECT c.doc_id, c.doc_type, {out_type('c.doc_type', 'd.text', chr(40) + 'd.mime <> ' + lit('text/csv') + chr(41))} AS output_type FROM classified c JOIN docs d ON d.doc_id = c.doc_id")
@@ -547,9 +582,9 @@ def oracle_sql() -> dict[str, str]:
     out["totals_scan"] = build(docs("text") + amounts(), "SELECT doc_id, ord, value, context FROM amounts")
     out["totals_fields"] = build(docs("text") + amounts(), _TOTALS_FIELDS)
     out["amounts_report"] = build(docs("text") + amounts(), f"SELECT doc_id, ord, context, value, {money('value')} AS label, context = 'total' AS is_total, {status} AS status FROM amounts")
-    out["order_reconcile"] = build(docs("truth_text") + truth() + [
-        ("items", """SELECT l_orderkey AS doc_id, count(*) AS n_items, sum(CASE WHEN abs(l_quantity * CASE WHEN l_orderkey % 3 = 0 THEN l_extendedprice / l_quantity ELSE p_retailprice END - l_extendedprice) >= 0.01 THEN 1 ELSE 0 END) AS n_bad,
-            CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS items_total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey"""),
+    out["order_reconcile"] = build(docs("truth_text", "price_kind") + truth() + [
+        ("items", """SELECT l_orderkey AS doc_id, count(*) AS n_items, sum(CASE WHEN abs(l_quantity * CASE WHEN price_kind = 'net' THEN l_extendedprice / l_quantity ELSE p_retailprice END - l_extendedprice) >= 0.01 THEN 1 ELSE 0 END) AS n_bad,
+            CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS items_total FROM lineitem JOIN part ON l_partkey = p_partkey JOIN docs ON docs.doc_id = l_orderkey GROUP BY l_orderkey"""),
         ("said", f"""SELECT doc_id, arg_max(v, pos) FILTER (WHERE n = 'subtotal') AS subtotal, arg_max(v, pos) FILTER (WHERE n IN ('tax', 'tax amount')) AS tax,
             arg_max(v, pos) FILTER (WHERE n = 'total amount') AS total FROM (SELECT doc_id, pos, {norm_name('name')} AS n, TRY_CAST(value AS DOUBLE) AS v FROM truth)
             WHERE n IN ('subtotal', 'tax', 'tax amount', 'total amount') GROUP BY doc_id"""),
@@ -568,15 +603,22 @@ def oracle_sql() -> dict[str, str]:
     rt = docs("tables_json") + response_tables()
     out["explode_cells"] = build(rt, "SELECT doc_id, table_idx, rows, cols, row, col, content, is_header, x, y, w, h FROM cells")
     out["rebuild_tables"] = build(rt + [
-        ("good", "SELECT * FROM cells WHERE rows > 0 AND cols > 0 AND row < rows AND col < cols"),
+        ("good", "SELECT * FROM cells WHERE rows > 0 AND cols > 0 AND row < rows AND col < cols AND CAST(rows AS BIGINT) * cols <= 1000000"),
         ("place", "SELECT doc_id, table_idx, row, col, arg_max(content, CAST(row AS BIGINT) * 2147483648 + col) AS content FROM good GROUP BY ALL"),
         ("hdr", "SELECT doc_id, table_idx, col, arg_max(content, CAST(row AS BIGINT) * 2147483648 + col) AS content FROM good WHERE is_header GROUP BY ALL"),
         ("headed", f"SELECT DISTINCT doc_id, table_idx FROM hdr WHERE {strip('content')} <> ''"),
-        ("slots", "SELECT doc_id, table_idx, rows, row, unnest(range(cols)) AS col FROM (SELECT *, unnest(range(rows)) AS row FROM rtables WHERE rows > 0 AND cols > 0)"),
+        ("slots", "SELECT doc_id, table_idx, rows, row, unnest(range(cols)) AS col FROM (SELECT *, unnest(range(rows)) AS row FROM rtables WHERE rows > 0 AND cols > 0 AND CAST(rows AS BIGINT) * cols <= 1000000)"),
         ("drows", "SELECT s.doc_id, s.table_idx, s.rows, s.row, string_agg(coalesce(p.content, ''), '|' ORDER BY s.col) AS v FROM slots s LEFT JOIN place p ON p.doc_id = s.doc_id AND p.table_idx = s.table_idx AND p.row = s.row AND p.col = s.col GROUP BY ALL")],
         """SELECT d.doc_id, d.table_idx, 'data' AS kind, d.row AS row_no, d.v AS row_values FROM drows d LEFT JOIN headed h ON h.doc_id = d.doc_id AND h.table_idx = d.table_idx WHERE d.row > 0 OR d.rows <= 1 OR h.doc_id IS NULL
         UNION ALL SELECT s.doc_id, s.table_idx, 'header', 0, string_agg(coalesce(x.content, ''), '|' ORDER BY s.col) FROM slots s JOIN headed h ON h.doc_id = s.doc_id AND h.table_idx = s.table_idx
           LEFT JOIN hdr x ON x.doc_id = s.doc_id AND x.table_idx = s.table_idx AND x.col = s.col WHERE s.row = 0 GROUP BY s.doc_id, s.table_idx""")
+    out["sparse_tables"] = build(rt + [
+        ("inside", "SELECT doc_id, table_idx, rows, cols, row, col, is_header, coalesce(content, '') AS content FROM cells WHERE rows > 0 AND cols > 0 AND row < rows AND col < cols"),
+        ("headed", f"SELECT DISTINCT doc_id, table_idx FROM inside WHERE is_header AND {strip('content')} <> ''")],
+        """SELECT i.doc_id, i.table_idx, rows, cols, h.doc_id IS NOT NULL AS headed, 'data' AS kind, row AS row_no, string_agg(col || '=' || content, '|' ORDER BY col) AS cells
+        FROM inside i LEFT JOIN headed h ON h.doc_id = i.doc_id AND h.table_idx = i.table_idx WHERE NOT (h.doc_id IS NOT NULL AND rows > 1 AND row = 0) GROUP BY ALL
+        UNION ALL SELECT i.doc_id, i.table_idx, rows, cols, true, 'header', 0, string_agg(col || '=' || content, '|' ORDER BY col)
+        FROM inside i JOIN headed h ON h.doc_id = i.doc_id AND h.table_idx = i.table_idx WHERE is_header GROUP BY ALL""")
     out["table_rects"] = build(rt, "SELECT doc_id, table_idx, x AS x0, y AS y0, x + w AS x1, y + h AS y1, 'Table ' || CAST(table_idx + 1 AS VARCHAR) AS label FROM rtables")
     out["table_cell_fields"] = build(rt, _CELL_FIELDS)
     out["extract_quality"] = build(docs("text") + counts(), f"SELECT doc_id, round({q_image('text', 'n_lines', 'n_tables')}, 9) AS image_quality, round({q_direct('text', 'n_tables')}, 9) AS pdf_quality FROM counts")
@@ -597,13 +639,22 @@ def oracle_sql() -> dict[str, str]:
     out["totals_match"] = build(raw + consensus() + totals_cte("consensus"), "SELECT doc_id, totals_match FROM tot")
     out["validation_summary"] = build(raw + samples() + [
         ("lastf", f"SELECT doc_id, norm_name, arg_max(value, ord) AS value, sum(CASE WHEN confidence < 0.5 THEN 1 ELSE 0 END) AS low FROM fields GROUP BY doc_id, norm_name")] + totals_cte("lastf"),
-        f"""SELECT s.doc_id, s.n_names, s.n_valid, round(s.n_valid / CAST(s.n_names AS DOUBLE), 9) AS pass_rate, CASE WHEN s.n_low > 0 THEN CAST(s.n_low AS VARCHAR) || ' low-confidence fields' END AS notes, t.totals_match, 'ok' AS status
+        f"""SELECT s.doc_id, s.n_names, s.n_valid, round(s.n_valid / CAST(s.n_names AS DOUBLE), 9) AS pass_rate, CASE WHEN s.n_low > 0 THEN CAST(s.n_low AS VARCHAR) || ' low-confidence fields' END AS notes, t.totals_match,
+          CASE WHEN t.totals_match = 'failed' THEN 'totals_match' ELSE '' END AS failed_rules, 'ok' AS status
         FROM (SELECT doc_id, count(*) AS n_names, sum(CASE WHEN {valid_expr('norm_name', 'value')} THEN 1 ELSE 0 END) AS n_valid, sum(low) AS n_low FROM lastf GROUP BY doc_id) s JOIN tot t ON t.doc_id = s.doc_id""")
     full = docs("text", "mime", "response_1", "response_2", "response_3")
     out["source_locate"] = build(full + located(), f"SELECT doc_id, norm_name, value, line_idx, CASE WHEN line_idx IS NOT NULL THEN 1 END AS page, {box} AS bbox, CASE WHEN line_idx IS NULL THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS source_confidence FROM located")
     out["field_confidence"] = build(full + scored(), "SELECT doc_id, norm_name, value, valid, line_idx, round(confidence, 9) AS confidence FROM scored")
-    out["overall_confidence"] = build(full + scored(), "SELECT doc_id, doc_type, output_type, n_samples, n_names, n_located, round(pass_rate, 9) AS pass_rate, notes, totals_match, round(overall, 9) AS overall_confidence FROM results")
-    out["document_report"] = build(full + scored(), """SELECT doc_type, count(*) AS n_docs, round(avg(overall), 9) AS mean_overall, round(avg(pass_rate), 9) AS mean_pass_rate,
+    out["overall_confidence"] = build(full + scored(), "SELECT doc_id, doc_type, output_type, n_samples, n_names, n_located, round(pass_rate, 9) AS pass_rate, notes, totals_match, round(overall, 6) AS overall_confidence FROM results")
+    out["process_file"] = build(full + scored(), f"""SELECT doc_id, doc_type, n_votes, class_type, output_type, round(class_conf, 6) AS classification_confidence, {band('class_conf')} AS confidence_level, decided_by,
+        n_samples, n_names, n_located, round(pass_rate, 9) AS pass_rate, notes, totals_match, round(overall, 6) AS overall_confidence FROM results""")
+    ocr = "(mime = 'application/pdf' OR starts_with(mime, 'image/'))"
+    out["process_fields"] = build(docs("text", "mime", "tables_json", "response_1", "response_2", "response_3") + consensus() + response_tables() + amounts() + lines(mime=False) + [
+        ("read", f"SELECT doc_id FROM docs WHERE {ocr}"), ("cf", _CELL_FIELDS), ("tf", _TOTALS_FIELDS), ("lf", _LINE_FIELDS),
+        ("every", "SELECT doc_id, name, value, 1 AS prio, 'base' AS source FROM consensus" + "".join(
+            f" UNION ALL SELECT doc_id, name, value, {i}, '{n}' FROM {t} SEMI JOIN read USING (doc_id)" for i, n, t in ((2, "table", "cf"), (3, "totals", "tf"), (4, "line", "lf"))))],
+        "SELECT doc_id, name, arg_max(value, prio) AS value, arg_max(source, prio) AS source FROM every GROUP BY doc_id, name")
+    out["document_report"] = build(full + scored(), """SELECT doc_type, count(*) AS n_docs, round(avg(overall), 6) AS mean_overall, round(avg(pass_rate), 9) AS mean_pass_rate,
         sum(CASE WHEN totals_match = 'passed' THEN 1 ELSE 0 END) AS totals_passed, sum(CASE WHEN totals_match = 'failed' THEN 1 ELSE 0 END) AS totals_failed, sum(n_located) AS n_located FROM results GROUP BY doc_type""")
     esc = lambda x: f"to_json({x})"
     out["export_json"] = build(full + scored() + [("fj", f"""SELECT doc_id, string_agg('{{"name":' || {esc('name')} || ',"value":' || {esc('value')} || ',"confidence":' || CAST(round(confidence, 6) AS VARCHAR)
@@ -618,7 +669,7 @@ def oracle_sql() -> dict[str, str]:
     ev = docs("truth_text", "response_1", "response_2", "response_3") + outcomes()
     out["eval_fields"] = build(ev, "SELECT doc_id, norm_name, pred_value, true_value, outcome FROM outcomes")
     out["eval_metrics"] = build(ev, rates("doc_id", "doc_id"))
-    out["eval_by_field"] = build(ev, rates("norm_name", "ROLLUP (norm_name)"))
+    out["eval_by_field"] = build(ev, rates("norm_name", "ROLLUP (norm_name)", "CASE WHEN GROUPING(norm_name) = 1 THEN 'corpus' ELSE 'field' END AS level"))
     out["tfidf_vocab"] = build(vocab("documents"), "SELECT term, df, tf, round(idf, 6) AS idf FROM vocab")
     tw = vocab("documents") + weights("w", "vg")
     out["tfidf_weights"] = build(tw, "SELECT doc_id, term, tf, round(weight, 6) AS weight FROM w")
@@ -626,18 +677,14 @@ def oracle_sql() -> dict[str, str]:
         SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 12) DESC, term) AS rank FROM w) WHERE rank <= 10""")
     out["nb_model"] = build(_LABELLED + bayes("labelled"), "SELECT label, term, round(log_prob, 6) AS log_prob FROM nb")
     out["nb_predict"] = build(_LABELLED + bayes("labelled") + nb_scores("documents"), "SELECT doc_id, label, round(p, 6) AS confidence FROM best")
-    ind = f"(VALUES {indicator_rows}) i(doc_type, p, s, x)"
-    out["hybrid_nb"] = build(base + _COLD + bayes("cold") + [("unsure", "SELECT d.doc_id, d.text FROM docs d JOIN classified c ON c.doc_id = d.doc_id WHERE c.confidence < 0.7")] + nb_scores("unsure") + [
-        ("heavy", "SELECT doc_id, list(term ORDER BY round(weight, 12) DESC, term) AS t FROM pw GROUP BY doc_id"),
-        ("both", f"""SELECT c.*, b.label, b.p, coalesce(round(b.p, 12) > c.confidence, false) AS use, coalesce(h.t, []) AS t, coalesce(i.p, '') AS ip, coalesce(i.s, '') AS isec, coalesce(i.x, '') AS ix
-            FROM classified c LEFT JOIN best b ON b.doc_id = c.doc_id LEFT JOIN heavy h ON h.doc_id = c.doc_id LEFT JOIN {ind} ON i.doc_type = c.doc_type""")],
-        f"""SELECT doc_id, CASE WHEN use THEN ({_NAMES})[label + 1] ELSE doc_type END AS doc_type, round(CASE WHEN use THEN p ELSE confidence END, 6) AS confidence,
-          {band('CASE WHEN use THEN p ELSE confidence END')} AS confidence_level, CASE WHEN use THEN 'model' ELSE 'rules' END AS decided_by,
-          CASE WHEN use THEN array_to_string(list_concat(t[1:3], list_filter(string_split(ip, '|')[1:2], lambda w: w <> '')), '|') ELSE ip END AS primary_indicators,
-          CASE WHEN use THEN array_to_string(t[4:6], '|') ELSE isec END AS secondary_indicators, ix AS context_matches,
-          round(CASE WHEN use THEN p ELSE keyword_score END, 6) AS keyword_score, round(CASE WHEN use THEN 0 ELSE structural_score END, 6) AS structural_score,
-          round(CASE WHEN use THEN 0 ELSE context_score END, 6) AS context_score FROM both""")
+    out["hybrid_nb"] = build(docs("text") + hybrid(),
+        f"""SELECT doc_id, CASE WHEN wins THEN ({_NAMES})[label + 1] ELSE doc_type END AS doc_type, round(CASE WHEN wins THEN p ELSE confidence END, 6) AS confidence,
+          {band('CASE WHEN wins THEN p ELSE confidence END')} AS confidence_level, CASE WHEN wins THEN 'model' ELSE 'rules' END AS decided_by,
+          CASE WHEN wins THEN array_to_string(list_concat(t[1:3], list_filter(string_split(ip, '|')[1:2], lambda w: w <> '')), '|') ELSE ip END AS primary_indicators,
+          CASE WHEN wins THEN array_to_string(t[4:6], '|') ELSE isec END AS secondary_indicators, ix AS context_matches,
+          round(CASE WHEN wins THEN p ELSE keyword_score END, 6) AS keyword_score, round(CASE WHEN wins THEN 0 ELSE structural_score END, 6) AS structural_score,
+          round(CASE WHEN wins THEN 0 ELSE context_score END, 6) AS context_score FROM sides""")
     out["hybrid_untrained"] = build(base, f"""SELECT c.doc_id, c.doc_type, round(confidence, 6) AS confidence, confidence_level, 'rules' AS decided_by, coalesce(i.p, '') AS primary_indicators,
         coalesce(i.s, '') AS secondary_indicators, coalesce(i.x, '') AS context_matches, round(keyword_score, 6) AS keyword_score, round(structural_score, 6) AS structural_score,
-        round(context_score, 6) AS context_score FROM classified c LEFT JOIN {ind} ON i.doc_type = c.doc_type""")
+        round(context_score, 6) AS context_score FROM classified c LEFT JOIN (VALUES {_INDICATORS}) i(doc_type, p, s, x) ON i.doc_type = c.doc_type""")
     return out

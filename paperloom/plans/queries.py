@@ -22,9 +22,9 @@ from paperloom.plans import process
 from paperloom.session import work_dir
 from paperloom.sources import intake
 from paperloom.sources.corpus import corpus_table as corpus
-from paperloom.sources.corpus import samples_raw, truth
+from paperloom.sources.corpus import corpus_path, samples_raw, truth
 from paperloom.sources.tables import read_table
-from paperloom.streaming import classify_stream
+from paperloom.streaming import batch_stream, classify_stream
 
 COLD_LABELS = list(range(7))
 QUALITY_LABELS = [0, 1]
@@ -55,13 +55,13 @@ def intake_size_gate(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    """Which path yields text follows from route and gate; every 8th file yields none."""
-    files = intake.size_gate(intake.route(corpus(spark, sf_dir, "mime", "size_bytes", "text")))
-    ok = F.col("doc_id") % 8 != 0
+    """Which path yields text follows from route, gate and what the corpus says of the file's pages."""
+    files = intake.size_gate(intake.route(corpus(spark, sf_dir, "mime", "size_bytes", "readable", "rasterised", "text")))
+    pdf, image, ok = F.col("route") == "pdf", F.col("route") == "image", F.col("readable")
     return files.select(
-        "doc_id", F.when(ok & (F.col("route") == "pdf") & (F.col("gate") == "direct"), F.col("text")).alias("direct_text"),
-        F.when(ok & ((F.col("route") == "image") | ((F.col("route") == "pdf") & (F.col("doc_id") % 3 != 0))), F.col("text")).alias("images_text"),
-        F.when(ok & (F.col("route") == "pdf"), F.col("text")).alias("basic_text"),
+        "doc_id", F.when(ok & pdf & (F.col("gate") == "direct"), F.col("text")).alias("direct_text"),
+        F.when(ok & (image | (pdf & F.col("rasterised"))), F.col("text")).alias("images_text"),
+        F.when(ok & pdf, F.col("text")).alias("basic_text"),
         F.size(layout.lines_array(F.col("text"))).alias("n_lines"),
         F.size(tables.tables_array(F.col("text"))).alias("n_tables"))
 
@@ -77,16 +77,30 @@ def assemble_pages(spark, sf_dir):
     return intake.assemble_pages(pages)
 
 
+def _batch(spark, sf_dir):
+    return _sent(corpus(spark, sf_dir, "sent_mime", "sent_size", "received", "text"))
+
+
+def _sent(files: DataFrame) -> DataFrame:
+    return files.select("doc_id", F.col("sent_mime").alias("mime"), F.col("sent_size").alias("size_bytes"), F.when(F.col("received"), F.col("text")).alias("text"))
+
+
+def batch_isolation(spark, sf_dir):
+    """All files as a stream: classified ones beside those set apart, with the reason."""
+    out, path = f"{work_dir(spark)}/batches-{uuid.uuid4().hex}", corpus_path(spark, sf_dir)
+    files = _sent(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
+    batch_stream.start_batches(files, lambda good: C.classify(good).select("doc_id", "doc_type"), f"{out}/results", f"{out}/quarantine", f"{out}/checkpoint").awaitTermination()
+    good = spark.read.schema("doc_id long, doc_type string, batch int").parquet(f"{out}/results").select("doc_id", F.lit("results").alias("sink"), "doc_type", F.lit(None).cast("string").alias("error"))
+    bad = spark.read.schema("doc_id long, error string, batch int").parquet(f"{out}/quarantine").select("doc_id", F.lit("quarantine").alias("sink"), F.lit(None).cast("string").alias("doc_type"), "error")
+    return good.union(bad)
+
+
 def batch_status(spark, sf_dir):
-    files = corpus(spark, sf_dir, "mime", "size_bytes", "text").withColumns({
-        "mime": F.when(F.col("doc_id") % 61 != 0, F.col("mime")),
-        "size_bytes": F.when(F.col("doc_id") % 67 != 0, F.col("size_bytes"))})
-    return intake.batch_status(files).select("doc_id", "status", "error")
+    return intake.batch_status(_batch(spark, sf_dir)).select("doc_id", "status", "error")
 
 
 def template_catalog(spark, sf_dir):
-    docs = corpus(spark, sf_dir, "true_type").withColumn(
-        "doc_type", F.when(F.col("doc_id") % 10 == 9, "academic").otherwise(F.col("true_type")))
+    docs = corpus(spark, sf_dir, "stated_type").withColumnRenamed("stated_type", "doc_type")
     return suggest.template_catalog(docs, rules.templates_df(spark)).select("doc_id", "doc_type", "pos", "field")
 
 
@@ -117,7 +131,7 @@ def line_types(spark, sf_dir):
 
 
 def element_counts(spark, sf_dir):
-    return layout.element_counts(layout.segment_lines(corpus(spark, sf_dir, "text")))
+    return layout.count_elements(corpus(spark, sf_dir, "text"))
 
 
 def layout_points(spark, sf_dir):
@@ -199,8 +213,8 @@ def confidence_band_q(spark, sf_dir):
 
 
 def corpus_report(spark, sf_dir):
-    return report.corpus_report(C.classify(corpus(spark, sf_dir, "text"))).withColumn(
-        "mean_confidence", _r("mean_confidence"))
+    classed = C.classify(corpus(spark, sf_dir, "text"))
+    return report.corpus_report(classed, S.qa_merge(_valid(spark, sf_dir))).withColumn("mean_confidence", _r("mean_confidence"))
 
 
 # ---- suggestions and extraction ---------------------------------------------------
@@ -244,7 +258,7 @@ def totals_scan(spark, sf_dir):
 
 
 def totals_fields(spark, sf_dir):
-    return totals.totals_fields(totals.scan_totals(corpus(spark, sf_dir, "text")))
+    return merge.merge_in_row(corpus(spark, sf_dir, "text"), totals=totals.totals_pairs(F.col("text"))).drop("source")
 
 
 def amounts_report(spark, sf_dir):
@@ -253,10 +267,11 @@ def amounts_report(spark, sf_dir):
 
 
 def order_reconcile(spark, sf_dir):
+    orders = corpus(spark, sf_dir, "price_kind").withColumnRenamed("doc_id", "l_orderkey")
     items = read_table(spark, sf_dir, "lineitem").join(
-        read_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
+        read_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(orders, "l_orderkey").select(
         F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").alias("quantity"),
-        F.when(F.col("l_orderkey") % 3 == 0, F.col("l_extendedprice") / F.col("l_quantity"))
+        F.when(F.col("price_kind") == "net", F.col("l_extendedprice") / F.col("l_quantity"))
         .otherwise(F.col("p_retailprice")).alias("unit_price"), F.col("l_extendedprice").alias("total"))
     stated = truth(spark, sf_dir).withColumn("norm", normalize_name(F.col("name")))
     context = (F.when(F.col("norm") == "subtotal", "subtotal").when(F.col("norm").isin("tax", "tax amount"), "tax")
@@ -287,17 +302,24 @@ def explode_cells(spark, sf_dir):
 
 
 def rebuild_tables(spark, sf_dir):
-    t = _response_tables(spark, sf_dir)
-    out = tables.rebuild_tables(t, tables.explode_cells(t))
+    out = tables.dense_rows(tables.sparse_tables(_response_tables(spark, sf_dir)))
     return out.select("doc_id", "table_idx", "kind", "row_no", _joined("values").alias("row_values"))
 
 
+def sparse_tables(spark, sf_dir):
+    """Every table, however large it says it is: its size as numbers, and one row for each grid row that holds a cell."""
+    out = tables.sparse_rows(tables.sparse_tables(_response_tables(spark, sf_dir)))
+    cells = F.transform("cells", lambda c: F.concat(c["col"].cast("string"), F.lit("="), c["content"]))
+    return out.select("doc_id", "table_idx", "rows", "cols", "headed", "kind", "row_no", _joined(cells).alias("cells"))
+
+
 def table_rects(spark, sf_dir):
     return tables.table_rects(_response_tables(spark, sf_dir))
 
 
 def table_cell_fields(spark, sf_dir):
-    return tables.table_cell_fields(tables.explode_cells(_response_tables(spark, sf_dir)))
+    rows = tables.answered(corpus(spark, sf_dir, "tables_json").withColumnRenamed("tables_json", "json"), "doc_id")
+    return merge.merge_in_row(rows, table=tables.cell_pairs("tables")).drop("source")
 
 
 def extract_quality(spark, sf_dir):
@@ -373,7 +395,7 @@ def totals_match(spark, sf_dir):
 
 def validation_summary(spark, sf_dir):
     fields = S.sample_fields(_valid(spark, sf_dir)).withColumn("ord", S._order("sample_no", "pos"))
-    return validate.validation_summary(fields).withColumn("pass_rate", _r("pass_rate"))
+    return validate.validation_summary(fields).withColumns({"pass_rate": _r("pass_rate"), "failed_rules": _joined("failed_rules")})
 
 
 def source_locate(spark, sf_dir):
@@ -387,7 +409,8 @@ def source_locate(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return process.scored_fields(corpus(spark, sf_dir, "text", "mime"), samples_raw(spark, sf_dir))
+    model = _bayes(rules.cold_start_df(spark), COLD_LABELS)
+    return process.scored_fields(corpus(spark, sf_dir, "text", "mime"), samples_raw(spark, sf_dir), process.with_model(model))
 
 
 def field_confidence(spark, sf_dir):
@@ -395,16 +418,28 @@ def field_confidence(spark, sf_dir):
         "doc_id", "norm_name", "value", "valid", "line_idx", _r("confidence").alias("confidence"))
 
 
+def process_file(spark, sf_dir):
+    """The whole process, one row for each document."""
+    df = process.document_results(_scored(spark, sf_dir))
+    return df.select("doc_id", "doc_type", "n_votes", "class_type", "output_type", _r("classification_confidence", 6).alias("classification_confidence"),
+                     "confidence_level", "decided_by", "n_samples", "n_names", "n_located", _r("pass_rate").alias("pass_rate"), "notes", "totals_match",
+                     _r("overall_confidence", 6).alias("overall_confidence"))
+
+
+def process_fields(spark, sf_dir):
+    return process.extracted_fields(corpus(spark, sf_dir, "text", "mime", "tables_json"), samples_raw(spark, sf_dir))
+
+
 def overall_confidence(spark, sf_dir):
     df = process.document_results(_scored(spark, sf_dir))
     return df.select("doc_id", "doc_type", "output_type", "n_samples", "n_names", "n_located",
                      _r("pass_rate").alias("pass_rate"), "notes", "totals_match",
-                     _r("overall_confidence").alias("overall_confidence"))
+                     _r("overall_confidence", 6).alias("overall_confidence"))
 
 
 def document_report(spark, sf_dir):
     df = process.type_report(process.document_results(_scored(spark, sf_dir)))
-    return df.withColumns({"mean_overall": _r("mean_overall"), "mean_pass_rate": _r("mean_pass_rate")})
+    return df.withColumns({"mean_overall": _r("mean_overall", 6), "mean_pass_rate": _r("mean_pass_rate")})
 
 
 def export_json(spark, sf_dir):
@@ -414,13 +449,11 @@ def export_json(spark, sf_dir):
 
 
 def merge_fields(spark, sf_dir):
-    docs = corpus(spark, sf_dir, "text", "user_fields", "tables_json")
-    responses = tables.parse_tables(docs.select("doc_id", F.col("tables_json").alias("json")))
-    return merge.merge_fields(
-        base=suggest.fallback_fields(suggest.suggest_fields(C.classify(docs.select("doc_id", "text", "user_fields")))).drop("pos"),
-        table=tables.table_cell_fields(tables.explode_cells(responses)),
-        totals=totals.totals_fields(totals.scan_totals(docs)),
-        line=layout.line_fields(docs))
+    docs = suggest.suggest_fields(C.classify(corpus(spark, sf_dir, "text", "user_fields", "tables_json")))
+    made = docs.select("doc_id", suggest.fallback_pairs().alias("base"), totals.totals_pairs(F.col("text")).alias("totals"),
+                       layout.typed_lines(F.col("text")).alias("lines"), F.col("tables_json").alias("json"))
+    rows = tables.answered(made, "doc_id", "base", "totals", "lines")
+    return merge.merge_in_row(rows, base=F.col("base"), table=tables.cell_pairs("tables"), totals=F.col("totals"), line=layout.line_pairs("lines"))
 
 
 # ---- evaluation ------------------------------------------------------------------
@@ -553,7 +586,7 @@ def classify_stream_q(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "intake_route": intake_route, "intake_size_gate": intake_size_gate, "intake_method": intake_method,
-    "assemble_pages": assemble_pages, "batch_status": batch_status, "template_catalog": template_catalog,
+    "assemble_pages": assemble_pages, "batch_status": batch_status, "batch_isolation": batch_isolation, "template_catalog": template_catalog,
     "normalize_text": normalize_text_q, "ml_preprocess": ml_preprocess_q, "normalize_name": normalize_name_q,
     "segment_lines": segment_lines, "line_types": line_types, "element_counts": element_counts,
     "layout_points": layout_points, "confidence_grid": confidence_grid,
@@ -565,12 +598,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "render_prompt": render_prompt, "fallback_fields": fallback_fields, "rule_samples": rule_samples,
     "totals_scan": totals_scan, "totals_fields": totals_fields, "amounts_report": amounts_report,
     "order_reconcile": order_reconcile, "detect_tables": detect_tables, "explode_cells": explode_cells,
-    "rebuild_tables": rebuild_tables, "table_rects": table_rects, "table_cell_fields": table_cell_fields,
+    "rebuild_tables": rebuild_tables, "sparse_tables": sparse_tables, "table_rects": table_rects, "table_cell_fields": table_cell_fields,
     "extract_quality": extract_quality, "doc_metrics": doc_metrics, "parse_samples": parse_samples,
     "valid_samples": valid_samples, "vote_doc_type": vote_doc_type, "sample_confidence": sample_confidence,
     "qa_merge": qa_merge, "field_consensus": field_consensus, "validate_fields": validate_fields,
     "totals_match": totals_match, "validation_summary": validation_summary, "source_locate": source_locate,
-    "field_confidence": field_confidence, "overall_confidence": overall_confidence,
+    "process_file": process_file, "process_fields": process_fields, "field_confidence": field_confidence, "overall_confidence": overall_confidence,
     "document_report": document_report, "export_json": export_json, "merge_fields": merge_fields,
     "eval_fields": eval_fields, "eval_metrics": eval_metrics, "eval_by_field": eval_by_field,
     "tfidf_vocab": tfidf_vocab, "tfidf_weights": tfidf_weights, "top_terms": top_terms,

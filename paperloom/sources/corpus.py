@@ -231,8 +231,9 @@ PIECES = {
     "typeb": "CASE WHEN d % 5 = 0 THEN 'unknown' ELSE tk_type END",
     "typec": "CASE WHEN d % 15 = 0 THEN 'receipt' ELSE tk_type END",
     "kind": "CASE d % 4 WHEN 0 THEN ',\"type\":\"line_items\"' WHEN 1 THEN ',\"type\":\"summary\"' ELSE '' END",
-    "dims": "CASE d % 5 WHEN 0 THEN '' WHEN 1 THEN ',\"rows\":3,\"columns\":3' "
-            "WHEN 2 THEN ',\"rows\":0,\"columns\":3' ELSE ',\"rows\":4,\"columns\":3' END",
+    "dims": "CASE WHEN d % 70 = 13 THEN ',\"rows\":3,\"columns\":2000000000' WHEN d % 70 = 24 THEN ',\"rows\":2000000000,\"columns\":3' "
+            "WHEN d % 5 = 0 THEN '' WHEN d % 5 = 1 THEN ',\"rows\":3,\"columns\":3' "
+            "WHEN d % 5 = 2 THEN ',\"rows\":0,\"columns\":3' ELSE ',\"rows\":4,\"columns\":3' END",
     "headers": "CASE WHEN d % 4 = 1 THEN '' WHEN d % 4 = 2 THEN ',\"headers\":[\"\",\" \",\"\"]' "
                "ELSE ',\"headers\":[\"Item\",\"Qty\",\"Amount\"]' END",
 }
@@ -347,6 +348,12 @@ LEFT JOIN (
 """
 
 
+_MIME = ("CASE WHEN d % 5 = 0 THEN 'image/png' WHEN d % 5 = 3 THEN 'image/jpeg' "
+         "WHEN d % 10 = 4 THEN 'text/csv' ELSE 'application/pdf' END")
+_SIZE = ("CAST(CASE WHEN d % 20 = 1 THEN 75000 WHEN d % 20 = 2 THEN 75001 WHEN d % 20 = 3 THEN 2097152 "
+         "WHEN d % 20 = 4 THEN 2097153 ELSE coalesce(tot_c, d) % 4000000 END AS BIGINT)")
+
+
 def _columns() -> dict[str, list[str]]:
     """Per output column the expressions to apply in turn; each sees the previous one as x."""
     known = _choose(lambda t, items: _marked(
@@ -355,10 +362,16 @@ def _columns() -> dict[str, list[str]]:
     out = {
         "true_type": ["tk_type"],
         "label": ["CAST(d % 7 AS INT)"],
-        "mime": ["CASE WHEN d % 5 = 0 THEN 'image/png' WHEN d % 5 = 3 THEN 'image/jpeg' "
-                 "WHEN d % 10 = 4 THEN 'text/csv' ELSE 'application/pdf' END"],
-        "size_bytes": ["CAST(CASE WHEN d % 20 = 1 THEN 75000 WHEN d % 20 = 2 THEN 75001 WHEN d % 20 = 3 THEN 2097152 "
-                       "WHEN d % 20 = 4 THEN 2097153 ELSE coalesce(tot_c, d) % 4000000 END AS BIGINT)"],
+        "mime": [_MIME],
+        # what a batch is told about its files, what pages yield, and how an order states type and prices
+        "sent_mime": [f"CASE WHEN d % 61 = 0 THEN CAST(NULL AS STRING) ELSE {_MIME} END"],
+        "sent_size": [f"CASE WHEN d % 67 = 0 THEN CAST(NULL AS BIGINT) WHEN d % 71 = 3 THEN CAST(-1 AS BIGINT) ELSE {_SIZE} END"],
+        "received": ["d % 73 <> 5"],
+        "readable": ["d % 8 <> 0"],
+        "rasterised": ["d % 3 <> 0"],
+        "stated_type": ["CASE WHEN d % 10 = 9 THEN 'academic' ELSE tk_type END"],
+        "price_kind": ["CASE WHEN d % 3 = 0 THEN 'net' ELSE 'list' END"],
+        "size_bytes": [_SIZE],
         "text": [_text(), _drop("x", "d % 9"), unmark,
                  f"CASE WHEN d % 97 = 0 THEN '' WHEN d % 83 = 2 THEN {_cat(NL, _lit('  '), NL, NL)} "
                  f"WHEN d % 89 = 1 THEN {_cat(_lit('NOTE'), NL, _lit('see order '), 'ds')} ELSE x END"],
@@ -429,20 +442,25 @@ def corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.sql(sql, **tables)
 
 
-ALL_COLUMNS = ["true_type", "label", "mime", "size_bytes", "text", "truth_text", "user_fields", "response_1",
+ALL_COLUMNS = ["true_type", "label", "mime", "size_bytes", "sent_mime", "sent_size", "received", "readable", "rasterised", "stated_type", "price_kind", "text", "truth_text", "user_fields", "response_1",
                "response_2", "response_3", "tables_json", "image_width", "image_height"]
 _written: dict[tuple[str, str], str] = {}
 
 
-def corpus_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The corpus as a stored table, written once per application and source to
-    the cluster's shared work folder; queries read only the columns they need."""
+def corpus_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the corpus as a stored table, written once per application and
+    source to the cluster's shared work folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         path = f"{work_dir(spark)}/corpus-{uuid.uuid4().hex}"
         corpus(spark, sf_dir, *ALL_COLUMNS).write.parquet(path)
         _written[key] = path
-    return spark.read.parquet(_written[key]).select("doc_id", *columns)
+    return _written[key]
+
+
+def corpus_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The stored corpus; queries read only the columns they need."""
+    return spark.read.parquet(corpus_path(spark, sf_dir)).select("doc_id", *columns)
 
 
 def samples_raw(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
