@@ -12,9 +12,12 @@ least ``containment`` of the template's shingles.
    2^(c-1) + 1 shingles at 75 % containment in a window of nothing but template shingles, the Jaccard similarity is
    0.176 and the chance that no band meets 0.824^96 < 1e-8.
 4. Each retrieved pair of window and template is verified by the exact count.
+5. Versions of one license are rivals: templates of one window size of which one holds enough of the other to pass for
+   it.  Of rivals in one window those with the largest exact containment are reported, all of them on a tie.
 
 Main path: DataFrame functions only.  Null and empty texts hold nothing; a null doc_id is reported as null; repeated
-rows are reported once; only doc_id and text are read.
+rows are reported once; texts of any length are read whole; an empty table gives no rows; only doc_id and text are read,
+whatever else there is.  Templates of fewer than three words match nothing, and an empty list finds nothing.
 """
 
 from __future__ import annotations
@@ -35,6 +38,16 @@ NOTICES = {
     "MIT": "Released under the MIT License",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "ISC-notice": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies"),
+    "Unlicense-notice": "This is free and unencumbered software released into the public domain",
     "Apache-2.0-notice": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
         "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
@@ -48,6 +61,18 @@ NOTICES = {
     "GPL-3.0-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
         "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "GPL-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    "LGPL-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    "AGPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "BSD-3-Clause-ending": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission"),
     "BSD-notice": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met"),
@@ -68,8 +93,7 @@ def _hashes(w: str) -> str:
 
 def telling_words(templates: dict[str, str], containment: float) -> list[str]:
     """Words such that in every template fewer than the required shingles are without any of them."""
-    cut = {k: [w for w in re.split(r"[\W_]+", t.lower()) if w] for k, t in templates.items()}
-    left = {k: {tuple(w[i:i + K]) for i in range(len(w) - K + 1)} for k, w in cut.items()}
+    left = _shingles(templates)
     need = {k: -(-len(s) * containment // 1) for k, s in left.items()}
     chosen: list[str] = []
     while open_ := [k for k in left if left[k] and len(left[k]) >= need[k]]:
@@ -80,6 +104,19 @@ def telling_words(templates: dict[str, str], containment: float) -> list[str]:
     return chosen
 
 
+def _shingles(templates: dict[str, str]) -> dict[str, set[tuple]]:
+    cut = {k: [w for w in re.split(r"[\W_]+", t.lower()) if w] for k, t in templates.items()}
+    return {k: {tuple(w[i:i + K]) for i in range(len(w) - K + 1)} for k, w in cut.items()}
+
+
+def rivals(templates: dict[str, str], containment: float = 0.75) -> list[tuple[str, str]]:
+    """Ordered pairs of templates that may pass for each other: of one window size, and one holds enough of the other."""
+    sets = {k: s for k, s in _shingles(templates).items() if s}
+    size = {k: (len(s) - 1).bit_length() for k, s in sets.items()}
+    return sorted((a, b) for a in sets for b in sets
+                  if a != b and size[a] == size[b] and len(sets[a] & sets[b]) >= containment * min(len(sets[a]), len(sets[b])))
+
+
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """license_id, shingles (distinct), class: the table is as long as the list of templates."""
     rows = spark.createDataFrame(sorted(templates.items()), "license_id string, template string")
@@ -94,8 +131,11 @@ def _bands(hashes: str) -> Column:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.75) -> DataFrame:
     """doc_id, license_id, containment (the largest of its windows), n_windows that hold it."""
-    templates = templates or NOTICES
+    templates = NOTICES if templates is None else templates
+    templates = {k: t for k, t in templates.items() if _shingles({k: t})[k]}
     spark = docs.sparkSession
+    if not templates:
+        return docs.select("doc_id", F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("n_windows")).limit(0)
     table = template_table(spark, templates)
     low = F.lower("text")
     telling = [F.contains(low, F.lit(w)) for w in telling_words(templates, containment)]
@@ -115,5 +155,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     found = keys.join(F.broadcast(wanted), ["class", "band", "least"]).select("row", "class", "window", "license_id").distinct()
     pairs = found.join(windows, ["row", "class", "window"]).join(F.broadcast(table.select("license_id", "shingles")), "license_id")
     share = F.size(F.array_intersect("held", "shingles")) / F.size("shingles")
-    return pairs.withColumn("containment", share).where(F.col("containment") >= containment).groupBy("doc_id", "license_id").agg(
+    held = pairs.withColumn("containment", share).where(F.col("containment") >= containment).select("row", "doc_id", "class", "window", "license_id", "containment")
+    best = held.groupBy("row", "doc_id", "class", "window").agg(F.collect_list(F.struct("license_id", "containment")).alias("found"))
+    against = F.create_map(*[x for k in templates for x in (F.lit(k), F.array(*[F.lit(b) for a, b in rivals(templates, containment) if a == k]).cast("array<string>"))])
+    beaten = F.filter("found", lambda t: ~F.exists("found", lambda o: F.array_contains(against[t["license_id"]], o["license_id"]) & (o["containment"] > t["containment"])))
+    held = best.select("row", "doc_id", "window", F.explode(beaten).alias("t")).select("row", "doc_id", "window", "t.*")
+    return held.groupBy("doc_id", "license_id").agg(
         F.max("containment").alias("containment"), F.countDistinct("row", "window").alias("n_windows"))

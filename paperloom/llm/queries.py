@@ -93,6 +93,7 @@ def _license_sql() -> str:
     """Exact containment over the same windows, without any retrieval."""
     notices = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in license_scan.NOTICES.items())
     word = r"[\p{L}\p{N}]+"
+    pairs = ", ".join(f"('{a}', '{b}')" for a, b in license_scan.rivals(license_scan.NOTICES))
     return f"""
 WITH n(license_id, template) AS (VALUES {notices}),
      nw AS (SELECT license_id, regexp_extract_all(lower(template), '{word}') AS w FROM n),
@@ -102,8 +103,12 @@ WITH n(license_id, template) AS (VALUES {notices}),
      ds AS (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM dw, range(1, len(w) - 1) r(i)),
      hit AS (SELECT ds.doc_id, ds.pos, ds.s, ns.license_id, size, (1 << class) AS width FROM ds JOIN ns USING (s) JOIN nn USING (license_id)),
      win AS (SELECT *, pos // width AS win FROM hit UNION ALL SELECT *, pos // width - 1 FROM hit),
-     held AS (SELECT doc_id, license_id, win, count(DISTINCT s) / any_value(size) AS containment FROM win GROUP BY 1, 2, 3)
-SELECT doc_id, license_id, round(max(containment), 9) AS containment, count(*) AS n_windows FROM held WHERE containment >= 0.75 GROUP BY 1, 2"""
+     every AS (SELECT doc_id, license_id, win, count(DISTINCT s) / any_value(size) AS containment FROM win GROUP BY 1, 2, 3),
+     rival(license_id, other) AS (VALUES {pairs}),
+     held AS (SELECT * FROM every WHERE containment >= 0.75),
+     beaten AS (SELECT DISTINCT h.doc_id, h.license_id, h.win FROM held h JOIN rival r ON r.license_id = h.license_id
+                JOIN held o ON o.doc_id = h.doc_id AND o.win = h.win AND o.license_id = r.other AND o.containment > h.containment)
+SELECT doc_id, license_id, round(max(containment), 9) AS containment, count(*) AS n_windows FROM held ANTI JOIN beaten USING (doc_id, license_id, win) GROUP BY 1, 2"""
 
 
 ORACLE_SQL = {

@@ -24,6 +24,13 @@ def brute(rows, templates, containment=0.75):
                 share = len(held & want) / len(want)
                 if share >= containment:
                     out.setdefault((i, k), {})[win] = share
+    whole = {k: dict(v) for k, v in out.items()}
+    for a, b in L.rivals(templates, containment):
+        for i in {i for i, k in out if k == a}:
+            for win, share in list(out[i, a].items()):
+                if whole.get((i, b), {}).get(win, 0) > share:
+                    del out[i, a][win]
+    out = {k: v for k, v in out.items() if v}
     return sorted(((i, k, max(v.values()), len(v)) for (i, k), v in out.items()), key=repr)
 
 
@@ -52,3 +59,20 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, L.NOTICES["GPL-3.0"])] * 3, "doc_id long, text string")
     assert [tuple(r)[:2] for r in L.scan_licenses(df).collect()] == [(1, "GPL-3.0")]
     assert L.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_versions_of_a_license_are_told_apart(spark):
+    """The version that a text names wins over its rivals; notices of both versions in one text are both found."""
+    two, three = L.NOTICES["GPL-2.0"], L.NOTICES["GPL-3.0"]
+    rows = [(1, two), (2, three), (3, f"{two}. {three}."), (4, L.NOTICES["LGPL-2.1-notice"]), (5, L.NOTICES["GPL-2.0-notice"]), (6, L.NOTICES["AGPL-3.0-notice"]), (7, L.NOTICES["ISC-notice"])]
+    got = {}
+    for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license_id)
+    assert got == {1: {"GPL-2.0"}, 2: {"GPL-3.0"}, 3: {"GPL-2.0", "GPL-3.0"}, 4: {"LGPL-2.1-notice"}, 5: {"GPL-2.0-notice"}, 6: {"AGPL-3.0-notice"}, 7: {"ISC-notice"}}
+
+
+def test_short_and_empty_template_lists(spark):
+    df = spark.createDataFrame([(1, "two words here and there"), (None, "two words here")], "doc_id long, text string")
+    assert L.scan_licenses(df, {}).collect() == [] and L.scan_licenses(df, {"x": "two words", "y": ""}).collect() == []
+    got = L.scan_licenses(df, {"x": "two words", "y": "two words here"}).collect()
+    assert sorted(map(str, [(r.doc_id, r.license_id) for r in got])) == ["(1, 'y')", "(None, 'y')"]
