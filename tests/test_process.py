@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom import rules
 from paperloom.operators import classify as C
-from paperloom.operators import evaluate, merge, report, tables, validate
+from paperloom.operators import evaluate, locate, merge, report, tables, validate
 from paperloom.operators import samples as S
 from paperloom.plans import process
 from paperloom.plans.queries import QUERIES
@@ -200,3 +200,24 @@ def test_records_carry_the_voted_type(spark, sf_dir):
     records = QUERIES["export_json"](spark, sf_dir).collect()
     assert {r.doc_id: r.doc_type for r in records} == voted and all(json.loads(r.record)["doc_type"] == r.doc_type for r in records[:200])
     assert any(t == "receipt" for t in voted.values()) and set(voted.values()) <= set(rules.OUTPUT_TYPES.values()) | set(rules.DOC_TYPES) | {"unknown", "prescription"}
+
+
+def test_a_document_with_very_many_fields_is_searched_once(spark):
+    """100,000 values in one document: the first line that holds each, as a search of every value finds it."""
+    rng = random.Random(6)
+    lines = [" ".join(rng.choice(["Alpha", "beta", "É", "x1", "", "Total:"]) + str(rng.randint(0, 30_000)) for _ in range(6)) for _ in range(3_000)]
+    text = "\n".join(lines)
+    low = text.lower()
+    values = [f" {rng.choice(['alpha', 'BETA', 'é', 'X1', 'none'])}{i % 40_000} " for i in range(99_996)] + ["", "\n", "a\nb", None]
+    rows = [(1, i, v) for i, v in enumerate(values)] + [(2, 0, "lost"), (3, 0, "b")]
+    fields = spark.createDataFrame(rows, "doc_id long, n int, value string").repartition(5)
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "a\nB\nb")], "doc_id long, text string")
+    got = {(r.doc_id, r.n): r for r in locate.locate_sources(fields, docs).collect()}
+    assert len(got) == len(rows) and got[2, 0].line_idx is None and (got[3, 0].line_idx, got[3, 0].bbox) == (1, [0.0, 25.0, 8.0, 45.0])
+    for i in [*range(0, 99_996, 37), *range(99_996, 100_000)]:
+        target = (values[i] or "").strip().lower()
+        at = low.find(target) if target and "\n" not in (values[i] or "") else -1
+        line = low.count("\n", 0, at) if at >= 0 else None
+        r = got[1, i]
+        assert r.line_idx == line and r.source_confidence == (0.5 if line is None else 0.9)
+        assert line is None or r.bbox == [0.0, 25.0 * line, 8.0 * len(lines[line]), 25.0 * line + 20]
