@@ -12,9 +12,9 @@ and the partial overlaps are summed per pair.  Two documents link when overlap /
    prefix shingle first proposes one pair for each of its documents, with the first document that it can follow, and
    the best proposal of each document is verified: a group of copies falls together without its pairs being listed.
    A second round has another document, drawn by hash, lead each list, for documents that are still apart from it.
-   Then every pair is verified that lies in two components, has a common prefix shingle, has enough shingles from the
-   first such one on for the overlap that its sizes ask for, and whose parity bits don't differ in more places than the
-   sets may.  One join applies all these bounds and meets each pair once, so its rows are the candidates themselves.
+   Then every pair is verified that lies in two components, has a common prefix shingle, has enough shingles from there
+   on for the overlap that its sizes ask for, and whose parity bits don't differ in more places than the sets may.  One
+   join applies all these bounds, so its rows are candidates, once for each prefix shingle that a pair shares.
    That is enough for the components; links within one may be missing.  With every_link, instead of all this, every
    pair is verified that meets the same bounds, whatever its component: the links are the whole join.
 4. Verification joins a pair's fragments, counts each overlap, and sums.
@@ -222,14 +222,6 @@ def _near(percent: int) -> Column:
     return apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_2"))
 
 
-def _with_ranks(entries: DataFrame, prefix: DataFrame) -> DataFrame:
-    """Entries with their document's whole prefix, rare shingles first, and how many of it stand before the entry: a
-    pair of documents is met where neither has met the other before, at the first shingle that their prefixes share."""
-    lists = prefix.join(entries.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.col("rest")).alias("place"), "hash"))).alias("l"))
-    lists = lists.select("node", F.col("l.hash").alias("ranked"))
-    return entries.join(lists, "node").withColumn("at", F.expr("cast(array_position(ranked, hash) - 1 as int)"))
-
-
 def _leads(percent: int) -> Column:
     """Whether a set can be the smaller one of a pair, or as large as the other."""
     return F.col("rest") * (100 + percent) >= 2 * percent * F.col("n")
@@ -273,14 +265,11 @@ def _some_links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     placed = prefix.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(_leads(percent)).alias("some")).where("x < y and some").select("hash")
-    placed = _with_ranks(placed.join(mixed, "hash", "left_semi"), prefix).join(_parities(sets), "node")
-    placed = stored(placed, "cross")
-    small = placed.where(_leads(percent)).select("hash", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n").alias("n_2"), F.col("rest").alias("rest_2"),
-                                                 F.col("parity").alias("parity_2"), F.col("ranked").alias("ranked_2"), F.col("at").alias("at_2"))
-    # all bounds are part of the join, so that it makes no rows but pairs that only a verification can decide, each once
+    placed = stored(placed.join(mixed, "hash", "left_semi").join(_parities(sets), "node"), "cross")
+    small = placed.where(_leads(percent)).select("hash", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n").alias("n_2"), F.col("rest").alias("rest_2"), F.col("parity").alias("parity_2"))
+    # all bounds are part of the join, so that it makes no rows but pairs that only a verification can decide
     cross = placed.join(small, "hash").where("component <> other").where("n_2 < n or n_2 = n and b < node").where(_fit("n", "rest", "n_2", "rest_2", percent))
-    cross = cross.where(_near(percent)).where("not arrays_overlap(slice(ranked, 1, at), slice(ranked_2, 1, at_2))")
-    cross = stored(cross.select(F.col("node").alias("a"), "b"), "cross-pairs")
+    cross = stored(cross.where(_near(percent)).select(F.col("node").alias("a"), "b").distinct(), "cross-pairs")
     return first.union(stored(verify(cross, sets, percent), "links"))
 
 
