@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import WS, strip
+from paperloom.operators import classify as C
 from paperloom.operators import layout
 from paperloom.plans.queries import QUERIES
 from paperloom.sources.corpus import corpus, corpus_path, corpus_table
@@ -55,3 +56,13 @@ def test_a_table_of_part_files_is_streamed_whole(spark, sf_dir, tmp_path):
     got, want = QUERIES["classify_stream"](spark, str(tmp_path)), QUERIES["classify_documents"](spark, sf_dir)
     assert got.count() == docs.count() and got.exceptAll(want).isEmpty()
     assert QUERIES["classify_stream"](spark, sf_dir).count() == docs.count()
+
+
+def test_grams_of_documents_stay_where_they_are_made(spark):
+    """The few grams of a rule table go to the documents; only those that occur there are shuffled, once for both uses."""
+    docs = spark.createDataFrame([(0, "a taxi invoice"), (0, "tax"), (1, "in"), (None, "tax"), (2, None), (3, "the tax, mg")], "doc_id long, text string").repartition(3)
+    hits = C.keyword_hits(docs, spark.createDataFrame([("tax",), ("invoice",), ("mg",), ("none",), ("x",)], "keyword string"))
+    text = plan(hits)
+    assert "LeftSemi, BuildRight" in text and "SortMergeJoin [gram" not in text
+    assert sorted(tuple(r) for r in hits.filter("doc_id > 0").collect()) == [(3, "mg"), (3, "tax"), (3, "x")]
+    assert {r.keyword for r in hits.filter("doc_id = 0").collect()} == {"tax", "invoice", "x"}
