@@ -607,11 +607,22 @@ def oracle_sql() -> dict[str, str]:
         ("place", "SELECT doc_id, table_idx, row, col, arg_max(content, CAST(row AS BIGINT) * 2147483648 + col) AS content FROM good GROUP BY ALL"),
         ("hdr", "SELECT doc_id, table_idx, col, arg_max(content, CAST(row AS BIGINT) * 2147483648 + col) AS content FROM good WHERE is_header GROUP BY ALL"),
         ("headed", f"SELECT DISTINCT doc_id, table_idx FROM hdr WHERE {strip('content')} <> ''"),
-        ("slots", "SELECT doc_id, table_idx, rows, row, unnest(range(cols)) AS col FROM (SELECT *, unnest(range(rows)) AS row FROM rtables WHERE rows > 0 AND cols > 0 AND CAST(rows AS BIGINT) * cols <= 1000000)"),
-        ("drows", "SELECT s.doc_id, s.table_idx, s.rows, s.row, string_agg(coalesce(p.content, ''), '|' ORDER BY s.col) AS v FROM slots s LEFT JOIN place p ON p.doc_id = s.doc_id AND p.table_idx = s.table_idx AND p.row = s.row AND p.col = s.col GROUP BY ALL")],
-        """SELECT d.doc_id, d.table_idx, 'data' AS kind, d.row AS row_no, d.v AS row_values FROM drows d LEFT JOIN headed h ON h.doc_id = d.doc_id AND h.table_idx = d.table_idx WHERE d.row > 0 OR d.rows <= 1 OR h.doc_id IS NULL
-        UNION ALL SELECT s.doc_id, s.table_idx, 'header', 0, string_agg(coalesce(x.content, ''), '|' ORDER BY s.col) FROM slots s JOIN headed h ON h.doc_id = s.doc_id AND h.table_idx = s.table_idx
-          LEFT JOIN hdr x ON x.doc_id = s.doc_id AND x.table_idx = s.table_idx AND x.col = s.col WHERE s.row = 0 GROUP BY s.doc_id, s.table_idx""")
+        ("slots", "SELECT doc_id, table_idx, rows, cols, row, unnest(range(cols)) AS col FROM (SELECT *, unnest(range(rows)) AS row FROM rtables WHERE rows > 0 AND cols > 0 AND CAST(rows AS BIGINT) * cols <= 1000000)"),
+        ("drows", "SELECT s.doc_id, s.table_idx, s.rows, s.cols, s.row, string_agg(coalesce(p.content, ''), '|' ORDER BY s.col) AS v FROM slots s LEFT JOIN place p ON p.doc_id = s.doc_id AND p.table_idx = s.table_idx AND p.row = s.row AND p.col = s.col GROUP BY ALL"),
+        ("large", "SELECT * FROM cells WHERE rows > 0 AND cols > 0 AND row < rows AND col < cols AND CAST(rows AS BIGINT) * cols > 1000000"),
+        ("lheaded", f"SELECT DISTINCT doc_id, table_idx FROM large WHERE is_header AND {strip('content')} <> ''"),
+        ("lsize", "SELECT t.doc_id, t.table_idx, rows, cols, h.doc_id IS NOT NULL AS headed FROM rtables t LEFT JOIN lheaded h ON h.doc_id = t.doc_id AND h.table_idx = t.table_idx WHERE rows > 0 AND cols > 0 AND CAST(rows AS BIGINT) * cols > 1000000"),
+        ("lrows", """SELECT l.doc_id, l.table_idx, CAST(row AS BIGINT) AS row, s.cols, string_agg(coalesce(content, ''), '|' ORDER BY col) AS v FROM large l JOIN lsize s ON s.doc_id = l.doc_id AND s.table_idx = l.table_idx
+            WHERE NOT (headed AND s.rows > 1 AND row = 0) GROUP BY ALL"""),
+        ("lmarks", """SELECT doc_id, table_idx, cols, row FROM lrows UNION ALL SELECT doc_id, table_idx, cols, CAST(rows AS BIGINT) FROM lsize
+            UNION ALL SELECT doc_id, table_idx, cols, CAST(CASE WHEN headed AND rows > 1 THEN 0 ELSE -1 END AS BIGINT) FROM lsize"""),
+        ("lgaps", "SELECT doc_id, table_idx, cols, row + 1 AS row, lead(row) OVER (PARTITION BY doc_id, table_idx ORDER BY row) - row - 1 AS n FROM lmarks")],
+        """SELECT d.doc_id, d.table_idx, 'data' AS kind, d.row AS row_no, d.v AS row_values, CAST(1 AS BIGINT) AS n_rows, d.cols AS n_cols FROM drows d LEFT JOIN headed h ON h.doc_id = d.doc_id AND h.table_idx = d.table_idx WHERE d.row > 0 OR d.rows <= 1 OR h.doc_id IS NULL
+        UNION ALL SELECT s.doc_id, s.table_idx, 'header', 0, string_agg(coalesce(x.content, ''), '|' ORDER BY s.col), 1, s.cols FROM slots s JOIN headed h ON h.doc_id = s.doc_id AND h.table_idx = s.table_idx
+          LEFT JOIN hdr x ON x.doc_id = s.doc_id AND x.table_idx = s.table_idx AND x.col = s.col WHERE s.row = 0 GROUP BY s.doc_id, s.table_idx, s.cols
+        UNION ALL SELECT doc_id, table_idx, 'data', row, v, 1, cols FROM lrows
+        UNION ALL SELECT l.doc_id, l.table_idx, 'header', 0, string_agg(coalesce(content, ''), '|' ORDER BY col), 1, l.cols FROM large l JOIN lheaded h ON h.doc_id = l.doc_id AND h.table_idx = l.table_idx WHERE is_header GROUP BY l.doc_id, l.table_idx, l.cols
+        UNION ALL SELECT doc_id, table_idx, 'data', row, '', n, cols FROM lgaps WHERE n > 0""")
     out["sparse_tables"] = build(rt + [
         ("inside", "SELECT doc_id, table_idx, rows, cols, row, col, is_header, coalesce(content, '') AS content FROM cells WHERE rows > 0 AND cols > 0 AND row < rows AND col < cols"),
         ("headed", f"SELECT DISTINCT doc_id, table_idx FROM inside WHERE is_header AND {strip('content')} <> ''")],

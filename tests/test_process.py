@@ -103,6 +103,20 @@ def test_dense_rows_equal_the_rebuilt_cells(spark):
     assert got == want and got
 
 
+def test_no_table_is_left_out_for_its_stated_size(spark):
+    """Rows and cells of a huge table add up to its stated size; spelled out they equal the dense ones."""
+    n = 2_000_000_000
+    bodies = [[{"rows": n, "columns": n, "headers": ["A", " "], "data": [["1", "2"], [], ["3"]]}], [{"rows": n, "columns": 1, "data": []}], [{"rows": 1, "columns": n, "headers": ["H"], "data": [["x"]]}],
+              [{"rows": 4, "columns": 3, "headers": ["", ""], "data": [[], ["a", None], ["b"]]}], [{"rows": 2, "columns": 2, "headers": ["A"], "data": [["1", "2"]]}]]
+    grids = tables.sparse_tables(answers(spark, *bodies))
+    got = sorted((r.doc_id, r.kind, r.row_no, r["values"], r.n_rows, r.n_cols) for r in tables.table_rows(grids).collect())
+    assert got[:8] == [(0, "data", 1, ["1", "2"], 1, n), (0, "data", 2, [], 1, n), (0, "data", 3, ["3"], 1, n), (0, "data", 4, [], n - 4, n), (0, "header", 0, ["A", " "], 1, n),
+                       (1, "data", 0, [], n, 1), (2, "data", 0, ["H"], 1, n), (2, "header", 0, ["H"], 1, n)]
+    spelled = [(d, k, first + i, v + [""] * (c - len(v))) for d, k, first, v, m, c in
+               (tuple(r) for r in tables.table_rows(grids.filter("doc_id > 2"), 0).select("doc_id", "kind", "row_no", "values", "n_rows", "n_cols").collect()) for i in range(m)]
+    assert sorted(spelled) == sorted((r.doc_id, r.kind, r.row_no, r["values"]) for r in tables.dense_rows(grids).collect()) and len(spelled) == 6
+
+
 # ---- keyword index -------------------------------------------------------------------
 
 
