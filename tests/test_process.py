@@ -8,12 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom import rules
+from paperloom.functions.text import strip
 from paperloom.operators import classify as C
 from paperloom.operators import evaluate, locate, merge, report, tables, validate
 from paperloom.operators import samples as S
 from paperloom.plans import process
 from paperloom.plans.queries import QUERIES
 from paperloom.sources import sinks
+from paperloom.sources.corpus import _joined_up, corpus_sql
 from paperloom.streaming import batch_stream
 
 
@@ -235,3 +237,44 @@ def test_a_document_with_very_many_fields_is_searched_once(spark):
         r = got[1, i]
         assert r.line_idx == line and r.source_confidence == (0.5 if line is None else 0.9)
         assert line is None or r.bbox == [0.0, 25.0 * line, 8.0 * len(lines[line]), 25.0 * line + 20]
+
+
+def test_rule_words_are_found_in_one_pass(spark):
+    """The words of all rules, however they lie in one another, are those that a search for each would find; a text is
+    gone through once and not once for each word."""
+    words = list(C.rule_words())
+    texts = ["", "billing address bill to", "xbillx ybilling", "due dat due date", "interestate internet", "total amount due", "eurtaxmgml",
+             *words, " ".join(words), "".join(words), *[w[:-1] for w in words], *[a[:-1] + b for a, b in zip(words, words[1:])]]
+    docs = spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id long, norm string")
+    found = C.with_rule_words(docs).select("doc_id", "norm", F.array(*[C._hits([w]) for w in words]).alias("hits"), C._hits(words).alias("n"))
+    for r in found.collect():
+        expected = [None if r.norm is None else int(w in r.norm) for w in words]
+        assert r.hits == expected and r.n == (None if r.norm is None else sum(expected)), r.norm
+    plan = C.classify(docs.withColumnRenamed("norm", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(norm" not in plan and plan.count("regexp_extract_all(norm") == 1
+
+
+def test_strip_trims_only_what_has_white_space_at_an_end(spark):
+    values = ["", " ", "a", " a", "a\u3000", "\x85a b\x0b", "a b", "\n\t", "é ", "\u2028é\u00a0é", "𝄞", " 𝄞", None]
+    rows = spark.createDataFrame(list(enumerate(values)), "i long, v string").select("v", strip(F.col("v")).alias("s"))
+    assert [r.s for r in rows.collect()] == [None if v is None else v.strip() for v in values]
+    assert "CASE WHEN" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rendering_reads_no_format(spark):
+    """Concatenated templates give the text that printf gives, also for keys below zero, which have no type, and none."""
+    orders = spark.sql("SELECT CASE WHEN id < 0 AND id % 50 = 0 THEN NULL ELSE id END AS o_orderkey, id % 3 AS o_custkey, DATE'2020-01-31' AS o_orderdate, 1234.5D AS o_totalprice FROM range(-150, 150)")
+    customer = spark.sql("SELECT id AS c_custkey, 0L AS c_nationkey, \"it's 5% %s\" AS c_name, 'SEG' AS c_mktsegment FROM range(3)")
+    nation = spark.sql("SELECT 0L AS n_nationkey, 'PERU' AS n_name")
+    items = spark.sql("SELECT id AS l_orderkey, 100.25D + id AS l_extendedprice FROM range(-150, 150) WHERE id % 4 > 0")
+    tables = {"orders": orders, "customer": customer, "nation": nation, "lineitem": items}
+    sql = corpus_sql(["text", "truth_text", "tables_json", "response_1", "response_2", "response_3"], *(f"<<{t}>>" for t in tables))
+    joined = _joined_up(sql)
+    assert "printf(" in sql and "printf(" not in joined
+
+    def render(select):
+        select = select.replace("{", "{{").replace("}", "}}")
+        for t in tables:
+            select = select.replace(f"<<{t}>>", "{" + t + "}")
+        return sorted(map(repr, spark.sql(select, **tables).collect()))
+    assert render(joined) == render(sql)
