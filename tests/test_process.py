@@ -278,3 +278,20 @@ def test_rendering_reads_no_format(spark):
             select = select.replace(f"<<{t}>>", "{" + t + "}")
         return sorted(map(repr, spark.sql(select, **tables).collect()))
     assert render(joined) == render(sql)
+
+
+def test_the_search_for_rule_words_has_only_short_choices(spark):
+    pattern, depth, width = C._longest(list(C.rule_words())), 0, {}
+    for ch in pattern:
+        if ch == "(":
+            depth += 1
+            width[depth] = 1
+        elif ch == ")":
+            depth -= 1
+        elif ch == "|":
+            width[depth] += 1
+            assert width[depth] <= 2 * C.FEW
+    docs = spark.createDataFrame([(0, "subtotal amount due date"), (1, "a bill total"), (2, "xylem"), (3, "")], "doc_id long, norm string")
+    for r in C.with_rule_words(docs).collect():
+        want = C._masks([w for w in C.rule_words() if w in r.norm])
+        assert [r[c] for c in C._mask_columns()] == want
