@@ -15,7 +15,7 @@ from paperloom.operators import samples as S
 from paperloom.plans import process
 from paperloom.plans.queries import QUERIES
 from paperloom.sources import sinks
-from paperloom.sources.corpus import _joined_up, corpus_sql
+from paperloom.sources.corpus import MARKS, UNMARK, _drop, _joined_up, _unmarked, corpus_sql
 from paperloom.streaming import batch_stream
 
 
@@ -280,6 +280,18 @@ def test_rendering_reads_no_format(spark):
     assert render(joined) == render(sql)
 
 
+def test_marks_are_cut_out_without_a_lookup_for_each_character(spark):
+    whole, first, last = MARKS[0] + "a" + MARKS[1] + "b" + MARKS[2] + "c", MARKS[0], UNMARK[-1]
+    texts = [whole, "", None, "plain", first, first + first, whole + MARKS[1] + "again", last + "é" + last + "z", MARKS[2] + "late" + MARKS[1]]
+    df = spark.createDataFrame([(n, x, j) for n, x in enumerate(texts) for j in (0, 1, 2, 9, None)], "n int, x string, j int")
+    old = f"concat_ws('/', translate(x, '{UNMARK}', ''), {_drop('x', 'j')}, split_part(x, '{last}', 2), split_part(x, '{last}', 1))"
+    new = _unmarked(old)
+    assert "translate" not in new and "split_part" not in new
+    assert all(r.old == r.new for r in df.select(F.expr(old).alias("old"), F.expr(new).alias("new")).collect())
+    sql = _unmarked(_joined_up(corpus_sql(["text", "truth_text", "response_1", "response_2", "response_3"])))
+    assert "translate" not in sql and sql.count("split_part") == 1  # the nested one, for a third of the third responses
+
+
 def test_the_search_for_rule_words_has_only_short_choices(spark):
     pattern, depth, width = C._longest(list(C.rule_words())), 0, {}
     for ch in pattern:
