@@ -33,6 +33,36 @@ def test_samples_without_a_type_vote_for_the_hint(spark):
     assert {k: got[k] for k in (0, 1, 2, 4)} == {0: ("receipt", 2), 1: ("invoice", 2), 2: ("invoice", 2), 4: ("invoice", 2)}
 
 
+def test_votes_and_consensus_come_from_one_pass(spark):
+    def raw(t, *fields):
+        return json.dumps({"fields": [dict(zip(("name", "value", "confidence"), f)) for f in fields], **({"doc_type": t} if t else {})})
+    rows = {0: [raw("bill", ("Total", " 5 ", 0.5), ("total ", "5", 1)), raw(None, ("Total", "6", 2)), raw("bill")], 1: ["no json", "{", ""],
+            2: [raw(" bill ", ("A", None), ("A", "x"), ("B", "y"))], None: [raw("bill", ("A", "1")), raw("receipt", ("A", "2"))]}
+    data = [(d, n, r) for d, rs in rows.items() for n, r in enumerate(rs, 1)] + [(0, 1, rows[0][0])]
+    df = spark.createDataFrame(data, "doc_id long, sample_no int, response string")
+    samples = S.valid_samples(S.parse_samples(df), F.lit(None).cast("string"))
+    both = S.consensus_and_votes(samples).cache()
+    fields = both.select("doc_id", F.explode("fields").alias("f")).select("doc_id", "f.*")
+    agreed = S.field_consensus(S.sample_fields(samples))
+    assert sorted(map(repr, fields.select(agreed.columns).collect())) == sorted(map(repr, agreed.collect())) and agreed.count() > 2
+    votes = S.type_votes(samples).filter("n_samples > 0").select("doc_id", F.sort_array("votes").alias("votes"), "n_samples")
+    assert sorted(map(repr, both.select("doc_id", F.sort_array("votes").alias("votes"), "n_samples").collect())) == sorted(map(repr, votes.collect()))
+    docs = spark.createDataFrame([(0, "x", "image/png")], "doc_id long, text string, mime string")
+    plan = process.scored_fields(docs, df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(StructField(doc_type") == 1
+
+
+def test_fields_without_a_key_are_told_from_null_ones(spark):
+    fields = ['{"name":"a","value":null}', '{"name":"a"}', '{"name":"a","value":"1","confidence":null}', '{"name":"a","value":"1"}', '{"value":"1"}',
+              '{"name":"a","value":"1","confidence":"1.5"}', '{"name":"a","value":"1","confidence":"high"}', "null"]
+    valid = [True, False, False, True, False, True, False, False]
+    answers = [f'{before}{{"fields":[{f}]}}{after}' for f in fields for before, after in (("", ""), (" \n", "\u00a0"), ("so: ", " done"))]
+    raw = spark.createDataFrame([(n, 1, a) for n, a in enumerate(answers)], "doc_id long, sample_no int, response string")
+    got = {r.doc_id: r for r in S.valid_samples(S.parse_samples(raw)).collect()}
+    assert [got[n].valid for n in range(len(answers))] == [v for v in valid for _ in range(3)]
+    assert [got[n].status for n in range(3)] == ["ok", "ok", "recovered"] and got[0].fields[0].value == "None" and got[15].fields[0].confidence == 1.0
+
+
 def test_process_without_samples_or_recogniser(spark):
     docs = spark.createDataFrame([(0, "INVOICE\nTotal: $5.00", "application/pdf"), (1, "INVOICE\nTotal: $5.00", "text/csv"), (2, None, None), (3, "", "image/png")], "doc_id long, text string, mime string")
     answer = json.dumps({"fields": [{"name": "Total", "value": "$5.00", "confidence": 0.8}]})
