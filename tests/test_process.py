@@ -47,6 +47,7 @@ def test_votes_and_consensus_come_from_one_pass(spark):
     assert sorted(map(repr, fields.select(agreed.columns).collect())) == sorted(map(repr, agreed.collect())) and agreed.count() > 2
     votes = S.type_votes(samples).filter("n_samples > 0").select("doc_id", F.sort_array("votes").alias("votes"), "n_samples")
     assert sorted(map(repr, both.select("doc_id", F.sort_array("votes").alias("votes"), "n_samples").collect())) == sorted(map(repr, votes.collect()))
+    both.unpersist()
     docs = spark.createDataFrame([(0, "x", "image/png")], "doc_id long, text string, mime string")
     plan = process.scored_fields(docs, df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json(StructField(doc_type") == 1
